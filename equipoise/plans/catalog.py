@@ -30,4 +30,5 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from equipoise.plans import (  # noqa: F401
         q_balance,
+        q_transforms,
     )

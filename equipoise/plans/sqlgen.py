@@ -28,6 +28,15 @@ def synth_sql(src: str, target: str, num_cols: list[str], cat_cols: list[str], n
     ``label_sql`` is an expression over ``synth_id`` (conditional mode).
     Returns CTE text (without WITH) and the name of the CTE holding the rows.
     """
+    fit = synth_fit_sql(src, target, num_cols, cat_cols, n_knots, cond_col)
+    draw, rows = synth_draw_sql("", target, num_cols, cat_cols, n_sql, label_sql, seed, stream,
+                                n_knots, min_cell, cond_col, condition)
+    return fit + ",\n" + draw, rows
+
+
+def synth_fit_sql(src: str, target: str, num_cols: list[str], cat_cols: list[str],
+                  n_knots: int = 101, cond_col: str | None = "__first__") -> str:
+    """CTEs ``sd, sp, sct, snl, snq, snk``: the fitted tables of ``Synthesizer.fit``."""
     if cond_col == "__first__":
         cond_col = cat_cols[0] if cat_cols else None
     ctes = []
@@ -63,18 +72,29 @@ def synth_sql(src: str, target: str, num_cols: list[str], cat_cols: list[str], n
                     "(SELECT col, y, cell, cond, list(value ORDER BY k) AS knots FROM snq GROUP BY ALL) a "
                     "JOIN (SELECT col, y, cell, cond, count(v) AS n FROM snl WHERE v IS NOT NULL GROUP BY ALL) b "
                     "ON a.col = b.col AND a.y = b.y AND a.cell = b.cell AND a.cond IS NOT DISTINCT FROM b.cond)")
+    return ",\n".join(ctes)
+
+
+def synth_draw_sql(tag: str, target: str, num_cols: list[str], cat_cols: list[str], n_sql: str,
+                   label_sql: str, seed: int = 2020, stream: str = "s", n_knots: int = 101,
+                   min_cell: int = 30, cond_col: str | None = "__first__",
+                   condition: bool = True) -> tuple[str, str]:
+    """CTEs drawing rows from the fitted tables; names are prefixed by ``tag``."""
+    if cond_col == "__first__":
+        cond_col = cat_cols[0] if cat_cols else None
+    ctes = []
     ids = f"SELECT CAST(unnest(range(0, {n_sql})) AS BIGINT) AS synth_id"
     if condition:
-        ctes.append(f"s0 AS (SELECT synth_id, CAST({label_sql} AS INTEGER) AS y FROM ({ids}))")
+        ctes.append(f"{tag}s0 AS (SELECT synth_id, CAST({label_sql} AS INTEGER) AS y FROM ({ids}))")
     else:
         uy = hash_u_sql("synth_id", seed, f"{stream}:y")
-        ctes.append(f"s0 AS (SELECT synth_id, CASE WHEN {uy} < (SELECT p FROM sp WHERE y = 0) "
+        ctes.append(f"{tag}s0 AS (SELECT synth_id, CASE WHEN {uy} < (SELECT p FROM sp WHERE y = 0) "
                     f"THEN 0 ELSE 1 END AS y FROM ({ids}))")
-    prev = "s0"
+    prev = f"{tag}s0"
     for j, c in enumerate(cat_cols):
         par = f"s.{q(cat_cols[j - 1])}" if j > 0 else "''"
         u = hash_u_sql("s.synth_id", seed, f"{stream}:c:{c}")
-        name = f"s{j + 1}"
+        name = f"{tag}s{j + 1}"
         ctes.append(f"{name} AS (SELECT s.*, t.level AS {q(c)} FROM {prev} s LEFT JOIN sct t "
                     f"ON t.col = {lit(c)} AND t.y = s.y AND t.parent IS NOT DISTINCT FROM {par} "
                     f"AND {u} >= t.lo AND {u} < t.hi)")
@@ -95,5 +115,43 @@ def synth_sql(src: str, target: str, num_cols: list[str], cat_cols: list[str], n
         frac = f"({pos} - CAST({idx} AS DOUBLE))"
         out.append(f"({kn}[{idx} + 1] + {frac} * ({kn}[{idx} + 2] - {kn}[{idx} + 1])) AS {q(c)}")
     out += [f"s.{q(c)}" for c in cat_cols]
-    ctes.append(f"srows AS (SELECT {', '.join(out)} FROM {prev} s {' '.join(joins)})")
-    return ",\n".join(ctes), "srows"
+    ctes.append(f"{tag}srows AS (SELECT {', '.join(out)} FROM {prev} s {' '.join(joins)})")
+    return ",\n".join(ctes), f"{tag}srows"
+
+
+def prep_fit_sql(tag: str, src: str, num_cols: list[str], cat_cols: list[str]) -> str:
+    """CTEs ``{tag}mm`` (mean/min/max per numeric column) and ``{tag}lv``
+    (sorted levels per categorical column) of ``Preprocessor.fit``."""
+    aggs = []
+    for i, c in enumerate(num_cols):
+        x = f"CAST({q(c)} AS DOUBLE)"
+        aggs += [f"avg({x}) AS m{i}", f"min({x}) AS lo{i}", f"max({x}) AS hi{i}"]
+    ctes = [f"{tag}mm AS (SELECT {', '.join(aggs) or '1 AS dummy'} FROM {src})"]
+    if cat_cols:
+        parts = [f"SELECT DISTINCT {lit(c)} AS col, CAST({q(c)} AS VARCHAR) AS level FROM {src} "
+                 f"WHERE {q(c)} IS NOT NULL" for c in cat_cols]
+        ctes.append(f"{tag}lv AS (SELECT col, level, row_number() OVER (PARTITION BY col ORDER BY level) - 1 AS code "
+                    f"FROM ({' UNION ALL '.join(parts)}))")
+    return ",\n".join(ctes)
+
+
+def prep_select_sql(tag: str, num_cols: list[str], cat_levels: dict[str, int], alias: str = "t",
+                    scale: bool = True) -> list[str]:
+    """Select expressions of ``PreprocessorModel.transform`` over ``alias``
+    (joined with ``{tag}mm m``); one-hot columns ``<col>_<i>``."""
+    out = []
+    for i, c in enumerate(num_cols):
+        x = f"coalesce(CAST({alias}.{q(c)} AS DOUBLE), m.m{i})"
+        if scale:
+            rng = f"(CASE WHEN m.hi{i} - m.lo{i} <> 0 THEN m.hi{i} - m.lo{i} ELSE 1.0 END)"
+            x = f"(({x} - m.lo{i}) / {rng})"
+        out.append(f"{x} AS {q(c)}")
+    for c, k in cat_levels.items():
+        for i in range(k):
+            out.append(f"CASE WHEN CAST({alias}.{q(c)} AS VARCHAR) = (SELECT level FROM {tag}lv WHERE col = {lit(c)} "
+                       f"AND code = {i}) THEN 1.0 ELSE 0.0 END AS {q(f'{c}_{i}')}")
+    return out
+
+
+def r9(expr: str, digits: int = 9) -> str:
+    return f"round({expr}, {digits})"
