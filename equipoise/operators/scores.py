@@ -71,19 +71,20 @@ def ranking_metrics(df: DataFrame, group: list[str]) -> DataFrame:
         F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).cast("long").alias("neg"))
     ps = prefix_sums(agg, group + ["p"], ["pos", "neg"])
     starts = ps.groupBy(*group).agg(F.min("cum_pos").alias("sp"), F.min("cum_neg").alias("sn"),
-                                    F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+                                    F.sum("pos").alias("tot_pos"), F.sum("neg").alias("tot_neg"))
     j = ps.join(F.broadcast(starts), group) if group else ps.join(F.broadcast(starts))  # one row per group
     neg_below = F.col("cum_neg") - F.col("sn")
     pos_below = F.col("cum_pos") - F.col("sp")
-    tp_ge = F.col("P") - pos_below
-    all_ge = tp_ge + F.col("N") - neg_below
+    tp_ge = F.col("tot_pos") - pos_below
+    all_ge = tp_ge + F.col("tot_neg") - neg_below
     num2 = (F.col("pos").cast("decimal(38,0)") * (2 * neg_below + F.col("neg")).cast("decimal(38,0)"))
     ap_term = F.col("pos").cast("double") * tp_ge.cast("double") / all_ge.cast("double")
     r = j.groupBy(*group).agg(F.sum(num2).alias("num2"), F.sum(ap_term).alias("ap_sum"),
-                              F.first("P").alias("P"), F.first("N").alias("N"))
-    auc = F.when((F.col("P") > 0) & (F.col("N") > 0),
-                 F.col("num2").cast("double") / (F.lit(2.0) * F.col("P").cast("double") * F.col("N").cast("double")))
-    aps = F.when(F.col("P") > 0, F.col("ap_sum") / F.col("P").cast("double"))
+                              F.first("tot_pos").alias("tot_pos"), F.first("tot_neg").alias("tot_neg"))
+    P, N = F.col("tot_pos"), F.col("tot_neg")
+    auc = F.when((P > 0) & (N > 0),
+                 F.col("num2").cast("double") / (F.lit(2.0) * P.cast("double") * N.cast("double")))
+    aps = F.when(P > 0, F.col("ap_sum") / P.cast("double"))
     return r.select(*group, auc.alias("auc"), aps.alias("aps"))
 
 
