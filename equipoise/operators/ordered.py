@@ -98,20 +98,27 @@ def _uniform_h(k: F.Column, n: F.Column, n_knots: int) -> F.Column:
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str,
                     probs: list[float] | None = None, n_knots: int = 101,
-                    partitions: int | None = None) -> DataFrame:
+                    partitions: int | None = None, with_n: bool = False) -> DataFrame:
     """Exact linear-interpolated quantiles per group, long form:
-    ``keys..., k (int), value (double)``.
+    ``keys..., k (int), value (double)`` (plus the group size ``n`` if ``with_n``).
 
     ``probs=None`` gives ``n_knots`` evenly spaced knots with position
     ``h = k*(n-1)/(n_knots-1)``; otherwise ``h = probs[k]*(n-1)``. The result is
     ``v[floor(h)] + (h - floor(h)) * (v[floor(h)+1] - v[floor(h)])`` over the
     sorted non-null values of the group (0-based ranks).
     """
+    if not keys:  # one global group: a constant key keeps every join an equi-join
+        out = group_quantiles(df.withColumn("__g0", F.lit(0)), ["__g0"], value, probs, n_knots,
+                              partitions, with_n)
+        return out.drop("__g0")
     counted = (df.where(F.col(value).isNotNull())
                .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("w")))
     ranked = prefix_sums(counted, keys + [value], ["w"], partitions=partitions)
     starts = ranked.groupBy(*keys).agg(F.min("cum_w").alias("start"), F.sum("w").alias("n"))
-    rows = ranked.join(starts, keys, "inner")  # starts: one row per group
+    # one row per group; keys may be null, so the join is null-safe
+    starts = starts.select(*[F.col(k).alias(f"__s_{k}") for k in keys], "start", "n")
+    cond = [ranked[k].eqNullSafe(starts[f"__s_{k}"]) for k in keys]
+    rows = ranked.join(starts, cond, "inner")
     r0 = F.col("cum_w") - F.col("start")
     r1 = r0 + F.col("w") - 1
     rows = rows.select(*keys, F.col(value).cast("double").alias("v"), r0.alias("r0"),
@@ -131,13 +138,14 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str,
     cand = cand.where(((F.col("lo") >= F.col("r0")) & (F.col("lo") <= F.col("r1")))
                       | ((F.col("lo") + 1 >= F.col("r0")) & (F.col("lo") + 1 <= F.col("r1"))))
     agg = cand.groupBy(*keys, "k").agg(
-        F.first("h").alias("h"), F.first("lo").alias("lo"),
+        F.first("h").alias("h"), F.first("lo").alias("lo"), F.first("n").alias("n"),
         F.max(F.when((F.col("lo") >= F.col("r0")) & (F.col("lo") <= F.col("r1")), F.col("v"))).alias("v_lo"),
         F.max(F.when((F.col("lo") + 1 >= F.col("r0")) & (F.col("lo") + 1 <= F.col("r1")), F.col("v"))).alias("v_hi"))
     frac = F.col("h") - F.col("lo").cast("double")
     val = F.when((frac > 0) & F.col("v_hi").isNotNull(),
                  F.col("v_lo") + frac * (F.col("v_hi") - F.col("v_lo"))).otherwise(F.col("v_lo"))
-    return agg.select(*keys, F.col("k").cast("int").alias("k"), val.alias("value"))
+    out = agg.select(*keys, F.col("k").cast("int").alias("k"), val.alias("value"), "n")
+    return out if with_n else out.drop("n")
 
 
 def group_quantiles_sql(table_sql: str, keys: list[str], value: str,

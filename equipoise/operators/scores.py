@@ -66,13 +66,15 @@ def threshold_metrics(c: DataFrame) -> DataFrame:
 def ranking_metrics(df: DataFrame, group: list[str]) -> DataFrame:
     """Exact AUC (ties count one half) and step-wise average precision
     per group, from weighted counts per distinct score."""
+    if not group:  # one global group: a constant key keeps the join an equi-join
+        return ranking_metrics(df.withColumn("__g0", F.lit(0)), ["__g0"]).drop("__g0")
     agg = df.groupBy(*group, "p").agg(
         F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).cast("long").alias("neg"))
     ps = prefix_sums(agg, group + ["p"], ["pos", "neg"])
     starts = ps.groupBy(*group).agg(F.min("cum_pos").alias("sp"), F.min("cum_neg").alias("sn"),
                                     F.sum("pos").alias("tot_pos"), F.sum("neg").alias("tot_neg"))
-    j = ps.join(F.broadcast(starts), group) if group else ps.join(F.broadcast(starts))  # one row per group
+    j = ps.join(F.broadcast(starts), group)  # one row per group
     neg_below = F.col("cum_neg") - F.col("sn")
     pos_below = F.col("cum_pos") - F.col("sp")
     tp_ge = F.col("tot_pos") - pos_below
@@ -95,9 +97,10 @@ def binary_scores(df: DataFrame, y: str, p: str, metrics: list[str] | None = Non
     if "f1" not in metrics:
         metrics.append("f1")
     d = _yp(df, y, p, weight)
-    th = threshold_metrics(confusion(d, [], threshold))
+    d = d.withColumn("__g0", F.lit(0))
+    th = threshold_metrics(confusion(d, ["__g0"], threshold))
     if {"auc", "aps"} & set(metrics):
-        th = th.join(ranking_metrics(d, []))
+        th = th.join(ranking_metrics(d, ["__g0"]), "__g0")
     return th.select(*metrics)
 
 

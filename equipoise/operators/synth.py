@@ -117,13 +117,17 @@ class Synthesizer:
         if bad:
             raise ValueError("Target must be binary 0/1 without nulls.")
 
-        prior = data.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+        # two passes over the data: category counts and numeric quantiles; the
+        # prior comes from the first category's counts when there is one
+        if self.cat_cols:
+            self.cat_table = materialize(self._fit_cat_table(data))
+            prior = (self.cat_table.where(F.col("col") == self.cat_cols[0])
+                     .groupBy("y").agg(F.sum("cnt").alias("n")))
+        else:
+            prior = data.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
         tot = Window.partitionBy()  # two rows at most
         self.prior = materialize(prior.withColumn(
             "p", F.col("n").cast("double") / F.sum("n").over(tot).cast("double")))
-
-        if self.cat_cols:
-            self.cat_table = materialize(self._fit_cat_table(data))
         if self.num_cols:
             self.knots = materialize(self._fit_knots(data))
         return self
@@ -156,10 +160,10 @@ class Synthesizer:
         whole = long.withColumn("cell", F.lit(False)).withColumn("cond", F.lit(None).cast("string"))
         both = cell.unionByName(whole) if cond else whole
         keys = ["col", "y", "cell", "cond"]
-        q = group_quantiles(both, keys, "v", n_knots=self.n_knots)
-        n = both.where(F.col("v").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        arr = q.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("kv"))
-        return arr.join(n, keys, "inner").select(*keys, "n", F.col("kv.value").alias("knots"))
+        q = group_quantiles(both, keys, "v", n_knots=self.n_knots, with_n=True)
+        arr = q.groupBy(*keys).agg(F.first("n").alias("n"),
+                                   F.sort_array(F.collect_list(F.struct("k", "value"))).alias("kv"))
+        return arr.select(*keys, "n", F.col("kv.value").alias("knots"))
 
     # --------------------------------------------------------------- sample
     def sample(self, n: int, y=None, seed: int | None = None, stream: str = "s",

@@ -30,6 +30,7 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from equipoise.plans import (  # noqa: F401
         q_balance,
+        q_models,
         q_quality,
         q_scores,
         q_transforms,

@@ -66,3 +66,184 @@ def d2_class_imbalance(spark, sf_dir):
     ds = orders_urgent(spark, sf_dir)
     r = class_imbalance(ds.df, ds.target)
     return r.select("n", "n_pos", "n_neg", F.round("pos_rate", 9).alias("pos_rate"), "n_missing")
+
+
+# ---------------------------------------------------------------- D1 tables
+_FIT_SQL = None
+
+
+def _fit_ctes() -> str:
+    from equipoise.plans.sqlgen import synth_fit_sql
+    return f"src AS {_ORD},\n" + synth_fit_sql("src", "urgent", _NUM, _CAT)
+
+
+@register("d1_fitted_cat_table", f"""WITH {_fit_ctes()}
+SELECT col, y, parent, level, cnt, round(lo, 12) AS lo, round(hi, 12) AS hi FROM sct""")
+def d1_fitted_cat_table(spark, sf_dir):
+    """The fitted category table (level intervals given class and parent level)."""
+    _, syn = _orders_synth(spark, sf_dir)
+    t = syn.cat_table
+    return t.select("col", "y", "parent", "level", "cnt", F.round("lo", 12).alias("lo"),
+                    F.round("hi", 12).alias("hi"))
+
+
+@register("d1_fitted_knots", f"""WITH {_fit_ctes()}
+SELECT col, y, cell, cond, n, CAST(k AS INTEGER) AS k, round(value, 6) AS value
+FROM snk, unnest(range(0, 101)) r(k0), LATERAL (SELECT k0 AS k, knots[k0 + 1] AS value)""")
+def d1_fitted_knots(spark, sf_dir):
+    """The fitted numeric quantile knots per (class, conditioning level), long form."""
+    _, syn = _orders_synth(spark, sf_dir)
+    t = syn.knots.select("col", "y", "cell", "cond", "n", F.posexplode("knots").alias("k", "value"))
+    return t.select("col", "y", "cell", "cond", "n", F.col("k").cast("int").alias("k"),
+                    F.round("value", 6).alias("value"))
+
+
+# ------------------------------------------------------- D3/D4/D5 sampling
+_LEVEL_COUNTS = {"o_orderstatus": 3, "c_mktsegment": 5}
+
+
+def _soft_sql() -> str:
+    from equipoise.plans.sqlgen import synth_draw_sql
+    draw, rows = synth_draw_sql("", "urgent", _NUM, _CAT, "(SELECT count(*) FROM src)",
+                                "(SELECT l.urgent FROM src l WHERE l.o_orderkey = synth_id)", seed=SEED)
+    probs = []
+    for j, c in enumerate(_CAT):
+        par = f"r.{_CAT[j - 1]}" if j > 0 else "''"
+        for i in range(_LEVEL_COUNTS[c]):
+            lv = (f"(SELECT level FROM (SELECT level, row_number() OVER (ORDER BY level) - 1 AS i "
+                  f"FROM (SELECT DISTINCT level FROM sct WHERE col = '{c}')) WHERE i = {i})")
+            probs.append(f"round(coalesce((SELECT t.hi - t.lo FROM sct t WHERE t.col = '{c}' AND t.y = r.urgent "
+                         f"AND t.parent IS NOT DISTINCT FROM {par} AND t.level = {lv}), 0.0), 12) AS {c}__p_{i}")
+    return f"""WITH {_fit_ctes()},
+{draw}
+SELECT r.synth_id, r.urgent, round(r.o_totalprice, 6) AS o_totalprice, round(r.order_day, 6) AS order_day,
+  r.o_orderstatus, r.c_mktsegment, {', '.join(probs)} FROM {rows} r"""
+
+
+@register("d3_d4_d5_soft_sample", _soft_sql())
+def d3_d4_d5_soft_sample(spark, sf_dir):
+    """D3 + D4 + D5: one synthetic row per order with the order's own label
+    (a label table keyed by row id), hard level draws plus soft probabilities."""
+    ds, syn = _orders_synth(spark, sf_dir)
+    labels = ds.df.select(F.col("o_orderkey").alias("synth_id"), F.col("urgent").alias("y"))
+    n = ds.df.count()
+    s = syn.sample(n, y=labels, soft=True)
+    prob_cols = [c for c in s.columns if "__p_" in c]
+    return s.select("synth_id", "urgent", F.round("o_totalprice", 6).alias("o_totalprice"),
+                    F.round("order_day", 6).alias("order_day"), "o_orderstatus", "c_mktsegment",
+                    *[F.round(c, 12).alias(c) for c in prob_cols])
+
+
+# --------------------------------------------- D8 joint mode, D9 clean sample
+_SCALED_SQL = f"""(SELECT o_orderkey, urgent,
+    (o_totalprice - m.lo0) / (CASE WHEN m.hi0 - m.lo0 <> 0 THEN m.hi0 - m.lo0 ELSE 1.0 END) AS o_totalprice,
+    (order_day - m.lo1) / (CASE WHEN m.hi1 - m.lo1 <> 0 THEN m.hi1 - m.lo1 ELSE 1.0 END) AS order_day,
+    o_orderstatus, c_mktsegment
+  FROM {_ORD} t, (SELECT min(o_totalprice) AS lo0, max(o_totalprice) AS hi0,
+                         min(order_day) AS lo1, max(order_day) AS hi1 FROM {_ORD}) m)"""
+
+
+def _scaled_orders(spark, sf_dir):
+    from equipoise.operators.preprocess import Preprocessor
+    ds = orders_urgent(spark, sf_dir)
+    model = Preprocessor(ds.num_cols, [], scale=True).fit(ds.df)
+    df = model.transform(ds.df, keep=["o_orderkey", "urgent", "o_orderstatus", "c_mktsegment"])
+    return ds, df
+
+
+def _clip_sql(c: str) -> str:
+    return f"greatest(0.0, least({c}, 1.0))"
+
+
+def _d8_sql() -> str:
+    from equipoise.plans.sqlgen import synth_draw_sql, synth_fit_sql
+    fit = synth_fit_sql("src", "urgent", _NUM, _CAT)
+    pilot, prow = synth_draw_sql("p", "urgent", _NUM, _CAT, "1200", "0", seed=SEED, stream="pilot",
+                                 condition=False)
+    main, mrow = synth_draw_sql("m", "urgent", _NUM, _CAT, "(SELECT ns FROM plan)", "0", seed=SEED,
+                                stream="s", condition=False)
+    return f"""WITH src AS {_SCALED_SQL},
+{fit},
+imb AS (SELECT CAST(sum(1 - urgent) - sum(urgent) AS BIGINT) AS m FROM src),
+{pilot},
+rate AS (SELECT avg(CAST(urgent AS DOUBLE)) AS r FROM {prow}),
+plan AS (SELECT CAST(floor(CAST(1.2 AS DOUBLE) * CAST(m AS DOUBLE) / r) AS BIGINT) AS ns FROM imb, rate),
+{main},
+kept AS (SELECT synth_id, urgent, {_clip_sql('o_totalprice')} AS o_totalprice, {_clip_sql('order_day')} AS order_day,
+           o_orderstatus, c_mktsegment, row_number() OVER (ORDER BY synth_id) - 1 AS rk
+         FROM {mrow} WHERE urgent = 1),
+allrows AS (
+  SELECT 'real' AS origin, urgent, o_totalprice, order_day, o_orderstatus, c_mktsegment FROM src
+  UNION ALL
+  SELECT 'synthetic', urgent, o_totalprice, order_day, o_orderstatus, c_mktsegment FROM kept
+  WHERE rk < (SELECT m FROM imb))
+SELECT origin, urgent, o_orderstatus, c_mktsegment, count(*) AS n_rows,
+  round(avg(o_totalprice), 9) AS avg_price, round(avg(order_day), 9) AS avg_day,
+  round(min(o_totalprice), 12) AS min_price, round(max(o_totalprice), 12) AS max_price,
+  round(min(order_day), 12) AS min_day, round(max(order_day), 12) AS max_day
+FROM allrows GROUP BY ALL"""
+
+
+def _summary9(res):
+    return res.groupBy("origin", "urgent", "o_orderstatus", "c_mktsegment").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.round(F.avg("o_totalprice"), 9).alias("avg_price"), F.round(F.avg("order_day"), 9).alias("avg_day"),
+        F.round(F.min("o_totalprice"), 12).alias("min_price"), F.round(F.max("o_totalprice"), 12).alias("max_price"),
+        F.round(F.min("order_day"), 12).alias("min_day"), F.round(F.max("order_day"), 12).alias("max_day"))
+
+
+@register("d8_resample_joint", _d8_sql())
+def d8_resample_joint(spark, sf_dir):
+    """Joint-mode resample: pilot draw for the minority rate, oversized draw,
+    keep class 1, clip to [0,1], cut to the missing count, append."""
+    ds, df = _scaled_orders(spark, sf_dir)
+    syn = Synthesizer(ds.target, ds.num_cols, ds.cat_cols, seed=SEED, condition=False).fit(df)
+    return _summary9(syn.resample(df, id_col="o_orderkey"))
+
+
+@register("d9_clean_sample", f"""WITH src AS {_SCALED_SQL},
+{synth_sql('src', 'urgent', _NUM, _CAT, n_sql='(SELECT count(*) FROM src)',
+           label_sql="CASE WHEN synth_id < (SELECT count(*) - count(*) // 2 FROM src) THEN 0 ELSE 1 END",
+           seed=SEED)[0]},
+c AS (SELECT 'synthetic' AS origin, urgent, {_clip_sql('o_totalprice')} AS o_totalprice,
+        {_clip_sql('order_day')} AS order_day, o_orderstatus, c_mktsegment FROM srows)
+SELECT origin, urgent, o_orderstatus, c_mktsegment, count(*) AS n_rows,
+  round(avg(o_totalprice), 9) AS avg_price, round(avg(order_day), 9) AS avg_day,
+  round(min(o_totalprice), 12) AS min_price, round(max(o_totalprice), 12) AS max_price,
+  round(min(order_day), 12) AS min_day, round(max(order_day), 12) AS max_day
+FROM c GROUP BY ALL""")
+def d9_clean_sample(spark, sf_dir):
+    """D9 + B18: a 50-50 sample the size of the table, clipped to [0, 1]."""
+    ds, df = _scaled_orders(spark, sf_dir)
+    syn = Synthesizer(ds.target, ds.num_cols, ds.cat_cols, seed=SEED).fit(df)
+    n = df.count()
+    s = syn.clean_sample(n, y="50-50").withColumn("origin", F.lit("synthetic"))
+    return _summary9(s)
+
+
+# ------------------------------------------------------------ A22-A24 sinks
+def _run_dir(spark, name: str) -> str:
+    import uuid
+    from equipoise.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/runs/{name}-{uuid.uuid4().hex[:8]}"
+
+
+@register("a24_persist_reload", _resample_sql())
+def a24_persist_reload(spark, sf_dir):
+    """Save the fitted synthesizer, load it back, resample; same rows as D7."""
+    ds, syn = _orders_synth(spark, sf_dir)
+    path = _run_dir(spark, "synth")
+    syn.save(path)
+    loaded = Synthesizer.load(spark, path)
+    return resample_summary(loaded.resample(ds.df, id_col=ds.id_col))
+
+
+@register("a22_synthetic_sink", _resample_sql())
+def a22_synthetic_sink(spark, sf_dir):
+    """Write the resampled table (real + synthetic rows) as parquet, read it back."""
+    from equipoise.sources.sinks import save_synthetic
+    ds, syn = _orders_synth(spark, sf_dir)
+    path = _run_dir(spark, "data")
+    save_synthetic(syn.resample(ds.df, id_col=ds.id_col), path, iteration=0)
+    back = spark.read.parquet(path).where(F.col("iteration") == 0).drop("iteration")
+    return resample_summary(back)
