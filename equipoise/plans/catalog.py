@@ -33,5 +33,6 @@ def load_all() -> None:
         q_models,
         q_quality,
         q_scores,
+        q_sources,
         q_transforms,
     )
