@@ -148,36 +148,52 @@ class Preprocessor:
     scale: bool = True
 
     def fit(self, df: DataFrame) -> PreprocessorModel:
-        aggs = []
-        for i, c in enumerate(self.num_cols):
-            x = F.col(f"`{c}`").cast("double")
-            aggs += [F.avg(x).alias(f"m{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        num_params = {}
-        if aggs:
-            row = df.agg(*aggs).first()  # 3 numbers per column
-            for i, c in enumerate(self.num_cols):
-                num_params[c] = {"mean": row[f"m{i}"], "min": row[f"lo{i}"], "max": row[f"hi{i}"]}
-        levels, modes, types = {}, {}, {}
-        if self.cat_cols:
-            fields = {f.name: f.dataType for f in df.schema.fields}
-            types = {c: fields[c].simpleString() for c in self.cat_cols}
-            mt = {r["column"]: r["mode"] for r in mode_table(df, self.cat_cols).collect()}
-            modes = {c: mt.get(c) for c in self.cat_cols}
-            # levels after mode imputation = distinct non-null levels; sorted in the column's own type
-            entries = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("level"),
-                                F.col(f"`{c}`").cast("string").try_cast("double").alias("num"))
-                       for c in self.cat_cols]
-            long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*") \
-                     .where(F.col("level").isNotNull()).distinct()
-            rows = long.collect()  # metadata: bounded by the cardinality of each column
-            for c in self.cat_cols:
-                lv = [(r["num"], r["level"]) for r in rows if r["column"] == c]
-                numeric = types[c] not in ("string",) and all(n is not None for n, _ in lv)
-                lv.sort(key=(lambda t: (t[0], t[1])) if numeric else (lambda t: t[1]))
-                levels[c] = [t[1] for t in lv]
+        """One pass over the rows: every row is exploded into one entry per
+        fitted column and grouped by ``(kind, column, level)``; numeric columns
+        form one group each (count, sum, min, max), categorical columns one group
+        per level (count). The grouped result is bounded by the cardinalities
+        and is all that reaches the driver."""
+        fields = {f.name: f.dataType for f in df.schema.fields}
+        types = {c: fields[c].simpleString() for c in self.cat_cols}
+        entries = [F.struct(F.lit("n").alias("kind"), F.lit(c).alias("column"),
+                            F.lit(None).cast("string").alias("level"),
+                            F.col(f"`{c}`").cast("double").alias("x")) for c in self.num_cols]
+        entries += [F.struct(F.lit("c").alias("kind"), F.lit(c).alias("column"),
+                             F.col(f"`{c}`").cast("string").alias("level"),
+                             F.lit(None).cast("double").alias("x")) for c in self.cat_cols]
+        if not entries:
+            return PreprocessorModel([], [], {}, {}, {}, {}, self.scale)
+        long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+        stats = long.groupBy("kind", "column", "level").agg(
+            F.count("x").alias("nx"), F.sum("x").alias("sx"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+            F.count(F.lit(1)).alias("cnt")).collect()
+        num_params = {c: {"mean": None, "min": None, "max": None} for c in self.num_cols}
+        counts = {c: [] for c in self.cat_cols}
+        for r in stats:
+            if r["kind"] == "n":
+                mean = r["sx"] / r["nx"] if r["nx"] else None
+                num_params[r["column"]] = {"mean": mean, "min": r["lo"], "max": r["hi"]}
+            elif r["level"] is not None:
+                counts[r["column"]].append((r["level"], r["cnt"]))
+        levels, modes = {}, {}
+        for c in self.cat_cols:
+            lv = counts[c]
+            # Most frequent, ties -> smallest value (as text)
+            modes[c] = min(lv, key=lambda t: (-t[1], t[0]))[0] if lv else None
+            numeric = types[c] != "string" and all(_is_number(v) for v, _ in lv)
+            ordered = sorted(lv, key=(lambda t: (float(t[0]), t[0])) if numeric else (lambda t: t[0]))
+            levels[c] = [v for v, _ in ordered]
         return PreprocessorModel(self.num_cols, self.cat_cols, num_params, levels, modes, types, self.scale)
 
 
+def _is_number(text: str) -> bool:
+    try:
+        float(text)
+        return True
+    except (TypeError, ValueError):
+        return False
+
+
 def inverse_onehot(df: DataFrame, col: str, levels: list[str], prefix: str | None = None) -> Column:
     """The level of the largest indicator in a one-hot block; an all-zero
     block gives null (unknown level at transform time)."""

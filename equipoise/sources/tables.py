@@ -107,7 +107,7 @@ def _lineitem_key_parts():
             F.round(F.col("l_discount") * 100).cast("long").cast("string"),
             F.round(F.col("l_tax") * 100).cast("long").cast("string"),
             F.col("l_returnflag"), F.col("l_linestatus"),
-            F.date_format(F.col("l_shipdate"), "yyyy-MM-dd")]
+            F.to_date(F.col("l_shipdate")).cast("string")]
 
 
 def lineitem_returned(spark: SparkSession, sf_dir: str) -> Dataset:
@@ -127,7 +127,7 @@ LINEITEM_RETURNED_SQL = """(SELECT
         CAST(l_linenumber AS VARCHAR), CAST(CAST(round(l_quantity * 100) AS BIGINT) AS VARCHAR),
         CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR),
         CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR), CAST(CAST(round(l_tax * 100) AS BIGINT) AS VARCHAR),
-        l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d'))) AS row_id,
+        l_returnflag, l_linestatus, CAST(CAST(l_shipdate AS DATE) AS VARCHAR))) AS row_id,
     CAST(l_returnflag = 'R' AS INTEGER) AS returned,
     CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice,
     CAST(l_discount AS DOUBLE) AS l_discount, CAST(l_tax AS DOUBLE) AS l_tax, l_linestatus
