@@ -13,10 +13,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equipoise.functions.random import TWO_32, poisson1_weight
+from equipoise.functions.random import TWO_32, poisson1_thresholds, poisson1_weight
 from equipoise.operators.ordered import prefix_sums
 
 DEFAULT_METRICS = ["auc", "aps", "acc", "f1", "bacc", "brier", "gmean"]
@@ -118,20 +118,171 @@ def _boot_rows(df: DataFrame, key: str, n_boot: int, seed: int) -> DataFrame:
                .where(F.col("w") > 0)
 
 
+def _np_poisson_weights(keys, seed: int, n_boot: int):
+    """(rows x n_boot) Poisson(1) weights, bit-identical to :func:`_boot_rows`:
+    replicate r uses 32-bit slice r % 4 of md5('key:seed:boot<r // 4>')."""
+    import hashlib
+
+    import numpy as np
+    thresholds = np.array(poisson1_thresholds())
+    digests = (n_boot + 3) // 4
+    u = np.empty((len(keys), digests * 4), dtype=np.float64)
+    for d in range(digests):
+        suffix = f":{seed}:boot{d}".encode()
+        hx = [hashlib.md5(k.encode() + suffix).hexdigest() for k in keys]
+        for i in range(4):
+            u[:, d * 4 + i] = [int(h[8 * i:8 * i + 8], 16) for h in hx]
+    u = u[:, :n_boot] / TWO_32
+    return (u[:, :, None] >= thresholds[None, None, :]).sum(axis=2).astype(np.int64)
+
+
 def bootstrap_scores(df: DataFrame, y: str, p: str, key: str, metrics: list[str] | None = None,
                      n_boot: int = 100, seed: int = 0, threshold: float = 0.5) -> DataFrame:
     """Mean of each metric over ``n_boot`` Poisson(1) bootstrap replicates.
 
-    Poisson(1) weights approximate n-of-n resampling with replacement and keep
-    each replicate a weighted aggregate (no per-replicate row copies)."""
+    Poisson(1) weights (seeded md5 of the row key, the same numbers as the SQL
+    twin) approximate n-of-n resampling with replacement. Rows are range-
+    partitioned by score once and checkpointed; replicates never become rows.
+    Pass 1 streams each partition in score order, tie group by tie group, and
+    emits per replicate the weighted confusion counts, class totals and the
+    partition's local AUC numerator (exact integers). Per-partition offsets
+    (a table of partitions x replicates) complete the AUC; pass 2 uses them for
+    the step-wise average precision. Work is O(rows x replicates) in NumPy
+    inside tasks; the shuffle moves each input row once.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark import TaskContext
+    from pyspark.sql import types as T
+
+    from equipoise.operators.ordered import _partitions, materialize
+
     metrics = list(metrics or DEFAULT_METRICS)
-    base = df.select(F.col(key), F.col(y).cast("int").alias("y"), F.col(p).cast("double").alias("p"))
-    d = _boot_rows(base, key, n_boot, seed)  # deterministic: recomputing it is safe
-    per_rep = threshold_metrics(confusion(d, ["rep"], threshold))
-    if {"auc", "aps"} & set(metrics):
-        per_rep = per_rep.join(ranking_metrics(d, ["rep"]), "rep")
-    out = per_rep.agg(*[F.avg(m).alias(m) for m in metrics])
-    return out
+    base = df.select(F.col(key).cast("string").alias("k"), F.col(y).cast("int").alias("y"),
+                     F.col(p).cast("double").alias("p"))
+    ranged = materialize(base.repartitionByRange(_partitions(base, None), "p")
+                         .sortWithinPartitions("p", "k"))
+    thr = float(threshold)
+
+    def groups(pdf):
+        W = _np_poisson_weights(pdf["k"].tolist(), seed, n_boot)
+        yv = pdf["y"].to_numpy()
+        pv = pdf["p"].to_numpy()
+        return W, yv, pv
+
+    def pass1(batches):
+        pid = TaskContext.get().partitionId()
+        tp = np.zeros(n_boot, np.int64); fp = tp.copy(); tn = tp.copy(); fn = tp.copy()
+        sq = np.zeros(n_boot); below_neg = np.zeros(n_boot, np.int64); pos_tot = np.zeros(n_boot, np.int64)
+        num2 = [0] * n_boot
+        open_p, open_pos, open_neg = None, np.zeros(n_boot, np.int64), np.zeros(n_boot, np.int64)
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            W, yv, pv = groups(pdf)
+            pred = pv > thr
+            pos_m, neg_m = yv == 1, yv == 0
+            tp += W[pos_m & pred].sum(0); fp += W[neg_m & pred].sum(0)
+            tn += W[neg_m & ~pred].sum(0); fn += W[pos_m & ~pred].sum(0)
+            sq += (W * ((pv - yv) ** 2)[:, None]).sum(0)
+            # tie groups of this batch (rows are sorted by p)
+            starts = np.flatnonzero(np.r_[True, pv[1:] != pv[:-1]])
+            gp = np.add.reduceat(W * pos_m[:, None], starts, axis=0)
+            gn = np.add.reduceat(W * neg_m[:, None], starts, axis=0)
+            gv = pv[starts]
+            if open_p is not None and gv[0] == open_p:
+                gp[0] += open_pos; gn[0] += open_neg
+            elif open_p is not None:
+                inc = open_pos * (2 * below_neg + open_neg)
+                num2 = [a + int(b) for a, b in zip(num2, inc)]
+                pos_tot += open_pos; below_neg += open_neg
+            # close every group but the last, which may continue in the next batch
+            if len(gv) > 1:
+                cg_p, cg_n = gp[:-1], gn[:-1]
+                before = below_neg[None, :] + np.cumsum(cg_n, axis=0) - cg_n
+                inc = (cg_p * (2 * before + cg_n)).sum(0)
+                num2 = [a + int(b) for a, b in zip(num2, inc)]
+                pos_tot += cg_p.sum(0); below_neg += cg_n.sum(0)
+            open_p, open_pos, open_neg = gv[-1], gp[-1].copy(), gn[-1].copy()
+        if open_p is not None:
+            inc = open_pos * (2 * below_neg + open_neg)
+            num2 = [a + int(b) for a, b in zip(num2, inc)]
+            pos_tot += open_pos; below_neg += open_neg
+        yield pd.DataFrame({"pid": pid, "rep": np.arange(n_boot, dtype=np.int32), "tp": tp, "fp": fp,
+                            "tn": tn, "fn": fn, "sq": sq, "pos": pos_tot, "neg": below_neg,
+                            "num2": [str(v) for v in num2]})
+
+    s1 = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("rep", T.IntegerType())]
+                      + [T.StructField(c, T.LongType()) for c in ("tp", "fp", "tn", "fn")]
+                      + [T.StructField("sq", T.DoubleType()), T.StructField("pos", T.LongType()),
+                         T.StructField("neg", T.LongType()), T.StructField("num2", T.StringType())])
+    part = ranged.mapInPandas(pass1, s1).withColumn("num2", F.col("num2").cast("decimal(38,0)"))
+    part = materialize(part)  # partitions x replicates rows
+    # offsets of earlier partitions, per replicate (window over partitions x replicates rows)
+    wb = Window.partitionBy("rep").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("off_pos", F.coalesce(F.sum("pos").over(wb), F.lit(0))) \
+               .withColumn("off_neg", F.coalesce(F.sum("neg").over(wb), F.lit(0)))
+    per = part.groupBy("rep").agg(
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn", "sq")],
+        F.sum("pos").alias("tot_pos"), F.sum("neg").alias("tot_neg"),
+        F.sum(F.col("num2") + (F.lit(2) * F.col("off_neg") * F.col("pos")).cast("decimal(38,0)")).alias("num2"))
+    per = per.withColumn("n", F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))
+    per = threshold_metrics(per)
+    PP, NN = F.col("tot_pos"), F.col("tot_neg")
+    per = per.withColumn("auc", F.when((PP > 0) & (NN > 0), F.col("num2").cast("double")
+                                       / (F.lit(2.0) * PP.cast("double") * NN.cast("double"))))
+    if "aps" in metrics:
+        # offsets and totals: partitions x replicates numbers, shipped to the tasks of pass 2
+        offs = {}
+        tot_p = {}
+        for r in part.select("pid", "rep", "off_pos", "off_neg").collect():
+            offs.setdefault(r["pid"], np.zeros((2, n_boot), np.int64))[:, r["rep"]] = (r["off_pos"], r["off_neg"])
+        for r in per.select("rep", "tot_pos", "tot_neg").collect():
+            tot_p[r["rep"]] = (r["tot_pos"], r["tot_neg"])
+        Ptot = np.array([tot_p[i][0] for i in range(n_boot)], np.int64)
+        Ntot = np.array([tot_p[i][1] for i in range(n_boot)], np.int64)
+
+        def pass2(batches):
+            pid = TaskContext.get().partitionId()
+            o = offs.get(pid, np.zeros((2, n_boot), np.int64))
+            cum_pos, cum_neg = o[0].copy(), o[1].copy()
+            ap = np.zeros(n_boot)
+            open_p, open_pos, open_neg = None, np.zeros(n_boot, np.int64), np.zeros(n_boot, np.int64)
+
+            def close(gp, gn):
+                nonlocal cum_pos, cum_neg, ap
+                bp = cum_pos[None, :] + np.cumsum(gp, axis=0) - gp
+                bn = cum_neg[None, :] + np.cumsum(gn, axis=0) - gn
+                tp_ge = Ptot[None, :] - bp
+                all_ge = tp_ge + Ntot[None, :] - bn
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    term = np.where(gp > 0, gp * tp_ge.astype(float) / all_ge, 0.0)
+                ap += term.sum(0)
+                cum_pos = cum_pos + gp.sum(0); cum_neg = cum_neg + gn.sum(0)
+
+            for pdf in batches:
+                if len(pdf) == 0:
+                    continue
+                W, yv, pv = groups(pdf)
+                starts = np.flatnonzero(np.r_[True, pv[1:] != pv[:-1]])
+                gp = np.add.reduceat(W * (yv == 1)[:, None], starts, axis=0)
+                gn = np.add.reduceat(W * (yv == 0)[:, None], starts, axis=0)
+                gv = pv[starts]
+                if open_p is not None and gv[0] == open_p:
+                    gp[0] += open_pos; gn[0] += open_neg
+                elif open_p is not None:
+                    close(open_pos[None, :], open_neg[None, :])
+                if len(gv) > 1:
+                    close(gp[:-1], gn[:-1])
+                open_p, open_pos, open_neg = gv[-1], gp[-1].copy(), gn[-1].copy()
+            if open_p is not None:
+                close(open_pos[None, :], open_neg[None, :])
+            yield pd.DataFrame({"rep": np.arange(n_boot, dtype=np.int32), "ap": ap})
+
+        aps = ranged.mapInPandas(pass2, "rep int, ap double").groupBy("rep").agg(F.sum("ap").alias("ap_sum"))
+        per = per.join(aps, "rep").withColumn(
+            "aps", F.when(PP > 0, F.col("ap_sum") / PP.cast("double")))
+    return per.agg(*[F.avg(m).alias(m) for m in metrics])
 
 
 def weighted_f1(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
