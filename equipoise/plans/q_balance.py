@@ -247,3 +247,31 @@ def a22_synthetic_sink(spark, sf_dir):
     save_synthetic(syn.resample(ds.df, id_col=ds.id_col), path, iteration=0)
     back = spark.read.parquet(path).where(F.col("iteration") == 0).drop("iteration")
     return resample_summary(back)
+
+
+def _events_resample_sql() -> str:
+    from equipoise.sources.tables import EVENTS_ERROR_SQL
+    ctes, rows = synth_sql("src", "is_error", ["value", "k"], ["hour"], n_sql="(SELECT m FROM imb)",
+                           label_sql="1", seed=SEED)
+    return f"""WITH src AS {EVENTS_ERROR_SQL},
+imb AS (SELECT CAST(sum(1 - is_error) - sum(is_error) AS BIGINT) AS m FROM src),
+{ctes},
+allrows AS (SELECT 'real' AS origin, is_error, value, k, hour FROM src
+            UNION ALL SELECT 'synthetic', is_error, value, k, hour FROM {rows})
+SELECT origin, is_error, hour, count(*) AS n_rows, round(avg(value), 6) AS avg_value, round(avg(k), 6) AS avg_k,
+  min(value) AS min_value, max(value) AS max_value, min(k) AS min_k, max(k) AS max_k
+FROM allrows GROUP BY ALL"""
+
+
+@register("d7_resample_events", _events_resample_sql())
+def d7_resample_events(spark, sf_dir):
+    """D7 on events: error events oversampled to 1:1 with value, the JSON field k
+    and the hour of day (24 levels) as the conditioning category."""
+    from equipoise.sources.tables import events_error
+    ds = events_error(spark, sf_dir)
+    syn = Synthesizer(ds.target, ds.num_cols, ds.cat_cols, seed=SEED).fit(ds.df)
+    res = syn.resample(ds.df, id_col=ds.id_col)
+    return res.groupBy("origin", "is_error", "hour").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("value"), 6).alias("avg_value"),
+        F.round(F.avg("k"), 6).alias("avg_k"), F.min("value").alias("min_value"),
+        F.max("value").alias("max_value"), F.min("k").alias("min_k"), F.max("k").alias("max_k"))
