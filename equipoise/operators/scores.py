@@ -20,6 +20,11 @@ from equipoise.functions.random import TWO_32, poisson1_thresholds, poisson1_wei
 from equipoise.operators.ordered import prefix_sums
 
 DEFAULT_METRICS = ["auc", "aps", "acc", "f1", "bacc", "brier", "gmean"]
+
+# A score value holding more than this share of an average partition's rows
+# switches the bootstrap to its skew-proof row form.
+HOT_TIE_SHARE = 0.5
+HOT_TIE_MIN_ROWS = 10_000
 ALL_METRICS = DEFAULT_METRICS
 
 
@@ -118,6 +123,22 @@ def _boot_rows(df: DataFrame, key: str, n_boot: int, seed: int) -> DataFrame:
                .where(F.col("w") > 0)
 
 
+def _bootstrap_rows(df: DataFrame, y: str, p: str, key: str, metrics: list[str] | None = None,
+                     n_boot: int = 100, seed: int = 0, threshold: float = 0.5) -> DataFrame:
+    """E15, skew-proof form: one row per (replicate, row) with weight > 0,
+    aggregated map-side by (replicate, score) before any shuffle, then the
+    grouped exact ranking. Used when one score value holds a large share of
+    the rows (the streaming form would give that value's rows to one task)."""
+    metrics = list(metrics or DEFAULT_METRICS)
+    base = df.select(F.col(key), F.col(y).cast("int").alias("y"), F.col(p).cast("double").alias("p"))
+    d = _boot_rows(base, key, n_boot, seed)  # deterministic: recomputing it is safe
+    per_rep = threshold_metrics(confusion(d, ["rep"], threshold))
+    if {"auc", "aps"} & set(metrics):
+        per_rep = per_rep.join(ranking_metrics(d, ["rep"]), "rep")
+    out = per_rep.agg(*[F.avg(m).alias(m) for m in metrics])
+    return out
+
+
 def _np_poisson_weights(keys, seed: int, n_boot: int):
     """(rows x n_boot) Poisson(1) weights, bit-identical to :func:`_boot_rows`:
     replicate r uses 32-bit slice r % 4 of md5('key:seed:boot<r // 4>')."""
@@ -160,6 +181,11 @@ def bootstrap_scores(df: DataFrame, y: str, p: str, key: str, metrics: list[str]
     metrics = list(metrics or DEFAULT_METRICS)
     base = df.select(F.col(key).cast("string").alias("k"), F.col(y).cast("int").alias("y"),
                      F.col(p).cast("double").alias("p"))
+    # hot tie check: the largest group of equal scores (partial aggregation, one number back)
+    n_part = _partitions(base, None)
+    top = base.groupBy("p").count().agg(F.max("count").alias("m"), F.sum("count").alias("n")).first()
+    if top["n"] and top["m"] > max(HOT_TIE_MIN_ROWS, HOT_TIE_SHARE * top["n"] / n_part):
+        return _bootstrap_rows(df, y, p, key, metrics, n_boot, seed, threshold)
     ranged = materialize(base.repartitionByRange(_partitions(base, None), "p")
                          .sortWithinPartitions("p", "k"))
     thr = float(threshold)

@@ -115,10 +115,6 @@ class Synthesizer:
         data = df.select(F.col(self.target).cast("int").alias("y"),
                          *[F.col(c).cast("double").alias(c) for c in self.num_cols],
                          *[F.col(c).cast("string").alias(c) for c in self.cat_cols])
-        bad = data.where(F.col("y").isNull() | ~F.col("y").isin(0, 1)).limit(1).count()
-        if bad:
-            raise ValueError("Target must be binary 0/1 without nulls.")
-
         # two passes over the data: category counts and numeric quantiles; the
         # prior comes from the first category's counts when there is one
         if self.cat_cols:
@@ -127,9 +123,12 @@ class Synthesizer:
                      .groupBy("y").agg(F.sum("cnt").alias("n")))
         else:
             prior = data.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
-        tot = Window.partitionBy()  # two rows at most
+        tot = Window.partitionBy()  # one row per class value
         self.prior = materialize(prior.withColumn(
             "p", F.col("n").cast("double") / F.sum("n").over(tot).cast("double")))
+        # the class counts double as the target check (no extra pass over the data)
+        if {r["y"] for r in self.prior.select("y").collect()} - {0, 1}:
+            raise ValueError("Target must be binary 0/1 without nulls.")
         if self.num_cols:
             self.knots = materialize(self._fit_knots(data))
         return self

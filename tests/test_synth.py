@@ -70,3 +70,19 @@ def test_joint_mode_and_majority_error(spark, fitted):
     syn2 = Synthesizer(ds.target, ds.num_cols, ds.cat_cols).fit(flipped)
     with pytest.raises(ValueError):
         syn2.resample(flipped)
+
+
+def test_variants_numeric_only_categorical_only_unconditioned(spark):
+    ds = orders_urgent(spark, SF001)
+    num = Synthesizer(ds.target, ds.num_cols, [], seed=5).fit(ds.df)
+    s = num.sample(300, y=0)
+    assert s.columns == ["synth_id", ds.target] + ds.num_cols and s.where("o_totalprice IS NULL").count() == 0
+    cat = Synthesizer(ds.target, [], ds.cat_cols, seed=5).fit(ds.df)
+    assert cat.sample(300, y=1).where("c_mktsegment IS NULL").count() == 0
+    flat = Synthesizer(ds.target, ds.num_cols, ds.cat_cols, seed=5, condition_num_on_cat=False).fit(ds.df)
+    assert flat.knots.where("cell").count() == 0
+    assert flat.sample(300, y="50-50").count() == 300
+    with pytest.raises(ValueError):
+        Synthesizer(ds.target, [], []).fit(ds.df)
+    with pytest.raises(ValueError):
+        Synthesizer("o_totalprice", [], ds.cat_cols).fit(ds.df)  # not a 0/1 target
