@@ -32,14 +32,42 @@ def make_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``equipoise`` importable in Python workers (``mapInPandas``
+    functions refer to it): zip the package once per application and add it
+    with ``addPyFile``, which Spark copies to every executor."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    path = os.path.join(tempfile.mkdtemp(prefix="equipoise-pkg-"), "equipoise.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder of this session.
+    """Return the reliable checkpoint folder of this session (and make sure
+    the package is shipped to the Python workers).
 
     The cluster names it in ``spark.checkpoint.dir``; that setting is always
     honoured. Only a local-mode session with nothing configured gets a fresh
     scratch folder (tests, benches); a cluster session without one is an error,
     because a machine-local folder does not survive executor loss.
     """
+    ship_package(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
