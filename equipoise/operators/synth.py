@@ -181,7 +181,8 @@ class Synthesizer:
         spark = spark or self.prior.sparkSession
         seed = self.seed if seed is None else seed
         n = int(n)
-        parts = max(1, math.ceil(n / ROWS_PER_SAMPLE_PARTITION))
+        # at least one partition per core of the cluster, more for very large draws
+        parts = max(spark.sparkContext.defaultParallelism, math.ceil(n / ROWS_PER_SAMPLE_PARTITION))
         ids = spark.range(0, n, numPartitions=parts).select(F.col("id").alias("synth_id"))
         if self.condition:
             rows = label_plan(ids, n, y)
