@@ -69,9 +69,6 @@ def d2_class_imbalance(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- D1 tables
-_FIT_SQL = None
-
-
 def _fit_ctes() -> str:
     from equipoise.plans.sqlgen import synth_fit_sql
     return f"src AS {_ORD},\n" + synth_fit_sql("src", "urgent", _NUM, _CAT)

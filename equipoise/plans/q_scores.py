@@ -12,7 +12,6 @@ from equipoise.plans.catalog import register
 from equipoise.sources.tables import DOCS_TOXIC_SQL, ORDERS_URGENT_SQL, docs_toxic, orders_urgent, read_table
 
 SEED = 2020
-_D = "CAST({} AS DOUBLE)"
 
 
 def scored(ds, score_col):

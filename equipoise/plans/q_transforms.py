@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from equipoise.functions.random import hash_normal, hash_normal_sql, hash_u, hash_u_sql
+from equipoise.functions.random import hash_normal_sql, hash_u, hash_u_sql
 from equipoise.functions.scalar import (days_between, percent_to_double, positive_flag, target_equals,
                                         target_positive, target_shift)
 from equipoise.operators.ordered import prefix_sums
@@ -14,7 +14,7 @@ from equipoise.operators.transforms import (append_tables, drop_columns, encode_
                                             head_by_hash, label_from_onehot, label_onehot, positional_attach,
                                             random_columns, rare_levels, union_labelled)
 from equipoise.plans.catalog import register
-from equipoise.plans.sqlgen import prep_fit_sql, prep_select_sql, q
+from equipoise.plans.sqlgen import prep_fit_sql, prep_select_sql
 from equipoise.sources.tables import (LINEITEM_RETURNED_SQL, ORDERS_URGENT_SQL, lineitem_returned,
                                       orders_urgent, read_table)
 
@@ -306,5 +306,3 @@ def b16_b17_union_labelled(spark, sf_dir):
     u = union_labelled(d.where("urgent = 1"), d.where("urgent = 0"), "type")
     return u.groupBy("type", "urgent").agg(F.count(F.lit(1)).alias("n"))
 
-
-__all__ = ["q", "hash_normal", "hash_u"]
