@@ -91,9 +91,9 @@ def prefix_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
                                      for c in sum_cols])
 
 
-def _uniform_h(k: F.Column, n: F.Column, n_knots: int) -> F.Column:
-    # exact rational k*(n-1)/(K-1), rounded once; DuckDB computes the same
-    return (k.cast("long") * (n - 1)).cast("double") / F.lit(float(n_knots - 1))
+def _norm_key(t) -> tuple:
+    return tuple(None if (x is None or (isinstance(x, float) and x != x)) else
+                 (x.item() if hasattr(x, "item") else x) for x in t)
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str,
@@ -106,41 +106,100 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str,
     ``h = k*(n-1)/(n_knots-1)``; otherwise ``h = probs[k]*(n-1)``. The result is
     ``v[floor(h)] + (h - floor(h)) * (v[floor(h)+1] - v[floor(h)])`` over the
     sorted non-null values of the group (0-based ranks).
+
+    Rows collapse map-side to (group, value, multiplicity); one range shuffle
+    sorts them (a hot group spans several partitions) and is checkpointed.
+    Pass 1 counts each group's rows per partition (a groups x partitions table
+    on the driver gives every group piece its starting rank); pass 2 emits
+    only the values found at the ranks the knots need.
     """
-    if not keys:  # one global group: a constant key keeps every join an equi-join
+    if not keys:  # one global group: a constant key keeps the code path uniform
         out = group_quantiles(df.withColumn("__g0", F.lit(0)), ["__g0"], value, probs, n_knots,
                               partitions, with_n)
         return out.drop("__g0")
+    import numpy as np
+
     counted = (df.where(F.col(value).isNotNull())
                .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("w")))
-    ranked = prefix_sums(counted, keys + [value], ["w"], partitions=partitions)
-    starts = ranked.groupBy(*keys).agg(F.min("cum_w").alias("start"), F.sum("w").alias("n"))
-    # one row per group; keys may be null, so the join is null-safe
-    starts = starts.select(*[F.col(k).alias(f"__s_{k}") for k in keys], "start", "n")
-    cond = [ranked[k].eqNullSafe(starts[f"__s_{k}"]) for k in keys]
-    rows = ranked.join(starts, cond, "inner")
-    r0 = F.col("cum_w") - F.col("start")
-    r1 = r0 + F.col("w") - 1
-    rows = rows.select(*keys, F.col(value).cast("double").alias("v"), r0.alias("r0"),
-                       r1.alias("r1"), "n")
+    n_part = _partitions(df, partitions)
+    ranged = materialize(counted.select(*keys, F.col(value).cast("double").alias("__v"), "w")
+                         .repartitionByRange(n_part, *keys, "__v").sortWithinPartitions(*keys, "__v"))
+    key_fields = [ranged.schema[k] for k in keys]
+
+    def pass1(batches):
+        pid = TaskContext.get().partitionId()
+        acc: dict = {}
+        for pdf in batches:
+            if len(pdf):
+                for kt, c in pdf.groupby(keys, dropna=False, sort=False)["w"].sum().items():
+                    kt = _norm_key(kt if isinstance(kt, tuple) else (kt,))
+                    acc[kt] = acc.get(kt, 0) + int(c)
+        rows = [list(kt) + [pid, c] for kt, c in acc.items()]
+        yield pd.DataFrame(rows, columns=keys + ["__pid", "__cnt"])
+
+    s1 = T.StructType(key_fields + [T.StructField("__pid", T.IntegerType()), T.StructField("__cnt", T.LongType())])
+    pieces = ranged.mapInPandas(pass1, s1).collect()  # groups x partitions rows
+    totals: dict = {}
+    for r in sorted(pieces, key=lambda r: r["__pid"]):
+        kt = _norm_key(tuple(r[k] for k in keys))
+        totals.setdefault(kt, []).append((r["__pid"], r["__cnt"]))
+    plan: dict = {}   # (pid, group) -> (first rank of the piece, ranks needed, their (k, part))
+    n_of: dict = {}
+    kk = n_knots - 1
+    for kt, parts in totals.items():
+        n = sum(c for _, c in parts)
+        n_of[kt] = n
+        need = []
+        for k in range(n_knots if probs is None else len(probs)):
+            h = (float(k * (n - 1)) / float(kk)) if probs is None else float(probs[k]) * float(n - 1)
+            lo = int(np.floor(h))
+            need.append((lo, k, 0))
+            if lo + 1 <= n - 1:
+                need.append((lo + 1, k, 1))
+        need.sort()
+        ranks = np.array([x[0] for x in need], dtype=np.int64)
+        off = 0
+        for pid, c in parts:
+            plan[(pid, kt)] = (off, ranks, need)
+            off += c
+
+    out_fields = key_fields + [T.StructField("k", T.IntegerType()), T.StructField("__part", T.IntegerType()),
+                               T.StructField("__val", T.DoubleType()), T.StructField("n", T.LongType())]
+
+    def pass2(batches):
+        pid = TaskContext.get().partitionId()
+        seen: dict = {}
+        out = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            for kt, g in pdf.groupby(keys, dropna=False, sort=False):
+                kt = _norm_key(kt if isinstance(kt, tuple) else (kt,))
+                first, ranks, need = plan[(pid, kt)]
+                w = g["w"].to_numpy(np.int64)
+                r0 = first + seen.get(kt, 0) + np.cumsum(w) - w
+                r1 = r0 + w - 1
+                seen[kt] = seen.get(kt, 0) + int(w.sum())
+                a = np.searchsorted(ranks, r0, "left")
+                b = np.searchsorted(ranks, r1, "right")
+                vals = g["__v"].to_numpy()
+                for i in np.flatnonzero(b > a):
+                    for j in range(a[i], b[i]):
+                        _, k, part = need[j]
+                        out.append(list(kt) + [k, part, float(vals[i]), n_of[kt]])
+        yield pd.DataFrame(out, columns=keys + ["k", "__part", "__val", "n"])
+
+    found = ranged.mapInPandas(pass2, T.StructType(out_fields))
     if probs is None:
-        kk = n_knots - 1
-        # candidate knots whose floor(h) lies in [r0-1, r1]; widened by one, then filtered exactly
-        k_lo = F.greatest(F.lit(0), F.floor((F.col("r0") - 1) * kk / F.greatest(F.col("n") - 1, F.lit(1))) - 1)
-        k_hi = F.least(F.lit(kk), F.ceil((F.col("r1") + 1) * kk / F.greatest(F.col("n") - 1, F.lit(1))) + 1)
-        cand = rows.withColumn("k", F.explode(F.sequence(k_lo.cast("int"), k_hi.cast("int"))))
-        h = _uniform_h(F.col("k"), F.col("n"), n_knots)
+        h = (F.col("k").cast("long") * (F.col("n") - 1)).cast("double") / F.lit(float(kk))
     else:
         arr = F.array(*[F.lit(float(p)) for p in probs])
-        cand = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(probs) - 1))))
         h = F.element_at(arr, F.col("k") + 1) * (F.col("n") - 1).cast("double")
-    cand = cand.withColumn("h", h).withColumn("lo", F.floor("h").cast("long"))
-    cand = cand.where(((F.col("lo") >= F.col("r0")) & (F.col("lo") <= F.col("r1")))
-                      | ((F.col("lo") + 1 >= F.col("r0")) & (F.col("lo") + 1 <= F.col("r1"))))
-    agg = cand.groupBy(*keys, "k").agg(
-        F.first("h").alias("h"), F.first("lo").alias("lo"), F.first("n").alias("n"),
-        F.max(F.when((F.col("lo") >= F.col("r0")) & (F.col("lo") <= F.col("r1")), F.col("v"))).alias("v_lo"),
-        F.max(F.when((F.col("lo") + 1 >= F.col("r0")) & (F.col("lo") + 1 <= F.col("r1")), F.col("v"))).alias("v_hi"))
+    agg = found.groupBy(*keys, "k").agg(
+        F.first("n").alias("n"),
+        F.max(F.when(F.col("__part") == 0, F.col("__val"))).alias("v_lo"),
+        F.max(F.when(F.col("__part") == 1, F.col("__val"))).alias("v_hi"))
+    agg = agg.withColumn("h", h).withColumn("lo", F.floor("h").cast("long"))
     frac = F.col("h") - F.col("lo").cast("double")
     val = F.when((frac > 0) & F.col("v_hi").isNotNull(),
                  F.col("v_lo") + frac * (F.col("v_hi") - F.col("v_lo"))).otherwise(F.col("v_lo"))
