@@ -63,7 +63,8 @@ def compare(spark, sf_dir: str, name: str, fn, sql: str | None, con=None) -> dic
 
 
 def main(argv):
-    sys.path.insert(0, ".")
+    import os
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as entry
     from equipoise.session import make_session
 
