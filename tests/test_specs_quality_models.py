@@ -86,3 +86,13 @@ def test_entry_contract(spark):
     df = e.entry(spark)
     assert df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_latin1_source_and_raw_forest_scan(spark, tmp_path):
+    from equipoise.sources.specs import FOREST_PATH, load_forest, read_delimited
+    df = read_delimited(spark, os.path.join(FIXTURES, "latin1_mini.tsv"), "\t", True, encoding="ISO-8859-1")
+    assert [r["CITY"] for r in df.collect()] == ["São Paulo", "Belém"]
+    target = tmp_path / FOREST_PATH
+    target.parent.mkdir(parents=True)
+    target.write_text("a,b,c\n1,2,3\n4,5,6\n")
+    assert load_forest(spark, str(tmp_path)).count() == 2
