@@ -103,6 +103,11 @@ class Synthesizer:
             return None
         return self.num_cond_col or self.cat_cols[0]
 
+    @property
+    def n_rows(self) -> int:
+        """Rows seen at fit time (sum of the class counts; no pass over the data)."""
+        return int(self.prior.agg(F.sum("n")).first()[0] or 0)
+
     def parent_of(self, j: int) -> str | None:
         return self.cat_cols[j - 1] if j > 0 else None
 

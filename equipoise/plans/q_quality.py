@@ -27,7 +27,7 @@ def real_fake(spark, sf_dir, factor: float = 1.5, stream: str = "s"):
     size, both min-max/one-hot encoded by a model fitted on the real rows."""
     ds = orders_urgent(spark, sf_dir)
     syn = Synthesizer(ds.target, ds.num_cols, ds.cat_cols, seed=SEED).fit(ds.df)
-    n = int(ds.df.count() * factor)
+    n = int(syn.n_rows * factor)
     fake = syn.sample(n, y="50-50", stream=stream)
     model = Preprocessor(ds.num_cols, ds.cat_cols).fit(ds.df)
     return ds, fake, model
@@ -161,7 +161,7 @@ def history(spark, sf_dir):
     syn = Synthesizer(ds.target, ds.num_cols, ds.cat_cols, seed=SEED).fit(ds.df)
     model = Preprocessor(ds.num_cols, ds.cat_cols).fit(ds.df)
     real = model.transform(ds.df)
-    n = int(ds.df.count() * 1.0)
+    n = int(syn.n_rows * 1.0)
     rows = None
     for it in _ITERS:
         fake = model.transform(syn.sample(n, y="50-50", stream=f"it{it}"))
