@@ -15,6 +15,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ CAPACITY = 4096
 END_TOKEN = 2
 GROUP_TOKENS = CAPACITY * 1024
 GROUP_PIECES = 50_000
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 500_000
 _RUN_CHARS = 8_000_000
 
 
@@ -39,49 +40,53 @@ class WordTokenizer:
     text are those of its blank-separated words in turn; each distinct word is
     encoded once and remembered (at most _CACHE_WORDS of them). Texts whose
     characters all lie below U+0300 (no combining marks; U+0130 apart) are
-    lower-cased first, as the tokenizer does, and a full stop or comma after a
-    letter and before white space counts as a word."""
+    lower-cased first, as the tokenizer does, and a run of punctuation after a
+    letter and before white space counts as a word, as the tokenizer cuts there."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
 
-    def _word_ids(self, words: list[str]) -> list[np.ndarray]:
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat = np.zeros(0, np.uint32)  # ids of the known words end to end
+        self.begin = np.zeros(1, np.int64)  # where each word's ids begin, and the end
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of distinct words, new ones encoded first."""
         new = [w for w in words if w not in self.known]
-        fresh = {}
+        if len(self.known) + len(new) > _CACHE_WORDS:
+            self._forget()
+            new = words
+        parts, sizes = [self.flat], []
         for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fresh[w] = np.array(e.ids, np.uint32)
-        out = [fresh[w] if w in fresh else self.known[w] for w in words]
-        if len(self.known) + len(fresh) > _CACHE_WORDS:
-            self.known = {}
-        if len(fresh) <= _CACHE_WORDS:
-            self.known.update(fresh)
-        return out
+            ids = [e.ids for e in self.tok.encode_batch_fast(new[at:at + 20_000], add_special_tokens=False)]
+            sizes += map(len, ids)
+            parts.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+        self.flat = np.concatenate(parts)
+        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(sizes, dtype=np.int64))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of ids of each text)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         plain = pc.match_substring_regex(texts, r"^[\x00-\x{12F}\x{131}-\x{2FF}]*\z")
-        low = pc.replace_substring_regex(pc.utf8_lower(texts), r"(\pL)([.,])([ \t\n\v\f\r]|\z)", r"\1 \2\3")
+        low = pc.replace_substring_regex(pc.utf8_lower(texts), r"(\pL)([.,;:!?%#&*$]+)([ \t\n\v\f\r]|\z)", r"\1 \2\3")
         texts = pc.if_else(plain, low, texts)
         lists = pc.ascii_split_whitespace(texts)
         words = lists.values
         per_text = np.diff(lists.offsets.to_numpy())
         coded = words.dictionary_encode()
         code = coded.indices.to_numpy()
-        ids = self._word_ids(coded.dictionary.to_pylist())
-        size = np.array([len(x) for x in ids], np.int64) if ids else np.zeros(0, np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        begin = np.cumsum(size) - size
-        n = size[code]
+        word = self._numbers(coded.dictionary.to_pylist())[code]
+        n = self.begin[word + 1] - self.begin[word]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        out = flat[np.arange(total) + np.repeat(begin[code] - (ends - n), n)]
+        out = self.flat[np.arange(total) + np.repeat(self.begin[word] - (ends - n), n)]
         sums = np.append(0, ends)
         edges = np.append(0, np.cumsum(per_text))
         return out, np.diff(sums[edges])
