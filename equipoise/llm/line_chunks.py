@@ -62,7 +62,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, divisor: int = DIVISOR, mi
     gone = stored(spark, gone.groupBy("id", "key").agg(
         F.collect_set("no").alias("__gone")).select(F.col("id").alias("__id2"), F.col("key").alias("__key2"), "__gone"))
 
-    out = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__id2")) & (F.col("__key") == F.col("__key2")), "left")
+    # the merge hint gives every size the same plan: one shuffle of the texts
+    out = keyed.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id2")) & (F.col("__key") == F.col("__key2")), "left")
     out = _with_chunks(out.drop("__id2", "__key2", "__key"), text_col, divisor)
     left = F.array_except(F.sequence(F.lit(0), F.size("__chunks") - 1), F.col("__gone"))
     out = out.withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.transform(left, lambda i: F.get("__chunks", i))))
