@@ -13,15 +13,15 @@ connected components of the links.
    Jaccard similarity.
 3. Banding: 30 bands of 5 components; a pair at 0.8 is missed with probability
    (1 - 0.8^5)^30 = 7e-6.
-4. Verification: each document of a bucket is compared with the bucket's smallest
-   node on the whole multisets, twice (the second time among those that are still
-   apart). Where a bucket then still spans several components, its documents are
-   compared exactly in blocks, all those pairs that are in different components.
-   No pair table is written, only links found.
+4. Verification on the whole multisets: each node of a bucket is compared with the
+   bucket's center. Where a bucket then still has members that are not linked to
+   the same center, its nodes are compared exactly in blocks, all pairs of
+   different labels. A block pair returns a spanning forest of its links, which
+   joins the same classes; no pair table is written.
 
 Null and empty texts have no shingles and are in no class but their own row's.
-Texts of one to four words have one shingle. Nodes are told apart by a 128-bit
-hash of the words."""
+Texts of one to four words have one shingle. Rows are told apart by id and hash of
+the text, nodes by a 128-bit hash of the words."""
 
 from __future__ import annotations
 
@@ -165,13 +165,12 @@ def _pieces(batch: pa.RecordBatch, col: int) -> Iterator[pa.RecordBatch]:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in _pieces(whole, 2):
-            doc, s = shingles(*_lists(b.column(2)))
+        for b in _pieces(whole, 4):
+            doc, s = shingles(*_lists(b.column(4)))
             total = np.bincount(doc, minlength=b.num_rows)
-            sig = signatures(*multiset(doc, s), b.num_rows)
-            found = bands(sig)
+            found = bands(signatures(*multiset(doc, s), b.num_rows))
             flat = pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * found.shape[1], found.reshape(-1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total), flat], ["hi", "lo", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(total), flat], ["id", "key", "hi", "lo", "size", "bands"])
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +208,28 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links that connect all that the given links connect, fewer than their ends."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out: tuple[list[int], list[int]] = [], []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        u, v = top(x), top(y)
+        if u != v:
+            parent[u] = v
+            out[0].append(x)
+            out[1].append(y)
+    return out
+
+
 def _block_links(t: pa.Table) -> pa.Table:
-    """Links between the two sides of one block pair, of different labels."""
+    """A spanning forest of the links between the two sides of one block pair, of
+    different labels."""
     block, first, second = np.array(t["block"].to_pylist()), t["first"][0].as_py(), t["second"][0].as_py()
     node, label = t["node"].to_numpy(), t["label"].to_numpy()
     items = t["items"].combine_chunks()
@@ -223,7 +242,7 @@ def _block_links(t: pa.Table) -> pa.Table:
         union = n[i][:, None] + n[j][None, :] - both
         ok = (both >= THRESHOLD * union - 1e-9) & (label[i][:, None] != label[j][None, :])
         p, q = np.nonzero(ok)
-        out_a, out_b = node[i[p]], node[j[q]]
+        out_a, out_b = _forest(node[i[p]], node[j[q]])
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
@@ -234,66 +253,62 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     text without words has its own), ``n_copies`` the rows with the same words,
     ``representative`` true for the row of each class with the smallest (id, key);
     of rows equal in both, all are marked."""
+    kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("key"),
-                       hashes(words(F.col(text_col))).alias("h"))
-    base = base.withColumn("hi", F.xxhash64("h")).withColumn("lo", F.xxhash64(F.lit(1), "h"))
-
-    # nodes: one per distinct word sequence. The number is fixed by writing the table
-    rows = base.select("id", "key", "hi", "lo", F.size("h").alias("n"))
-    distinct = rows.filter("n > 0").groupBy("hi", "lo").agg(
-        F.count("*").alias("n_copies"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"))
-    nodes = stored(spark, distinct.select("hi", "lo", "n_copies", "least", F.monotonically_increasing_id().alias("node")))
-
-    signed = base.select("hi", "lo", "h").filter(F.size("h") > 0).mapInArrow(
-        _signed, "hi bigint, lo bigint, size bigint, bands array<bigint>")
-    buckets = signed.select("hi", "lo", F.explode_outer("bands").alias("bucket")).distinct()
-    full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = stored(spark, buckets.join(full, "bucket").join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).select("bucket", "node"))
-
-    candidates = stored(spark, members.select("node").distinct())
-    wanted = candidates.join(nodes.select("node", "hi", "lo"), "node")
-    texts = base.select("hi", "lo", "h").join(wanted, ["hi", "lo"]).select("node", "h").dropDuplicates(["node"])
-    items = stored(spark, texts.mapInArrow(_elements, "node bigint, items array<bigint>"))
-
-    empty = spark.createDataFrame([], "a bigint, b bigint")
-    links, labels = empty, None
-    for _ in range(2):
-        links = stored(spark, links.union(_star_links(_apart(members, labels), items)))
-        labels = stored(spark, connected_components(spark, links))
-    rest = _apart(members, labels)
-    found = stored(spark, _exact_links(spark, rest, items))
-    if not found.isEmpty():
-        labels = stored(spark, connected_components(spark, links.union(found)))
-
-    labels = labels.select(F.col("node").alias("n2"), "label")
-    classed = stored(spark, nodes.join(labels, nodes["node"] == F.col("n2"), "left").select(
-        "hi", "lo", "node", "n_copies", "least", F.coalesce("label", "node").alias("class")))
-    heads = classed.groupBy("class").agg(F.min("least").alias("head"))
-    classed = classed.join(heads, "class").select(
-        F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), "node", "class", "n_copies", "head")
-    out = rows.join(classed, (F.col("hi") == F.col("hi2")) & (F.col("lo") == F.col("lo2")) & (F.col("n") > 0), "left")
+                       F.col(text_col).alias("text"))
+    hashed = base.select("id", "key", hashes(words(F.col("text"))).alias("h"))
+    hashed = hashed.select("id", "key", F.xxhash64("h").alias("hi"), F.xxhash64(F.lit(1), "h").alias("lo"), "h")
+    signed = stored(spark, hashed.mapInArrow(
+        _signed, f"id {kind}, key bigint, hi bigint, lo bigint, size bigint, bands array<bigint>").withColumn(
+            "row", F.monotonically_increasing_id()))
+
+    # nodes: one per distinct word sequence, named by its first row
+    nodes = signed.filter("size > 0").groupBy("hi", "lo").agg(F.min("row").alias("node"), F.count("*").alias("n_copies"))
+    rows = stored(spark, signed.select("id", "key", "row", "hi", "lo").join(nodes, ["hi", "lo"], "left").select(
+        "id", "key", "row", F.when(F.col("n_copies").isNotNull(), F.col("node")).alias("node"),
+        F.coalesce("n_copies", F.lit(1)).alias("n_copies")))
+    heads = rows.filter(F.col("row") == F.col("node"))
+    spread = signed.select("row", "bands").join(heads.select("row", "n_copies"), "row")
+    spread = stored(spark, spread.select(F.col("row").alias("node"), "n_copies", F.explode_outer("bands").alias("bucket")))
+    full = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    members = stored(spark, spread.join(full, "bucket").select("bucket", "node", "n_copies"))
+
+    # whole multisets of the candidates only
+    wanted = heads.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select(
+        F.col("id").alias("id2"), F.col("key").alias("key2"), "node")
+    texts = base.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2"))).select("node", "text")
+    items = stored(spark, texts.select("node", hashes(words(F.col("text"))).alias("h")).mapInArrow(
+        _elements, "node bigint, items array<bigint>").dropDuplicates(["node"]))
+
+    links = stored(spark, _star_links(members, items))
+    labels = links.groupBy("a").agg(F.max("b").alias("label")).withColumnRenamed("a", "node")
+    links = links.union(stored(spark, _exact_links(spark, _apart(members, labels), items)))
+    labels = connected_components(spark, links).select(F.col("node").alias("n2"), "label")
+
+    classed = stored(spark, rows.join(labels, F.col("node") == F.col("n2"), "left").select(
+        "id", "key", F.coalesce("label", "node", -1 - F.col("row")).alias("class"), "n_copies"))
+    least = classed.groupBy("class").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("head"))
     own = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))
-    return out.select(
-        F.col("id").alias(id_col), "key", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("head.id")).alias("class_id"),
-        F.coalesce("n_copies", F.lit(1)).alias("n_copies"), (F.col("class").isNull() | own).alias("representative"))
+    return classed.join(least, "class").select(
+        F.col("id").alias(id_col), "key", F.col("head.id").alias("class_id"), "n_copies", own.alias("representative"))
 
 
-def _apart(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(bucket, node, label) of the buckets that span several components."""
-    if labels is None:
-        return members.withColumn("label", F.col("node"))
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, node, label) of the buckets whose members have several labels; a
+    node without a label has its own number."""
     l = labels.select(F.col("node").alias("n2"), "label")
     m = members.join(l, F.col("node") == F.col("n2"), "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     open_ = m.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
     return m.join(open_, "bucket")
 
 
-def _star_links(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """Links between each bucket's center, the node of the largest label, and the
-    members of other labels. One candidate per member and bucket."""
-    center = rows.groupBy("bucket").agg(F.max(F.struct("label", "node")).alias("c"))
-    pairs = rows.join(center, "bucket").filter(F.col("label") != F.col("c.label")).select(
-        F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+def _star_links(members: DataFrame, items: DataFrame) -> DataFrame:
+    """Links (a, b) between the members a of each bucket and its center b, the node
+    with the most copies: one candidate per member and bucket."""
+    center = members.groupBy("bucket").agg(F.max(F.struct("n_copies", "node")).alias("c")).select(
+        "bucket", F.col("c.node").alias("b"))
+    pairs = members.join(center, "bucket").filter(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
     left = items.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = items.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
