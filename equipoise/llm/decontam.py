@@ -89,7 +89,7 @@ def find_windows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, win
 
     # verification on the words themselves
     f = found.select(F.col("id").alias("id2"), F.col("key").alias("key2"), "found")
-    full = docs.join(f, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left")
+    full = docs.join(f.hint("merge"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left")
     full = full.select("id", "key", words(F.col("text")).alias("w"), "found")
     same = lambda c: F.size(F.filter(c["words"], lambda x, j: x != F.get("w", c["start"] + j))) == 0
     hits = F.transform(F.filter(F.coalesce("found", F.array().cast(found.schema["found"].dataType)), same),
