@@ -59,10 +59,10 @@ def reply_paths(spark: SparkSession, messages: DataFrame, branches: int | None =
             raise ValueError("the parents of some messages form a cycle")
         far = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"),
                            F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        state = stored(spark, state.join(far, "up", "left").select(
-            "id", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top"),
-            (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")))
+        # only the messages that have not reached their root are joined; every ancestor is a known id
+        state = stored(spark, state.filter(F.col("up").isNull()).unionByName(state.join(far, "up").select(
+            "id", F.col("up2").alias("up"), F.col("top2").alias("top"), (F.col("depth") + F.col("depth2")).alias("depth"),
+            (F.col("total") + F.col("total2")).alias("total"))))
         tables.append(state.select("id", "up"))
         rounds += 1
     parents = jump.filter(F.col("up").isNotNull()).select(F.col("up").alias("id")).distinct()

@@ -50,10 +50,10 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     if len(limits) > total_bytes // 1000:
         raise ValueError("too many languages for total_bytes")
     each = min(dict_bytes, total_bytes // max(1, len(limits)))
-    table = rows.sparkSession.createDataFrame([(r["lang"], r["limit"]) for r in limits], "lang2 string, top bigint")
+    table = rows.sparkSession.createDataFrame([(r["lang"], r["limit"]) for r in limits], "lang2 string, top bigint")  # as many rows as languages
     start = F.pmod("h", F.greatest(F.length("text") - chars_per_doc, F.lit(0)) + 1).cast("int") + 1
     part = F.substr("text", start, F.lit(chars_per_doc))
-    sample = rows.join(table, (F.col("lang") == F.col("lang2")) & (F.col("h") <= F.col("top"))).groupBy("lang", "h").agg(
+    sample = rows.join(F.broadcast(table), (F.col("lang") == F.col("lang2")) & (F.col("h") <= F.col("top"))).groupBy("lang", "h").agg(
         F.min(part).alias("part")).orderBy("lang", "h").collect()
     texts: dict[str, bytes] = {}
     for r in sample:

@@ -86,7 +86,8 @@ def importance(spark: SparkSession, docs: DataFrame, target: DataFrame, buckets:
     """(id_col, log_weight, gumbel) per row; ``target`` holds the ids of good rows."""
     good = target.select(F.col(id_col).alias("id2")).distinct().withColumn("target", F.lit(True))
     rows = docs.select(F.col(id_col).alias("id"), hashes(tokens(F.col(text_col))).alias("h"), F.col(text_col).alias("text"))
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(good, F.col("id") == F.col("id2"), "left")
+    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
+        good.hint("merge"), F.col("id") == F.col("id2"), "left")
     counts = models(marked.select(hashes(tokens(F.col("text"))).alias("h"), F.coalesce("target", F.lit(False)).alias("target")), buckets)
     shared = spark.sparkContext.broadcast(log_ratios(counts) if counts[1].sum() else np.zeros(buckets))
 
