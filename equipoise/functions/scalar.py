@@ -16,7 +16,8 @@ def _c(col: Column | str) -> Column:
 
 def clip01(col: Column | str) -> Column:
     """Clip to [0, 1] (null stays null)."""
-    return F.greatest(F.lit(0.0), F.least(_c(col).cast("double"), F.lit(1.0)))
+    x = _c(col).cast("double")
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(x, F.lit(1.0))))
 
 
 def target_equals(col: Column | str, value) -> Column:

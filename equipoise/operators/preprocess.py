@@ -11,8 +11,9 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from equipoise.functions.random import hash_u
 from equipoise.operators.ordered import prefix_sums
@@ -54,15 +55,17 @@ def cat_dims(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def mode_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """Most frequent non-null value per column, ties -> smallest value
-    (compared as text): ``(column, mode, count)``."""
+    (numeric columns compare as numbers, others as text): ``(column, mode, count)``.
+    The pick is a partial aggregation, so no column is gathered in one task."""
+    numeric = [c for c in cols if isinstance(df.schema[c].dataType, NumericType)]
     entries = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
                for c in cols]
     long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
-    # ties resolve on the text of the value (numeric codes: see README)
-    return counts.withColumn("__r", F.row_number().over(w)).where("__r = 1") \
-                 .select("column", F.col("value").alias("mode"), "count")
+    number = F.when(F.col("column").isin(numeric), F.col("value").try_cast("double")) if numeric else F.lit(None).cast("double")
+    best = counts.groupBy("column").agg(F.min(F.struct(
+        (-F.col("count")).alias("n"), number.alias("number"), F.col("value").alias("value"))).alias("m"))
+    return best.select("column", F.col("m.value").alias("mode"), (-F.col("m.n")).alias("count"))
 
 
 def minmax_expr(x: Column, lo: float, hi: float) -> Column:

@@ -251,7 +251,7 @@ def bootstrap_scores(df: DataFrame, y: str, p: str, key: str, metrics: list[str]
     per = part.groupBy("rep").agg(
         *[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn", "sq")],
         F.sum("pos").alias("tot_pos"), F.sum("neg").alias("tot_neg"),
-        F.sum(F.col("num2") + (F.lit(2) * F.col("off_neg") * F.col("pos")).cast("decimal(38,0)")).alias("num2"))
+        F.sum(F.col("num2") + F.lit(2) * F.col("off_neg").cast("decimal(19,0)") * F.col("pos").cast("decimal(18,0)")).alias("num2"))
     per = per.withColumn("n", F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))
     per = threshold_metrics(per)
     PP, NN = F.col("tot_pos"), F.col("tot_neg")

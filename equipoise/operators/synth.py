@@ -58,9 +58,12 @@ def label_plan(ids: DataFrame, n: int, y, id_col: str = "synth_id") -> DataFrame
     ``(synth_id, y)`` with exactly ``n`` rows. Odd ``n`` gives the extra row to 0.
     """
     if isinstance(y, DataFrame):
-        cnt = y.count()
+        lid = F.col(y.columns[0])
+        cnt, distinct, low, high = y.agg(F.count("*"), F.count_distinct(lid), F.min(lid), F.max(lid)).first()
         if cnt != n:
-            raise ValueError(f"y is not the right length. Expected {n} labels but got {cnt}.")
+            raise ValueError(f"The label table holds {cnt} rows; {n} synthetic rows were asked for.")
+        if n and (distinct != n or low != 0 or high != n - 1):
+            raise ValueError(f"Label ids must be exactly 0..{n - 1}, each once.")
         lab = y.select(F.col(y.columns[0]).cast("long").alias(id_col),
                        F.col(y.columns[1]).cast("int").alias("y"))
         return ids.join(lab, id_col, "inner")
@@ -240,12 +243,15 @@ class Synthesizer:
         parent = self.parent_of(j)
         tab = self.cat_table.where(F.col("col") == c)
         levels = [r[0] for r in tab.select("level").distinct().orderBy(F.col("level").asc_nulls_first()).collect()]
+        # a null level is a level like any other; pivot needs a text for it
+        named = {lv: "null" if lv is None else f"v:{lv}" for lv in levels}
+        tab = tab.withColumn("level", F.coalesce(F.concat(F.lit("v:"), F.col("level").cast("string")), F.lit("null")))
         probs = (tab.withColumn("p", F.col("hi") - F.col("lo"))
                  .groupBy(F.col("y").alias("__sy"), F.col("parent").alias("__sp"))
-                 .pivot("level", levels).agg(F.first("p")))
+                 .pivot("level", list(named.values())).agg(F.first("p")))
         ren = {lv: f"{c}__p_{i}" for i, lv in enumerate(levels)}
-        probs = probs.select("__sy", "__sp", *[F.coalesce(F.col(f"`{lv}`"), F.lit(0.0)).alias(ren[lv])
-                                               for lv in levels if lv is not None])
+        probs = probs.select("__sy", "__sp", *[F.coalesce(F.col(f"`{named[lv]}`"), F.lit(0.0)).alias(ren[lv])
+                                               for lv in levels])
         par = F.col(parent) if parent else F.lit("")
         rows = rows.withColumn("__spar", par)
         cond = (rows["y"] == probs["__sy"]) & rows["__spar"].eqNullSafe(probs["__sp"])
@@ -308,9 +314,11 @@ class Synthesizer:
             pilot = self.sample(1200, stream="pilot")
             rate = pilot.agg(F.avg(F.col(self.target).cast("double"))).first()[0] or 0.0
             if rate < 0.0001:
-                raise ValueError(f"Too few minority cases are generated. Only {rate * 100:.2f}% "
-                                 "are minority cases.")
+                raise ValueError(f"The pilot draw holds {rate:.4%} class-1 rows, too few to fill the gap.")
+            # rows depend on their id alone, so a longer id range only adds rows
             n_synth = int(1.2 * missing / rate)
+            while (got := self.sample(n_synth).where(F.col(self.target) == 1).count()) < missing:
+                n_synth = int(1.2 * n_synth * missing / max(got, 1)) + 1
             drawn = self.sample(n_synth).where(F.col(self.target) == 1)
             drawn = drawn.select("synth_id", self.target,
                                  *[clip01(c).alias(c) for c in self.num_cols], *self.cat_cols)

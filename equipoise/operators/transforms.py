@@ -95,15 +95,15 @@ def positional_attach(features: DataFrame, labels: DataFrame, label_col: str,
                       order_col: str | None = None) -> DataFrame:
     """Attach a label file to a feature file row by row.
 
-    Each side is numbered densely in scan order (``order_col`` if given, else
-    the monotonically increasing id of a single-file scan) with distributed
-    prefix sums, then equi-joined on that number. Raises if lengths differ.
+    Each side is numbered densely by ``order_col`` if given, else in file order
+    (path, block start, then scan order in the block) with distributed prefix sums, then equi-joined on that number. Raises if lengths differ.
     """
     def numbered(df):
-        key = F.col(order_col) if order_col else F.monotonically_increasing_id()
-        d = df.withColumn("__ord", key).withColumn("__one", F.lit(1))
-        return prefix_sums(d, ["__ord"], ["__one"]).withColumnRenamed("cum___one", "__pos") \
-            .drop("__ord", "__one")
+        keys = [F.col(order_col)] if order_col else [
+            F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id()]
+        names = [f"__ord{i}" for i in range(len(keys))]
+        d = df.withColumns(dict(zip(names, keys))).withColumn("__one", F.lit(1))
+        return prefix_sums(d, names, ["__one"]).withColumnRenamed("cum___one", "__pos").drop(*names, "__one")
     nf, nl = numbered(features), numbered(labels.select(F.col(labels.columns[0]).alias(label_col)))
     cf, cl = nf.count(), nl.count()
     if cf != cl:

@@ -149,7 +149,7 @@ def _scaled_orders(spark, sf_dir):
 
 
 def _clip_sql(c: str) -> str:
-    return f"greatest(0.0, least({c}, 1.0))"
+    return f"CASE WHEN {c} IS NOT NULL THEN greatest(0.0, least({c}, 1.0)) END"
 
 
 def _d8_sql() -> str:
