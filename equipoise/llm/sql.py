@@ -1,3 +1,43 @@
-"""DuckDB twins of the queries that SQL can express."""
+"""DuckDB twins of the queries that SQL can express. Compression, BagMinHash, the
+tokenizer, seeded Gumbel noise and the span parsers have none; brute-force tests
+cover them."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op1_chat_format"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES
+    (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'),
+    (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'))
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10))) + 1
+      + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11)::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLES["op3_decontamination"] = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS s
+        FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT doc_id, w, unnest(generate_series(1, len(w)::BIGINT)) AS i FROM d),
+occ AS (SELECT p.doc_id, p.i, z.n, win.item_id
+        FROM pos p JOIN sizes z ON p.i + z.n - 1 <= len(p.w)
+        JOIN win ON win.n = z.n AND win.s = array_to_string(p.w[p.i:p.i + z.n - 1], ' ')),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit
+        FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS j FROM occ) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
