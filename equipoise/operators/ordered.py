@@ -2,21 +2,22 @@
 
 ``prefix_sums`` is the distributed running sum: range-partition on the order
 key (the range partitioner samples bounds, so a hot key range is split across
-tasks), take local running sums per partition with ``mapInPandas`` (streams
-Arrow batches, O(1) state), checkpoint that once so partition ids are stable,
-then add per-partition offsets from a table with one row per partition.
+tasks), take local running sums per partition with ``mapInArrow`` (streams
+batches, O(1) state, and passes every other column through unread), checkpoint
+that once so partition ids are stable, then add per-partition offsets from a
+table with one row per partition.
 
 ``group_quantiles`` uses it for exact interpolated quantiles (same definition as
 ``numpy.quantile`` / DuckDB ``quantile_cont``) without collecting a group: rows
 are first collapsed to (group, value, multiplicity), so even a key that holds a
 third of all rows becomes one row per distinct value.
 
-``sized_broadcast`` broadcasts a side only after counting it.
+``sized_broadcast`` broadcasts a side only after measuring it.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,18 +25,20 @@ from pyspark.sql import types as T
 
 from equipoise.session import ensure_checkpoint_dir
 
-# Largest side (rows) that is broadcast after a count; beyond it, joins shuffle.
-BROADCAST_MAX_ROWS = 2_000_000
+# Largest side (bytes) that is broadcast after measuring it; beyond it, joins shuffle.
+BROADCAST_MAX_BYTES = 64 << 20
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the counted size is within ``max_rows``.
+def sized_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only when the measured size is within ``max_bytes``: the
+    rows as JSON text plus eight bytes a column.
 
     Call on small, already materialized tables (fitted parameters, level
-    tables); the count is then cheap and proves the bound.
+    tables); measuring them is then cheap and proves the bound.
     """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    row = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + 8 * len(df.columns)
+    size = df.agg(F.sum(row.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -68,18 +71,22 @@ def prefix_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
                           + [T.StructField("__pid", T.IntegerType(), False)])
     weights = [f"__w_{c}" for c in sum_cols]
 
+    names = [f.name for f in schema.fields]
+    at = [ranged.columns.index(w) for w in weights]
+
     def local(batches):
         pid = TaskContext.get().partitionId()
-        carry = [0] * len(weights)
-        for pdf in batches:
-            for i, (w, out) in enumerate(zip(weights, local_names)):
-                vals = pdf[w].astype("int64")
-                pdf[out] = vals.cumsum() - vals + carry[i]
+        carry = [0] * len(at)
+        for b in batches:
+            sums = []
+            for i, col in enumerate(at):
+                vals = b.column(col).to_numpy(zero_copy_only=False).astype("int64")
+                sums.append(pa.array(vals.cumsum() - vals + carry[i], pa.int64()))
                 carry[i] += int(vals.sum())
-            pdf["__pid"] = pd.Series([pid] * len(pdf), dtype="int32")
-            yield pdf
+            pids = pa.array([pid] * b.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns, *sums, pids], names)
 
-    locals_ = materialize(ranged.mapInPandas(local, schema))
+    locals_ = materialize(ranged.mapInArrow(local, schema))
     totals = locals_.groupBy("__pid").agg(*[F.sum(w).alias(f"__t_{c}")
                                             for w, c in zip(weights, sum_cols)])
     # one row per partition: a single-partition window here is bounded by n_part
@@ -91,11 +98,6 @@ def prefix_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
                                      for c in sum_cols])
 
 
-def _norm_key(t) -> tuple:
-    return tuple(None if (x is None or (isinstance(x, float) and x != x)) else
-                 (x.item() if hasattr(x, "item") else x) for x in t)
-
-
 def group_quantiles(df: DataFrame, keys: list[str], value: str,
                     probs: list[float] | None = None, n_knots: int = 101,
                     partitions: int | None = None, with_n: bool = False) -> DataFrame:
@@ -107,98 +109,57 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str,
     ``v[floor(h)] + (h - floor(h)) * (v[floor(h)+1] - v[floor(h)])`` over the
     sorted non-null values of the group (0-based ranks).
 
-    Rows collapse map-side to (group, value, multiplicity); one range shuffle
-    sorts them (a hot group spans several partitions) and is checkpointed.
-    Pass 1 counts each group's rows per partition (a groups x partitions table
-    on the driver gives every group piece its starting rank); pass 2 emits
-    only the values found at the ranks the knots need.
+    Rows collapse map-side to (group, value, multiplicity); distributed prefix
+    sums give every value the ranks it covers, and it emits the knots whose ranks
+    lie there. Group sizes are joined back, so nothing reaches the driver and the
+    number of groups is not bounded.
     """
     if not keys:  # one global group: a constant key keeps the code path uniform
         out = group_quantiles(df.withColumn("__g0", F.lit(0)), ["__g0"], value, probs, n_knots,
                               partitions, with_n)
         return out.drop("__g0")
-    import numpy as np
-
     counted = (df.where(F.col(value).isNotNull())
-               .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("w")))
-    n_part = _partitions(df, partitions)
-    ranged = materialize(counted.select(*keys, F.col(value).cast("double").alias("__v"), "w")
-                         .repartitionByRange(n_part, *keys, "__v").sortWithinPartitions(*keys, "__v"))
-    key_fields = [ranged.schema[k] for k in keys]
-
-    def pass1(batches):
-        pid = TaskContext.get().partitionId()
-        acc: dict = {}
-        for pdf in batches:
-            if len(pdf):
-                for kt, c in pdf.groupby(keys, dropna=False, sort=False)["w"].sum().items():
-                    kt = _norm_key(kt if isinstance(kt, tuple) else (kt,))
-                    acc[kt] = acc.get(kt, 0) + int(c)
-        rows = [list(kt) + [pid, c] for kt, c in acc.items()]
-        yield pd.DataFrame(rows, columns=keys + ["__pid", "__cnt"])
-
-    s1 = T.StructType(key_fields + [T.StructField("__pid", T.IntegerType()), T.StructField("__cnt", T.LongType())])
-    pieces = ranged.mapInPandas(pass1, s1).collect()  # groups x partitions rows
-    totals: dict = {}
-    for r in sorted(pieces, key=lambda r: r["__pid"]):
-        kt = _norm_key(tuple(r[k] for k in keys))
-        totals.setdefault(kt, []).append((r["__pid"], r["__cnt"]))
-    plan: dict = {}   # (pid, group) -> (first rank of the piece, ranks needed, their (k, part))
-    n_of: dict = {}
-    kk = n_knots - 1
-    for kt, parts in totals.items():
-        n = sum(c for _, c in parts)
-        n_of[kt] = n
-        need = []
-        for k in range(n_knots if probs is None else len(probs)):
-            h = (float(k * (n - 1)) / float(kk)) if probs is None else float(probs[k]) * float(n - 1)
-            lo = int(np.floor(h))
-            need.append((lo, k, 0))
-            if lo + 1 <= n - 1:
-                need.append((lo + 1, k, 1))
-        need.sort()
-        ranks = np.array([x[0] for x in need], dtype=np.int64)
-        off = 0
-        for pid, c in parts:
-            plan[(pid, kt)] = (off, ranks, need)
-            off += c
-
-    out_fields = key_fields + [T.StructField("k", T.IntegerType()), T.StructField("__part", T.IntegerType()),
-                               T.StructField("__val", T.DoubleType()), T.StructField("n", T.LongType())]
-
-    def pass2(batches):
-        pid = TaskContext.get().partitionId()
-        seen: dict = {}
-        out = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            for kt, g in pdf.groupby(keys, dropna=False, sort=False):
-                kt = _norm_key(kt if isinstance(kt, tuple) else (kt,))
-                first, ranks, need = plan[(pid, kt)]
-                w = g["w"].to_numpy(np.int64)
-                r0 = first + seen.get(kt, 0) + np.cumsum(w) - w
-                r1 = r0 + w - 1
-                seen[kt] = seen.get(kt, 0) + int(w.sum())
-                a = np.searchsorted(ranks, r0, "left")
-                b = np.searchsorted(ranks, r1, "right")
-                vals = g["__v"].to_numpy()
-                for i in np.flatnonzero(b > a):
-                    for j in range(a[i], b[i]):
-                        _, k, part = need[j]
-                        out.append(list(kt) + [k, part, float(vals[i]), n_of[kt]])
-        yield pd.DataFrame(out, columns=keys + ["k", "__part", "__val", "n"])
-
-    found = ranged.mapInPandas(pass2, T.StructType(out_fields))
+               .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__w"))
+               .select(*keys, F.col(value).cast("double").alias("__v"), "__w"))
+    ranked = prefix_sums(counted, [*keys, "__v"], ["__w"], prefix="__c", partitions=partitions)
+    names = [f"__k{i}" for i in range(len(keys))]
+    groups = ranked.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(
+        F.min("__c__w").alias("__first"), F.sum("__w").alias("n"))
+    same = F.lit(True)
+    for k, name in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(name))
+    j = ranked.join(groups, same).withColumn("__r0", F.col("__c__w") - F.col("__first"))
+    j = j.withColumn("__r1", F.col("__r0") + F.col("__w") - 1)
     if probs is None:
+        kk = n_knots - 1
+        # floor(k * (n - 1) / kk) lies in [r0, r1] for the k from a to b (part 0), and
+        # one less than a rank in [r0, r1] for the k from c to d (part 1)
+        j = j.withColumn("__m", F.greatest(F.col("n") - 1, F.lit(1).cast("long"))).select(
+            *keys, "__v", "n", "__r1",
+            F.expr(f"(__r0 * {kk} + __m - 1) div __m").alias("__a"),
+            F.expr(f"if(n = 1, {kk}, least({kk}, ((__r1 + 1) * {kk} - 1) div __m))").alias("__b"),
+            F.expr(f"greatest(0, ((__r0 - 1) * {kk} + __m - 1) div __m)").alias("__c"),
+            F.expr(f"if(__r1 = 0, -1, least({kk}, (__r1 * {kk} - 1) div __m))").alias("__d"))
+
+        def span(lo, hi, part):
+            ks = F.when(F.col(lo) <= F.col(hi), F.sequence(F.col(lo).cast("long"), F.col(hi).cast("long")))
+            return F.transform(F.coalesce(ks, F.array().cast("array<bigint>")),
+                               lambda k: F.struct(k.cast("int").alias("k"), F.lit(part).alias("part")))
+
+        hits = F.concat(span("__a", "__b", 0), span("__c", "__d", 1))
         h = (F.col("k").cast("long") * (F.col("n") - 1)).cast("double") / F.lit(float(kk))
     else:
         arr = F.array(*[F.lit(float(p)) for p in probs])
         h = F.element_at(arr, F.col("k") + 1) * (F.col("n") - 1).cast("double")
+        ks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(part).alias("part"))
+                       for k in range(len(probs)) for part in (0, 1)])
+        hits = F.filter(ks, lambda e: (F.floor(F.element_at(arr, e["k"] + 1) * (F.col("n") - 1).cast("double"))
+                                       + e["part"]).between(F.col("__r0"), F.col("__r1")))
+    found = j.select(*keys, "n", "__v", F.explode(hits).alias("e")).select(*keys, "n", "__v", "e.*")
     agg = found.groupBy(*keys, "k").agg(
         F.first("n").alias("n"),
-        F.max(F.when(F.col("__part") == 0, F.col("__val"))).alias("v_lo"),
-        F.max(F.when(F.col("__part") == 1, F.col("__val"))).alias("v_hi"))
+        F.max(F.when(F.col("part") == 0, F.col("__v"))).alias("v_lo"),
+        F.max(F.when(F.col("part") == 1, F.col("__v"))).alias("v_hi"))
     agg = agg.withColumn("h", h).withColumn("lo", F.floor("h").cast("long"))
     frac = F.col("h") - F.col("lo").cast("double")
     val = F.when((frac > 0) & F.col("v_hi").isNotNull(),

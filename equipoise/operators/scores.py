@@ -7,8 +7,9 @@
   give the counts below each score. The AUC numerator is summed as an exact
   integer (decimal(38,0)) before one final division.
 * The bootstrap draws Poisson(1) weights per (row, replicate) from seeded
-  hashes (4 replicates per digest), aggregates weighted counts per replicate,
-  and averages the per-replicate metrics; nothing is materialized 100 times.
+  hashes (4 replicates per digest) inside the tasks and averages the metrics of
+  the replicates; no row is copied per replicate, and rows of equal score may lie
+  in any number of tasks.
 """
 
 from __future__ import annotations
@@ -16,15 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equipoise.functions.random import TWO_32, poisson1_thresholds, poisson1_weight
+from equipoise.functions.random import TWO_32, poisson1_thresholds
 from equipoise.operators.ordered import prefix_sums
 
 DEFAULT_METRICS = ["auc", "aps", "acc", "f1", "bacc", "brier", "gmean"]
 
-# A score value holding more than this share of an average partition's rows
-# switches the bootstrap to its skew-proof row form.
-HOT_TIE_SHARE = 0.5
-HOT_TIE_MIN_ROWS = 10_000
 ALL_METRICS = DEFAULT_METRICS
 
 
@@ -109,39 +106,8 @@ def binary_scores(df: DataFrame, y: str, p: str, metrics: list[str] | None = Non
     return th.select(*metrics)
 
 
-def _boot_rows(df: DataFrame, key: str, n_boot: int, seed: int) -> DataFrame:
-    """(rep, y, p, w) with Poisson(1) weights; four replicates share one md5."""
-    digests = (n_boot + 3) // 4
-    base = df.select(F.col(key).cast("string").alias("__k"), "y", "p")
-    base = base.withColumn("__d", F.explode(F.sequence(F.lit(0), F.lit(digests - 1))))
-    md5 = F.md5(F.concat_ws(":", F.col("__k"), F.lit(str(seed)), F.concat(F.lit("boot"), F.col("__d").cast("string"))))
-    base = base.withColumn("__h", md5)
-    us = [F.conv(F.substring("__h", 1 + 8 * i, 8), 16, 10).cast("double") / F.lit(TWO_32) for i in range(4)]
-    base = base.select("y", "p", "__d", F.posexplode(F.array(*us)).alias("__i", "__u"))
-    base = base.withColumn("rep", F.col("__d") * 4 + F.col("__i")).where(F.col("rep") < n_boot)
-    return base.select("rep", "y", "p", poisson1_weight(F.col("__u")).cast("long").alias("w")) \
-               .where(F.col("w") > 0)
-
-
-def _bootstrap_rows(df: DataFrame, y: str, p: str, key: str, metrics: list[str] | None = None,
-                     n_boot: int = 100, seed: int = 0, threshold: float = 0.5) -> DataFrame:
-    """E15, skew-proof form: one row per (replicate, row) with weight > 0,
-    aggregated map-side by (replicate, score) before any shuffle, then the
-    grouped exact ranking. Used when one score value holds a large share of
-    the rows (the streaming form would give that value's rows to one task)."""
-    metrics = list(metrics or DEFAULT_METRICS)
-    base = df.select(F.col(key), F.col(y).cast("int").alias("y"), F.col(p).cast("double").alias("p"))
-    d = _boot_rows(base, key, n_boot, seed)  # deterministic: recomputing it is safe
-    per_rep = threshold_metrics(confusion(d, ["rep"], threshold))
-    if {"auc", "aps"} & set(metrics):
-        per_rep = per_rep.join(ranking_metrics(d, ["rep"]), "rep")
-    out = per_rep.agg(*[F.avg(m).alias(m) for m in metrics])
-    return out
-
-
 def _np_poisson_weights(keys, seed: int, n_boot: int):
-    """(rows x n_boot) Poisson(1) weights, bit-identical to :func:`_boot_rows`:
-    replicate r uses 32-bit slice r % 4 of md5('key:seed:boot<r // 4>')."""
+    """(rows x n_boot) Poisson(1) weights, the numbers of the SQL twin: replicate r uses 32-bit slice r % 4 of md5('key:seed:boot<r // 4>')."""
     import hashlib
 
     import numpy as np
@@ -163,13 +129,14 @@ def bootstrap_scores(df: DataFrame, y: str, p: str, key: str, metrics: list[str]
 
     Poisson(1) weights (seeded md5 of the row key, the same numbers as the SQL
     twin) approximate n-of-n resampling with replacement. Rows are range-
-    partitioned by score once and checkpointed; replicates never become rows.
-    Pass 1 streams each partition in score order, tie group by tie group, and
-    emits per replicate the weighted confusion counts, class totals and the
-    partition's local AUC numerator (exact integers). Per-partition offsets
-    (a table of partitions x replicates) complete the AUC; pass 2 uses them for
-    the step-wise average precision. Work is O(rows x replicates) in NumPy
-    inside tasks; the shuffle moves each input row once.
+    partitioned by (score, key) once and checkpointed, so one score may fill many
+    partitions; replicates never become rows. Pass 1 streams each partition in
+    score order, tie group by tie group, and emits per replicate the weighted
+    confusion counts, class totals, the local AUC numerator (exact integers) and
+    the counts of the first and last tie group. A table of partitions x replicates
+    gives the offsets, and joins tie groups that go on in the next partition;
+    pass 2 uses it for the step-wise average precision. Work is O(rows x
+    replicates) in NumPy inside tasks; the shuffle moves each input row once.
     """
     import numpy as np
     import pandas as pd
@@ -181,12 +148,7 @@ def bootstrap_scores(df: DataFrame, y: str, p: str, key: str, metrics: list[str]
     metrics = list(metrics or DEFAULT_METRICS)
     base = df.select(F.col(key).cast("string").alias("k"), F.col(y).cast("int").alias("y"),
                      F.col(p).cast("double").alias("p"))
-    # hot tie check: the largest group of equal scores (partial aggregation, one number back)
-    n_part = _partitions(base, None)
-    top = base.groupBy("p").count().agg(F.max("count").alias("m"), F.sum("count").alias("n")).first()
-    if top["n"] and top["m"] > max(HOT_TIE_MIN_ROWS, HOT_TIE_SHARE * top["n"] / n_part):
-        return _bootstrap_rows(df, y, p, key, metrics, n_boot, seed, threshold)
-    ranged = materialize(base.repartitionByRange(_partitions(base, None), "p")
+    ranged = materialize(base.repartitionByRange(_partitions(base, None), "p", "k")
                          .sortWithinPartitions("p", "k"))
     thr = float(threshold)
 
@@ -202,6 +164,7 @@ def bootstrap_scores(df: DataFrame, y: str, p: str, key: str, metrics: list[str]
         sq = np.zeros(n_boot); below_neg = np.zeros(n_boot, np.int64); pos_tot = np.zeros(n_boot, np.int64)
         num2 = [0] * n_boot
         open_p, open_pos, open_neg = None, np.zeros(n_boot, np.int64), np.zeros(n_boot, np.int64)
+        lo = None  # score and counts of the first tie group
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -222,9 +185,11 @@ def bootstrap_scores(df: DataFrame, y: str, p: str, key: str, metrics: list[str]
                 inc = open_pos * (2 * below_neg + open_neg)
                 num2 = [a + int(b) for a, b in zip(num2, inc)]
                 pos_tot += open_pos; below_neg += open_neg
+                lo = lo or (open_p, open_pos, open_neg)
             # close every group but the last, which may continue in the next batch
             if len(gv) > 1:
                 cg_p, cg_n = gp[:-1], gn[:-1]
+                lo = lo or (gv[0], gp[0].copy(), gn[0].copy())
                 before = below_neg[None, :] + np.cumsum(cg_n, axis=0) - cg_n
                 inc = (cg_p * (2 * before + cg_n)).sum(0)
                 num2 = [a + int(b) for a, b in zip(num2, inc)]
@@ -234,14 +199,23 @@ def bootstrap_scores(df: DataFrame, y: str, p: str, key: str, metrics: list[str]
             inc = open_pos * (2 * below_neg + open_neg)
             num2 = [a + int(b) for a, b in zip(num2, inc)]
             pos_tot += open_pos; below_neg += open_neg
+            single = lo is None
+            lo = lo or (open_p, open_pos, open_neg)
+        else:
+            return
         yield pd.DataFrame({"pid": pid, "rep": np.arange(n_boot, dtype=np.int32), "tp": tp, "fp": fp,
                             "tn": tn, "fn": fn, "sq": sq, "pos": pos_tot, "neg": below_neg,
-                            "num2": [str(v) for v in num2]})
+                            "num2": [str(v) for v in num2], "single": single, "p_lo": lo[0], "lo_pos": lo[1],
+                            "lo_neg": lo[2], "p_hi": open_p, "hi_pos": open_pos, "hi_neg": open_neg})
 
     s1 = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("rep", T.IntegerType())]
                       + [T.StructField(c, T.LongType()) for c in ("tp", "fp", "tn", "fn")]
                       + [T.StructField("sq", T.DoubleType()), T.StructField("pos", T.LongType()),
-                         T.StructField("neg", T.LongType()), T.StructField("num2", T.StringType())])
+                         T.StructField("neg", T.LongType()), T.StructField("num2", T.StringType()),
+                         T.StructField("single", T.BooleanType()), T.StructField("p_lo", T.DoubleType()),
+                         T.StructField("lo_pos", T.LongType()), T.StructField("lo_neg", T.LongType()),
+                         T.StructField("p_hi", T.DoubleType()), T.StructField("hi_pos", T.LongType()),
+                         T.StructField("hi_neg", T.LongType())])
     part = ranged.mapInPandas(pass1, s1).withColumn("num2", F.col("num2").cast("decimal(38,0)"))
     part = materialize(part)  # partitions x replicates rows
     # offsets of earlier partitions, per replicate (window over partitions x replicates rows)
@@ -252,6 +226,11 @@ def bootstrap_scores(df: DataFrame, y: str, p: str, key: str, metrics: list[str]
         *[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn", "sq")],
         F.sum("pos").alias("tot_pos"), F.sum("neg").alias("tot_neg"),
         F.sum(F.col("num2") + F.lit(2) * F.col("off_neg").cast("decimal(19,0)") * F.col("pos").cast("decimal(18,0)")).alias("num2"))
+    first_off, fix = _join_ties(part.select("pid", "rep", "pos", "neg", "single", "p_lo", "lo_pos", "lo_neg", "p_hi",
+                                            "hi_pos", "hi_neg").orderBy("pid", "rep").collect(), n_boot)
+    fixes = df.sparkSession.createDataFrame([(r, str(v)) for r, v in enumerate(fix)], "rep int, fix string")
+    per = per.join(F.broadcast(fixes), "rep").withColumn(  # n_boot rows
+        "num2", F.col("num2") + F.col("fix").cast("decimal(38,0)")).drop("fix")
     per = per.withColumn("n", F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))
     per = threshold_metrics(per)
     PP, NN = F.col("tot_pos"), F.col("tot_neg")
@@ -265,20 +244,23 @@ def bootstrap_scores(df: DataFrame, y: str, p: str, key: str, metrics: list[str]
             offs.setdefault(r["pid"], np.zeros((2, n_boot), np.int64))[:, r["rep"]] = (r["off_pos"], r["off_neg"])
         for r in per.select("rep", "tot_pos", "tot_neg").collect():
             tot_p[r["rep"]] = (r["tot_pos"], r["tot_neg"])
-        Ptot = np.array([tot_p[i][0] for i in range(n_boot)], np.int64)
-        Ntot = np.array([tot_p[i][1] for i in range(n_boot)], np.int64)
+        Ptot = np.array([tot_p.get(i, (0, 0))[0] for i in range(n_boot)], np.int64)
+        Ntot = np.array([tot_p.get(i, (0, 0))[1] for i in range(n_boot)], np.int64)
 
         def pass2(batches):
             pid = TaskContext.get().partitionId()
             o = offs.get(pid, np.zeros((2, n_boot), np.int64))
             cum_pos, cum_neg = o[0].copy(), o[1].copy()
+            start = first_off.get(pid)  # where the first tie group begins, maybe in an earlier partition
             ap = np.zeros(n_boot)
             open_p, open_pos, open_neg = None, np.zeros(n_boot, np.int64), np.zeros(n_boot, np.int64)
 
             def close(gp, gn):
-                nonlocal cum_pos, cum_neg, ap
+                nonlocal cum_pos, cum_neg, ap, start
                 bp = cum_pos[None, :] + np.cumsum(gp, axis=0) - gp
                 bn = cum_neg[None, :] + np.cumsum(gn, axis=0) - gn
+                if start is not None:
+                    (bp[0], bn[0]), start = start, None
                 tp_ge = Ptot[None, :] - bp
                 all_ge = tp_ge + Ntot[None, :] - bn
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -311,6 +293,34 @@ def bootstrap_scores(df: DataFrame, y: str, p: str, key: str, metrics: list[str]
     return per.agg(*[F.avg(m).alias(m) for m in metrics])
 
 
+def _join_ties(rows: list, n_boot: int) -> tuple[dict, list]:
+    """From the boundary tie groups of every partition (partitions x replicates
+    rows, by partition and replicate): per partition the (pos, neg) counts below
+    its first tie group, and per replicate what the AUC numerator lacks because
+    pieces of one tie group in several partitions were counted as groups in turn."""
+    import numpy as np
+
+    first_off, fix = {}, np.zeros(n_boot, object)
+    cum = np.zeros((2, n_boot), np.int64)
+    begin = run = np.zeros((2, n_boot), np.int64)  # counts below the last tie group, and in it so far
+    last_p = None
+    for at in range(0, len(rows), n_boot):
+        part = rows[at:at + n_boot]
+        tot, low, high = (np.array([[r[f"{x}pos"] for r in part], [r[f"{x}neg"] for r in part]], np.int64)
+                          for x in ("", "lo_", "hi_"))
+        goes_on = last_p is not None and part[0]["p_lo"] == last_p
+        if goes_on:
+            # earlier positives also tie with these negatives, and later ones are not above earlier negatives
+            fix = fix + run[0].astype(object) * low[1] - low[0].astype(object) * run[1]
+        first_off[part[0]["pid"]] = (begin if goes_on else cum).copy()
+        if part[0]["single"]:
+            begin, run = (begin, run + low) if goes_on else (cum, low)
+        else:
+            begin, run = cum + tot - high, high
+        last_p, cum = part[0]["p_hi"], cum + tot
+    return first_off, [int(v) for v in fix]
+
+
 def weighted_f1(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
     """Support-weighted F1 over all labels seen in either column (0 when undefined)."""
     t, pr = F.col(y_true).cast("string"), F.col(y_pred).cast("string")

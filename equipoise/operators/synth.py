@@ -8,7 +8,7 @@ The model factorizes a mixed table given the label ``y``:
   (a chain), stored as cumulative intervals ``[lo, hi)``;
 * ``knots``: ``n_knots`` exact quantiles of every numeric column given
   ``(y, level of one conditioning column)``, with a class-level back-off for
-  cells with fewer than ``min_cell`` rows.
+  cells without a value.
 
 Fitting is a handful of partial aggregations (skew-safe: hot groups collapse
 map-side) plus one distributed sort for the quantiles; every fitted table is
@@ -91,7 +91,6 @@ class Synthesizer:
     condition_num_on_cat: bool = True
     num_cond_col: str | None = None
     n_knots: int = 101
-    min_cell: int = 30
     seed: int = 2020
     buckets: int = 64
     prior: DataFrame | None = field(default=None, repr=False)
@@ -268,10 +267,9 @@ class Synthesizer:
         if self.cond_col is None:
             return None, sized_broadcast(wide_w)
         wide_c = cell.groupBy("y", "cond").pivot("col", self.num_cols).agg(
-            F.first("knots").alias("k"), F.first("n").alias("n"))
+            F.first("knots").alias("k"))
         wide_c = wide_c.select(F.col("y").alias("__cy"), F.col("cond").alias("__cc"),
-                               *[F.col(f"`{c}_k`").alias(f"__ck_{i}") for i, c in enumerate(self.num_cols)],
-                               *[F.col(f"`{c}_n`").alias(f"__cn_{i}") for i, c in enumerate(self.num_cols)])
+                               *[F.col(f"`{c}`").alias(f"__ck_{i}") for i, c in enumerate(self.num_cols)])
         return sized_broadcast(wide_c), sized_broadcast(wide_w)
 
     def _draw_num(self, rows: DataFrame, seed: int, stream: str) -> DataFrame:
@@ -287,8 +285,7 @@ class Synthesizer:
         for i, c in enumerate(self.num_cols):
             kn = F.col(f"__wk_{i}")
             if cell is not None:
-                kn = F.when(F.coalesce(F.col(f"__cn_{i}"), F.lit(0)) >= self.min_cell,
-                            F.col(f"__ck_{i}")).otherwise(F.col(f"__wk_{i}"))
+                kn = F.coalesce(F.col(f"__ck_{i}"), kn)
             u = hash_u("synth_id", seed, f"{stream}:n:{c}")
             drawn.append(interpolate(kn, u, km1).alias(c))
         base = [x for x in rows.columns if not x.startswith("__")]
@@ -341,7 +338,7 @@ class Synthesizer:
         spark = self.prior.sparkSession
         params = {k: getattr(self, k) for k in ("target", "num_cols", "cat_cols", "condition",
                                                 "condition_num_on_cat", "num_cond_col", "n_knots",
-                                                "min_cell", "seed", "buckets", "cat_types")}
+                                                "seed", "buckets", "cat_types")}
         spark.createDataFrame([(json.dumps(params),)], "params string") \
              .coalesce(1).write.mode("overwrite").json(f"{path}/params")
         self.prior.write.mode("overwrite").parquet(f"{path}/prior")

@@ -2,7 +2,7 @@
 
 Everything is a DataFrame -> DataFrame function built from native
 expressions; lookups against level/count tables are equi-joins whose small
-side is broadcast only after a count (``sized_broadcast``).
+side is broadcast only after measuring it (``sized_broadcast``).
 """
 
 from __future__ import annotations
@@ -114,21 +114,11 @@ def positional_attach(features: DataFrame, labels: DataFrame, label_col: str,
 def head_by_hash(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """The first ``n`` rows in seeded hash order of ``key`` (ties by key).
 
-    A hash pre-filter keeps only rows that can be in the head (expected
-    count a few standard deviations above ``n``); ranks then come from
-    distributed prefix sums, so no single task holds the head. Falls back to
-    the full table if the pre-filter kept fewer than ``n`` rows.
+    Ranks come from distributed prefix sums over the whole table, so no single
+    task holds the head, however large ``n`` is.
     """
-    total = df.count()
-    if n >= total:
-        return df
-    u = hash_u(key, seed, "head")
-    frac = min(1.0, (n + 6 * (n ** 0.5) + 100) / total)
-    cand = df.withColumn("__u", u)
-    pre = cand.where(F.col("__u") < frac) if frac < 1.0 else cand
-    if pre.count() < n:
-        pre = cand
-    ranked = prefix_sums(pre.withColumn("__one", F.lit(1)), ["__u", key], ["__one"])
+    ranked = prefix_sums(df.withColumn("__u", hash_u(key, seed, "head")).withColumn("__one", F.lit(1)),
+                         ["__u", key], ["__one"])
     return ranked.where(F.col("cum___one") < n).drop("__u", "__one", "cum___one")
 
 

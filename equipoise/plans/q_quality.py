@@ -99,7 +99,7 @@ def f3_dimwise_table(spark, sf_dir):
     return _round(dimwise_table(r, f, m.output_columns(), len(m.kept_num_cols), "mean"), ["real", "fake"])
 
 
-_BW, _GRID, _CUT = 0.02, 101, 6.0
+_BW, _GRID = 0.02, 101
 _STEP = 1.0 / (_GRID - 1)
 
 
@@ -112,9 +112,7 @@ def _kde_sql() -> str:
     return f"""WITH {_prep_sql()},
 lg AS (SELECT * FROM ({long}) WHERE v IS NOT NULL),
 nn AS (SELECT col, type, count(*) AS n FROM lg GROUP BY ALL),
-pts AS (SELECT lg.col, lg.type, lg.v, g.g FROM lg JOIN range(0, {_GRID}) g(g)
-        ON g.g >= greatest(0, ceil((lg.v - {d(_CUT * _BW)} - {d(0.0)}) / {d(_STEP)}))
-       AND g.g <= least({_GRID - 1}, floor((lg.v + {d(_CUT * _BW)} - {d(0.0)}) / {d(_STEP)}))),
+pts AS (SELECT lg.col, lg.type, lg.v, g.g FROM lg CROSS JOIN range(0, {_GRID}) g(g)),
 sm AS (SELECT col, type, g, sum(exp({d(-0.5)} * ((({d(0.0)} + CAST(g AS DOUBLE) * {d(_STEP)}) - v) / {d(_BW)})
         * ((({d(0.0)} + CAST(g AS DOUBLE) * {d(_STEP)}) - v) / {d(_BW)}))) AS s FROM pts GROUP BY ALL)
 SELECT sm.col AS "column", sm.type, CAST(sm.g AS INTEGER) AS g,
@@ -127,7 +125,7 @@ FROM sm JOIN nn ON sm.col = nn.col AND sm.type = nn.type"""
 def f9_kde_numeric(spark, sf_dir):
     """gaussian KDE (bandwidth 0.02) of each numeric column, real vs synthetic, whole tables."""
     r, f, m = _encoded(spark, sf_dir)
-    t = kde_table(r, f, m.kept_num_cols, bw=_BW, grid=_GRID, cut=_CUT)
+    t = kde_table(r, f, m.kept_num_cols, bw=_BW, grid=_GRID)
     return t.select("column", "type", F.col("g").cast("int").alias("g"), F.round("x", 9).alias("x"),
                     F.round("density", 9).alias("density"))
 

@@ -21,7 +21,7 @@ def lit(s: str) -> str:
 
 def synth_sql(src: str, target: str, num_cols: list[str], cat_cols: list[str], n_sql: str,
               label_sql: str, seed: int = 2020, stream: str = "s", n_knots: int = 101,
-              min_cell: int = 30, cond_col: str | None = "__first__",
+              cond_col: str | None = "__first__",
               condition: bool = True) -> tuple[str, str]:
     """(CTE list, final select) drawing ``n_sql`` rows like ``Synthesizer.sample``.
 
@@ -30,7 +30,7 @@ def synth_sql(src: str, target: str, num_cols: list[str], cat_cols: list[str], n
     """
     fit = synth_fit_sql(src, target, num_cols, cat_cols, n_knots, cond_col)
     draw, rows = synth_draw_sql("", target, num_cols, cat_cols, n_sql, label_sql, seed, stream,
-                                n_knots, min_cell, cond_col, condition)
+                                n_knots, cond_col, condition)
     return fit + ",\n" + draw, rows
 
 
@@ -77,7 +77,7 @@ def synth_fit_sql(src: str, target: str, num_cols: list[str], cat_cols: list[str
 
 def synth_draw_sql(tag: str, target: str, num_cols: list[str], cat_cols: list[str], n_sql: str,
                    label_sql: str, seed: int = 2020, stream: str = "s", n_knots: int = 101,
-                   min_cell: int = 30, cond_col: str | None = "__first__",
+                   cond_col: str | None = "__first__",
                    condition: bool = True) -> tuple[str, str]:
     """CTEs drawing rows from the fitted tables; names are prefixed by ``tag``."""
     if cond_col == "__first__":
@@ -108,7 +108,7 @@ def synth_draw_sql(tag: str, target: str, num_cols: list[str], cat_cols: list[st
         if cond_col:
             joins.append(f"LEFT JOIN snk c{i} ON c{i}.col = {lit(c)} AND c{i}.cell AND c{i}.y = s.y "
                          f"AND c{i}.cond IS NOT DISTINCT FROM s.{q(cond_col)}")
-            kn = f"(CASE WHEN coalesce(c{i}.n, 0) >= {min_cell} THEN c{i}.knots ELSE w{i}.knots END)"
+            kn = f"coalesce(c{i}.knots, w{i}.knots)"
         u = hash_u_sql("s.synth_id", seed, f"{stream}:n:{c}")
         pos = f"({u} * {km1!r})"
         idx = f"CAST(floor({pos}) AS BIGINT)"

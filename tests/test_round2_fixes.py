@@ -55,3 +55,51 @@ def test_attach_follows_file_order(spark, tmp_path):
     y = read_delimited(spark, str(tmp_path / "y"), header=False, names=["j"])
     got = positional_attach(x, y, "label").select("i", "label").collect()
     assert len(got) == 40 and all(r["i"] == r["label"] for r in got)
+
+
+def test_prefix_sums_pass_other_columns_through_unchanged(spark):
+    from datetime import datetime
+
+    from equipoise.operators.preprocess import stratified_split
+    big = 2**53
+    rows = [(i, i % 2, None if i == 3 else big + 2 * i + 1, datetime(1500 if i % 2 else 3000, 1, 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, y int, big long, at timestamp_ntz")
+    train, test = stratified_split(df, "k", "y", 0.25)
+    assert test.groupBy("y").count().where("count <> 5").count() == 0
+    assert sorted(map(tuple, train.union(test).collect())) == sorted(rows)
+
+
+def test_kde_returns_every_grid_point(spark):
+    from equipoise.operators.quality import kde_table
+    real = spark.createDataFrame([(0.1,), (0.9,), (None,)], "x double")
+    out = kde_table(real, real, ["x"]).where("type = 'real'").orderBy("g").collect()
+    assert [r["g"] for r in out] == list(range(101)) and all(r["density"] > 0 for r in out if 3 <= r["g"] <= 97)
+    empty = spark.createDataFrame([], "x double")
+    assert kde_table(empty, empty, ["x"]).count() == 0
+
+
+def test_many_groups_and_single_rows_have_quantiles(spark):
+    from equipoise.operators.ordered import group_quantiles
+    df = spark.range(5000).selectExpr("id % 2000 as g", "double(id) as v").union(
+        spark.createDataFrame([(None, 7.0)], "g long, v double"))
+    q = group_quantiles(df, ["g"], "v", n_knots=3, with_n=True)
+    got = {(r["g"], r["k"]): r["value"] for r in q.collect()}
+    assert len(got) == 2001 * 3
+    assert [got[None, k] for k in range(3)] == [7.0] * 3
+    assert [got[5, k] for k in range(3)] == [5.0, 2005.0, 4005.0]
+    assert [got[1500, k] for k in range(3)] == [1500.0, 2500.0, 3500.0]
+
+
+def test_small_cells_use_their_own_knots(spark):
+    from equipoise.operators.synth import Synthesizer
+    rows = [(1, 100.0, "a")] * 3 + [(0, float(i), "b") for i in range(50)] + [(1, 1.0, "b")] * 40
+    df = spark.createDataFrame(rows, "y int, x double, c string")
+    out = Synthesizer("y", ["x"], ["c"]).fit(df).sample(400, y=1)
+    assert {r[0] for r in out.where("c = 'a'").select("x").distinct().collect()} == {100.0}
+    assert {r[0] for r in out.where("c = 'b'").select("x").distinct().collect()} == {1.0}
+
+
+def test_bootstrap_of_an_empty_table_is_null(spark):
+    from equipoise.operators.scores import bootstrap_scores
+    empty = spark.createDataFrame([], "k long, y int, p double")
+    assert bootstrap_scores(empty, "y", "p", "k", n_boot=2).first()["auc"] is None

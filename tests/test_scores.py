@@ -83,22 +83,16 @@ def test_other_scores(spark):
     assert abs(log_loss(ll, "y", "p").first()[0] - (-(np.log(0.9) + np.log(0.8)) / 2)) < 1e-12
 
 
-def test_bootstrap_hot_tie_uses_row_form_with_same_values(spark):
+def test_bootstrap_hot_tie_over_partitions_equals_weighted_scores(spark):
+    """Half the rows share one score, so its tie group fills several partitions."""
     from equipoise.operators import scores as S
     rng = np.random.default_rng(7)
-    rows = [(i, int(rng.random() < 0.3), 0.0 if i % 3 == 0 else float(rng.random())) for i in range(3000)]
+    rows = [(i, int(rng.random() < 0.3), 0.5 if i % 2 == 0 else round(float(rng.random()), 2)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, y int, p double")
-    streamed = S.bootstrap_scores(df.where("k % 3 <> 0"), "y", "p", "k", n_boot=8, seed=2).first()
-    rowwise = S._bootstrap_rows(df.where("k % 3 <> 0"), "y", "p", "k", n_boot=8, seed=2).first()
-    assert all(abs(streamed[m] - rowwise[m]) < 1e-12 for m in S.DEFAULT_METRICS)
-    calls = []
-    orig_rows, orig_min = S._bootstrap_rows, S.HOT_TIE_MIN_ROWS
-    try:
-        S.HOT_TIE_MIN_ROWS = 100  # a third of the rows share p = 0.0 -> row form
-        S._bootstrap_rows = lambda *a, **k: calls.append(1) or orig_rows(*a, **k)
-        hot = S.bootstrap_scores(df, "y", "p", "k", n_boot=8, seed=2).first()
-    finally:
-        S._bootstrap_rows, S.HOT_TIE_MIN_ROWS = orig_rows, orig_min
-    assert calls == [1]
-    ref = S.bootstrap_scores(df, "y", "p", "k", n_boot=8, seed=2).first()  # streaming form
-    assert all(abs(hot[m] - ref[m]) < 1e-12 for m in S.DEFAULT_METRICS)
+    got = S.bootstrap_scores(df, "y", "p", "k", n_boot=4, seed=2).first()
+    w = S._np_poisson_weights([str(r[0]) for r in rows], 2, 4)
+    one = [S.binary_scores(spark.createDataFrame([(*r, int(x)) for r, x in zip(rows, w[:, b])],
+                                                 "k long, y int, p double, w long"), "y", "p", weight="w").first()
+           for b in range(4)]
+    for m in S.DEFAULT_METRICS:
+        assert abs(got[m] - sum(r[m] for r in one) / 4) < 1e-12, m
