@@ -33,15 +33,28 @@ def stratified_split(df: DataFrame, key: str, target: str, test_size: float = 0.
     Rows are ranked inside their class by seeded hash through distributed prefix
     sums (no class in one task), then cut at the per-class size.
     """
+    ranked = _class_ranks(df, key, target, seed)
+    is_test = F.col("__rank") < F.round(F.col("__n") * F.lit(float(test_size)))
+    cols = df.columns
+    return ranked.where(~is_test).select(*cols), ranked.where(is_test).select(*cols)
+
+
+def stratified_folds(df: DataFrame, key: str, target: str, folds: int, seed: int = 2020,
+                     fold_col: str = "__fold") -> DataFrame:
+    """``df`` with a fold number 0..folds-1: every class is dealt out in seeded
+    hash order, so its sizes in two folds differ by one row at most."""
+    ranked = _class_ranks(df, key, target, seed)
+    return ranked.select(*df.columns, (F.col("__rank") % folds).cast("int").alias(fold_col))
+
+
+def _class_ranks(df: DataFrame, key: str, target: str, seed: int) -> DataFrame:
+    """Adds __rank, the place of a row in its class by seeded hash, and __n, the class size."""
     d = df.withColumn("__u", hash_u(key, seed, "strat")).withColumn("__one", F.lit(1))
     ranked = prefix_sums(d, [target, "__u", key], ["__one"])
     stats = ranked.groupBy(target).agg(F.min("cum___one").alias("__start"),
                                        F.count(F.lit(1)).alias("__n"))
     ranked = ranked.join(F.broadcast(stats), target)  # one row per class
-    rank = F.col("cum___one") - F.col("__start")
-    is_test = rank < F.round(F.col("__n") * F.lit(float(test_size)))
-    cols = df.columns
-    return ranked.where(~is_test).select(*cols), ranked.where(is_test).select(*cols)
+    return ranked.withColumn("__rank", F.col("cum___one") - F.col("__start"))
 
 
 def cat_dims(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -103,3 +103,12 @@ def test_bootstrap_of_an_empty_table_is_null(spark):
     from equipoise.operators.scores import bootstrap_scores
     empty = spark.createDataFrame([], "k long, y int, p double")
     assert bootstrap_scores(empty, "y", "p", "k", n_boot=2).first()["auc"] is None
+
+
+def test_folds_hold_every_class_alike(spark):
+    from equipoise.operators.preprocess import stratified_folds
+    df = spark.range(1003).selectExpr("id as k", "int(id % 10 = 0) as y")
+    sizes = stratified_folds(df, "k", "y", 4).groupBy("y", "__fold").count().collect()
+    for y in (0, 1):
+        n = [r["count"] for r in sizes if r["y"] == y]
+        assert len(n) == 4 and max(n) - min(n) <= 1
