@@ -48,8 +48,30 @@ def hash_normal_sql(key_sql: str, seed: int, stream: str = "z") -> str:
     return f"(sqrt(-2.0 * ln({u1})) * cos({float(2.0 * math.pi)!r} * {u2}))"
 
 
+# A prime, 2^31 - 1: products of two numbers below it fit a 64-bit integer.
+FIELD = 2147483647
+
+
+def poly_seeds(key: Column | str, seed: int, stream: str) -> list[Column]:
+    """Four integers below FIELD from one digest, the coefficients of a cubic
+    whose values at 0, 1, 2, ... modulo FIELD are many uniform numbers per row."""
+    digest = F.md5(_key_string(key, seed, stream))
+    return [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") % FIELD for i in range(4)]
+
+
+def poly_u_sql(key_sql: str, seed: int, stream: str, at_sql: str) -> str:
+    """DuckDB SQL of the uniform number at ``at_sql`` of :func:`poly_seeds`."""
+    s = f"md5(CAST({key_sql} AS VARCHAR) || ':{int(seed)}:{stream}')"
+    c = [f"(CAST(('0x' || substr({s}, {1 + 8 * i}, 8)) AS BIGINT) % {FIELD})" for i in range(4)]
+    v = c[3]
+    for i in (2, 1, 0):
+        v = f"(({v} * CAST({at_sql} AS BIGINT) + {c[i]}) % {FIELD})"
+    return f"(CAST({v} AS DOUBLE) / CAST('{FIELD}' AS DOUBLE))"
+
+
 def poisson1_thresholds(max_k: int = 12) -> list[float]:
-    """CDF of Poisson(1) at 0..max_k-1; weight = number of thresholds <= u."""
+    """CDF of Poisson(1) at 0..max_k-1; weight = number of thresholds <= u. What
+    lies beyond 12 (2e-10 of the draws) is below the grain of the uniforms."""
     out, acc, term = [], 0.0, math.exp(-1.0)
     for k in range(max_k):
         if k > 0:

@@ -3,9 +3,9 @@
 ``prefix_sums`` is the distributed running sum: range-partition on the order
 key (the range partitioner samples bounds, so a hot key range is split across
 tasks), take local running sums per partition with ``mapInArrow`` (streams
-batches, O(1) state, and passes every other column through unread), checkpoint
-that once so partition ids are stable, then add per-partition offsets from a
-table with one row per partition.
+batches, O(1) state, and passes every other column through unread), write that
+once with the partition's number, then add per-partition offsets from a table
+with one row per partition.
 
 ``group_quantiles`` uses it for exact interpolated quantiles (same definition as
 ``numpy.quantile`` / DuckDB ``quantile_cont``) without collecting a group: rows
@@ -17,6 +17,8 @@ third of all rows becomes one row per distinct value.
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -42,15 +44,31 @@ def sized_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> Data
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (cuts lineage; survives executor loss)."""
+    """Write ``df`` once to the shared folder of ``spark.checkpoint.dir`` and read
+    it back: cuts lineage, survives executor loss and gives joins the true size.
+    (An eager ``checkpoint()`` runs the last stage twice, to count and to write.)"""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Checkpoint that keeps partitions and the order of rows within them."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+# Rows a range partition is meant to hold; more partitions are made beyond it.
+ROWS_PER_PARTITION = 4_000_000
+
+
 def _partitions(df: DataFrame, partitions: int | None) -> int:
+    """As many as the session shuffles into, more when the rows (counted from the
+    footers of a written table) would not fit them."""
     if partitions:
         return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, -(-df.count() // ROWS_PER_PARTITION))
 
 
 def prefix_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
@@ -61,9 +79,10 @@ def prefix_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
     Rows with equal order keys land in the same partition; their relative order
     is arbitrary, so callers pre-aggregate ties when ties must be treated alike.
     """
-    n_part = _partitions(df, partitions)
-    data = df.select(*df.columns, *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(f"__w_{c}")
-                                    for c in sum_cols])
+    # written first: counted, sampled for the range bounds and shuffled without being computed again
+    data = materialize(df.select(*df.columns, *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(f"__w_{c}")
+                                                for c in sum_cols]))
+    n_part = _partitions(data, partitions)
     ranged = data.repartitionByRange(n_part, *order_cols).sortWithinPartitions(*order_cols)
     local_names = [f"__l_{c}" for c in sum_cols]
     schema = T.StructType(list(ranged.schema.fields)
@@ -98,6 +117,23 @@ def prefix_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
                                      for c in sum_cols])
 
 
+def group_ranks(df: DataFrame, groups: list[str], order_cols: list[str], rank: str = "rank",
+                size: str | None = None) -> DataFrame:
+    """Adds the 0-based place of every row in its group by ``order_cols`` (nulls
+    first), and the group's size if ``size`` names a column. Groups of any size
+    are spread over the tasks of the running sum."""
+    names = [f"__g{i}" for i in range(len(groups))]
+    summed = prefix_sums(df.withColumn("__one", F.lit(1)), [*groups, *order_cols], ["__one"])
+    sizes = summed.groupBy(*[F.col(g).alias(n) for g, n in zip(groups, names)]).agg(
+        F.min("cum___one").alias("__first"), F.count(F.lit(1)).alias("__size"))
+    same = F.lit(True)
+    for g, n in zip(groups, names):
+        same = same & F.col(g).eqNullSafe(F.col(n))
+    out = summed.join(sizes, same)
+    extra = [F.col("__size").alias(size)] if size else []
+    return out.select(*df.columns, (F.col("cum___one") - F.col("__first")).alias(rank), *extra)
+
+
 def group_quantiles(df: DataFrame, keys: list[str], value: str,
                     probs: list[float] | None = None, n_knots: int = 101,
                     partitions: int | None = None, with_n: bool = False) -> DataFrame:

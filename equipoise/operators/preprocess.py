@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from equipoise.functions.random import hash_u
-from equipoise.operators.ordered import prefix_sums
+from equipoise.operators.ordered import group_ranks
 
 
 def random_split(df: DataFrame, key: str, test_size: float = 0.1, seed: int = 2020
@@ -49,12 +49,7 @@ def stratified_folds(df: DataFrame, key: str, target: str, folds: int, seed: int
 
 def _class_ranks(df: DataFrame, key: str, target: str, seed: int) -> DataFrame:
     """Adds __rank, the place of a row in its class by seeded hash, and __n, the class size."""
-    d = df.withColumn("__u", hash_u(key, seed, "strat")).withColumn("__one", F.lit(1))
-    ranked = prefix_sums(d, [target, "__u", key], ["__one"])
-    stats = ranked.groupBy(target).agg(F.min("cum___one").alias("__start"),
-                                       F.count(F.lit(1)).alias("__n"))
-    ranked = ranked.join(F.broadcast(stats), target)  # one row per class
-    return ranked.withColumn("__rank", F.col("cum___one") - F.col("__start"))
+    return group_ranks(df.withColumn("__u", hash_u(key, seed, "strat")), [target], ["__u", key], "__rank", "__n")
 
 
 def cat_dims(df: DataFrame, cols: list[str]) -> DataFrame:

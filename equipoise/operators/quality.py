@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from equipoise.operators.ordered import group_ranks
 from equipoise.operators.scores import pearson, rmse
 from equipoise.operators.transforms import union_labelled
 
@@ -108,9 +109,8 @@ def category_counts(real: DataFrame, fake: DataFrame, cat_cols: list[str],
     t = long.groupBy("column", "level").pivot("type", ["real", "fake"]).agg(F.count(F.lit(1)))
     t = t.select("column", "level", F.coalesce("real", F.lit(0)).alias("real"),
                  F.coalesce("fake", F.lit(0)).alias("fake"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("column").orderBy(F.col("real").desc(), F.col("level").asc_nulls_first())
-    t = t.withColumn("rank", F.row_number().over(w))  # window over levels only
+    t = group_ranks(t.withColumn("__less", -F.col("real")), ["column"], ["__less", "level"])
+    t = t.drop("__less").withColumn("rank", F.col("rank") + 1)
     if log_counts:
         t = t.withColumn("real", F.when(F.col("real") > 0, F.log10("real"))) \
              .withColumn("fake", F.when(F.col("fake") > 0, F.log10("fake")))

@@ -6,10 +6,10 @@
   (positive, negative) counts per distinct score, then distributed prefix sums
   give the counts below each score. The AUC numerator is summed as an exact
   integer (decimal(38,0)) before one final division.
-* The bootstrap draws Poisson(1) weights per (row, replicate) from seeded
-  hashes (4 replicates per digest) inside the tasks and averages the metrics of
-  the replicates; no row is copied per replicate, and rows of equal score may lie
-  in any number of tasks.
+* The bootstrap draws Poisson(1) weights per (row, replicate) inside the tasks,
+  from one native digest per row, and averages the metrics of the replicates; no
+  row is copied per replicate, and rows of equal score may lie in any number of
+  tasks.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equipoise.functions.random import TWO_32, poisson1_thresholds
+from equipoise.functions.random import FIELD, poly_seeds, poisson1_thresholds
 from equipoise.operators.ordered import prefix_sums
 
 DEFAULT_METRICS = ["auc", "aps", "acc", "f1", "bacc", "brier", "gmean"]
@@ -106,29 +106,26 @@ def binary_scores(df: DataFrame, y: str, p: str, metrics: list[str] | None = Non
     return th.select(*metrics)
 
 
-def _np_poisson_weights(keys, seed: int, n_boot: int):
-    """(rows x n_boot) Poisson(1) weights, the numbers of the SQL twin: replicate r uses 32-bit slice r % 4 of md5('key:seed:boot<r // 4>')."""
-    import hashlib
-
+def poisson_weights(seeds, n_boot: int):
+    """(rows x n_boot) Poisson(1) weights from the (rows x 4) coefficients of
+    ``poly_seeds``: the polynomial's value at r, over the field size, is the
+    uniform number of replicate r."""
     import numpy as np
-    thresholds = np.array(poisson1_thresholds())
-    digests = (n_boot + 3) // 4
-    u = np.empty((len(keys), digests * 4), dtype=np.float64)
-    for d in range(digests):
-        suffix = f":{seed}:boot{d}".encode()
-        hx = [hashlib.md5(k.encode() + suffix).hexdigest() for k in keys]
-        for i in range(4):
-            u[:, d * 4 + i] = [int(h[8 * i:8 * i + 8], 16) for h in hx]
-    u = u[:, :n_boot] / TWO_32
-    return (u[:, :, None] >= thresholds[None, None, :]).sum(axis=2).astype(np.int64)
+    rep = np.arange(n_boot)
+    v = seeds[:, 3:4]
+    for i in (2, 1, 0):
+        v = (v * rep + seeds[:, i:i + 1]) % FIELD
+    return np.searchsorted(np.array(poisson1_thresholds()), v / float(FIELD), side="right")
 
 
 def bootstrap_scores(df: DataFrame, y: str, p: str, key: str, metrics: list[str] | None = None,
                      n_boot: int = 100, seed: int = 0, threshold: float = 0.5) -> DataFrame:
     """Mean of each metric over ``n_boot`` Poisson(1) bootstrap replicates.
 
-    Poisson(1) weights (seeded md5 of the row key, the same numbers as the SQL
-    twin) approximate n-of-n resampling with replacement. Rows are range-
+    Poisson(1) weights approximate n-of-n resampling with replacement. They come
+    from one seeded digest of the row key, taken natively; its four parts are the
+    coefficients of a polynomial whose value at r serves replicate r, so any four
+    replicates of a row are independent. Rows are range-
     partitioned by (score, key) once and checkpointed, so one score may fill many
     partitions; replicates never become rows. Pass 1 streams each partition in
     score order, tie group by tie group, and emits per replicate the weighted
@@ -143,17 +140,19 @@ def bootstrap_scores(df: DataFrame, y: str, p: str, key: str, metrics: list[str]
     from pyspark import TaskContext
     from pyspark.sql import types as T
 
-    from equipoise.operators.ordered import _partitions, materialize
+    from equipoise.operators.ordered import _partitions, checkpointed, materialize
 
     metrics = list(metrics or DEFAULT_METRICS)
     base = df.select(F.col(key).cast("string").alias("k"), F.col(y).cast("int").alias("y"),
-                     F.col(p).cast("double").alias("p"))
-    ranged = materialize(base.repartitionByRange(_partitions(base, None), "p", "k")
-                         .sortWithinPartitions("p", "k"))
+                     F.col(p).cast("double").alias("p"),
+                     *[c.alias(f"s{i}") for i, c in enumerate(poly_seeds(key, seed, "boot"))])
+    base = materialize(base)
+    ranged = checkpointed(base.repartitionByRange(_partitions(base, None), "p", "k")
+                          .sortWithinPartitions("p", "k"))
     thr = float(threshold)
 
     def groups(pdf):
-        W = _np_poisson_weights(pdf["k"].tolist(), seed, n_boot)
+        W = poisson_weights(pdf[["s0", "s1", "s2", "s3"]].to_numpy(), n_boot)
         yv = pdf["y"].to_numpy()
         pv = pdf["p"].to_numpy()
         return W, yv, pv

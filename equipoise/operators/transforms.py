@@ -7,11 +7,11 @@ side is broadcast only after measuring it (``sized_broadcast``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equipoise.functions.random import hash_normal, hash_u
-from equipoise.operators.ordered import materialize, prefix_sums, sized_broadcast
+from equipoise.operators.ordered import group_ranks, materialize, prefix_sums, sized_broadcast
 
 
 def drop_columns(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -34,14 +34,14 @@ def level_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """Distinct non-null levels per column with their code ``0..k-1`` in
     lexicographic string order: ``(column, level, code)``.
 
-    One explode + partial distinct aggregation; the window afterwards runs on
-    the distinct levels only (bounded by cardinality)."""
+    One explode + partial distinct aggregation; the codes are ranks from a
+    distributed running sum, so a column's levels may fill many tasks."""
     entries = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("level"))
                for c in cols]
     long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("level").isNotNull())
     distinct = long.groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("column").orderBy("level")
-    return distinct.select("column", "level", (F.row_number().over(w) - 1).cast("int").alias("code"))
+    return group_ranks(distinct.select("column", "level"), ["column"], ["level"]).select(
+        "column", "level", F.col("rank").cast("int").alias("code"))
 
 
 def encode_levels(df: DataFrame, cols: list[str], levels: DataFrame | None = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from equipoise.functions.random import poisson1_weight_sql
+from equipoise.functions.random import poisson1_weight_sql, poly_u_sql
 from equipoise.operators.preprocess import Preprocessor
 from equipoise.operators.scores import (DEFAULT_METRICS, binary_scores, bootstrap_scores, log_loss, pearson,
                                         r2_score, rmse, weighted_f1)
@@ -98,19 +98,15 @@ def e14_scores_ties_docs(spark, sf_dir):
     return _round_all(binary_scores(s, "y", "p"), DEFAULT_METRICS)
 
 
-def _boot_sql(s: str, n_boot: int = 100) -> str:
-    digests = (n_boot + 3) // 4
-    md5 = f"md5(CAST(id AS VARCHAR) || ':{SEED}:boot' || CAST(d AS VARCHAR))"
-    slices = ", ".join(f"({i}, CAST(('0x' || substr(h, {1 + 8 * i}, 8)) AS BIGINT) / 4294967296.0)"
-                       for i in range(4))
-    return f"""b0 AS (SELECT y, p, d, {md5} AS h FROM {s}, range(0, {digests}) r(d)),
-b1 AS (SELECT y, p, d * 4 + i AS rep, u FROM b0, LATERAL (VALUES {slices.replace('h,', 'b0.h,')}) v(i, u)),
-bw AS (SELECT rep, y, p, {poisson1_weight_sql('u')} AS w FROM b1 WHERE rep < {n_boot}),
+def boot_sql(s: str, n_boot: int = 100) -> str:
+    """CTE ``bs`` (rep, y, p, w) of the bootstrap over a relation (id, y, p)."""
+    return f"""bu AS (SELECT y, p, rep, {poly_u_sql('id', SEED, 'boot', 'rep')} AS u FROM {s}, range(0, {n_boot}) r(rep)),
+bw AS (SELECT rep, y, p, {poisson1_weight_sql('u')} AS w FROM bu),
 bs AS (SELECT * FROM bw WHERE w > 0)"""
 
 
 @register("e15_bootstrap_orders",
-          f"WITH s AS {_ORD_SCORED}, {_boot_sql('s')}, {scores_sql('bs', 'rep', 'w')} "
+          f"WITH s AS {_ORD_SCORED}, {boot_sql('s')}, {scores_sql('bs', 'rep', 'w')} "
           f"SELECT {_metric_select(agg='avg')} FROM met")
 def e15_bootstrap_orders(spark, sf_dir):
     """Scores averaged over 100 Poisson(1) bootstrap replicates."""

@@ -83,6 +83,35 @@ def test_other_scores(spark):
     assert abs(log_loss(ll, "y", "p").first()[0] - (-(np.log(0.9) + np.log(0.8)) / 2)) < 1e-12
 
 
+def _plain_weights(key, seed, n_boot):
+    """Poisson(1) by inverse distribution of a cubic over one digest's parts."""
+    import hashlib
+    import math
+    h = hashlib.md5(f"{key}:{seed}:boot".encode()).hexdigest()
+    c = [int(h[8 * i:8 * i + 8], 16) % (2**31 - 1) for i in range(4)]
+    out = []
+    for r in range(n_boot):
+        u, k, below = sum(x * r**i for i, x in enumerate(c)) % (2**31 - 1) / (2**31 - 1), 0, math.exp(-1)
+        while u >= below and k < 12:
+            k += 1
+            below += math.exp(-1) / math.factorial(k)
+        out.append(k)
+    return out
+
+
+def test_bootstrap_weights_are_poisson_and_uncorrelated(spark):
+    from equipoise.functions.random import poly_seeds
+    from equipoise.operators.scores import poisson_weights
+    c = spark.range(20000).select(*[x.alias(f"s{i}") for i, x in enumerate(poly_seeds("id", 5, "boot"))]).toPandas()
+    w = poisson_weights(c.to_numpy(), 100)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert abs((w == 0).mean() - np.exp(-1)) < 0.005
+    r = np.corrcoef(w.T)
+    np.fill_diagonal(r, 0)
+    assert np.abs(r).max() < 0.04
+    assert w[7].tolist() == _plain_weights(7, 5, 100)
+
+
 def test_bootstrap_hot_tie_over_partitions_equals_weighted_scores(spark):
     """Half the rows share one score, so its tie group fills several partitions."""
     from equipoise.operators import scores as S
@@ -90,7 +119,7 @@ def test_bootstrap_hot_tie_over_partitions_equals_weighted_scores(spark):
     rows = [(i, int(rng.random() < 0.3), 0.5 if i % 2 == 0 else round(float(rng.random()), 2)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, y int, p double")
     got = S.bootstrap_scores(df, "y", "p", "k", n_boot=4, seed=2).first()
-    w = S._np_poisson_weights([str(r[0]) for r in rows], 2, 4)
+    w = np.array([_plain_weights(r[0], 2, 4) for r in rows])
     one = [S.binary_scores(spark.createDataFrame([(*r, int(x)) for r, x in zip(rows, w[:, b])],
                                                  "k long, y int, p double, w long"), "y", "p", weight="w").first()
            for b in range(4)]
