@@ -44,6 +44,11 @@ def dimwise_metrics(real: DataFrame, fake: DataFrame, cols: list[str], n_num_col
     """one row ``rmse, corr, rmse_num, corr_num, rmse_cat, corr_cat``;
     a block with no columns reports -1."""
     t = dimwise_table(real, fake, cols, n_num_cols, measure)
+    return t.agg(*_agreement(cols, n_num_cols))
+
+
+def _agreement(cols: list[str], n_num_cols: int) -> list:
+    """Aggregates over a scatter table (block, real, fake)."""
     has_num, has_cat = n_num_cols > 0, len(cols) - n_num_cols > 0
     num = F.col("block") == "num"
     cat = F.col("block") == "cat"
@@ -53,9 +58,32 @@ def dimwise_metrics(real: DataFrame, fake: DataFrame, cols: list[str], n_num_col
             return F.lit(-1.0)
         return fn(F.when(cond, F.col("real")), F.when(cond, F.col("fake")))
 
-    return t.agg(rmse("real", "fake").alias("rmse"), pearson("real", "fake").alias("corr"),
-                 blk(num, rmse, has_num).alias("rmse_num"), blk(num, pearson, has_num).alias("corr_num"),
-                 blk(cat, rmse, has_cat).alias("rmse_cat"), blk(cat, pearson, has_cat).alias("corr_cat"))
+    return [rmse("real", "fake").alias("rmse"), pearson("real", "fake").alias("corr"),
+            blk(num, rmse, has_num).alias("rmse_num"), blk(num, pearson, has_num).alias("corr_num"),
+            blk(cat, rmse, has_cat).alias("rmse_cat"), blk(cat, pearson, has_cat).alias("corr_cat")]
+
+
+def dimwise_history(real: DataFrame, fakes: DataFrame, group: str, cols: list[str], n_num_cols: int = 0) -> DataFrame:
+    """F1 and F2 of several draws at once: long ``(group, metric, value)`` with
+    metrics ``<name>_avg`` and ``<name>_std``. The real rows are read once, and so
+    is every draw: means and deviations of all draws come from one aggregation."""
+    suffix = {"mean": "avg", "std": "std"}
+
+    def wide(df, by, names):
+        return df.groupBy(*by).agg(*[MEASURES[m](F.col(f"`{c}`").cast("double")).alias(f"{names}{m}{i}")
+                                     for m in suffix for i, c in enumerate(cols)])
+
+    one = wide(real, [], "r").withColumn("__one", F.lit(1))
+    both = wide(fakes, [group], "f").withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one")  # one row
+    block = lambda i: F.lit("num" if i < n_num_cols else "cat").alias("block")
+    t = both.select(group, F.explode(F.array(*[
+        F.struct(F.lit(s).alias("measure"), block(i), F.col(f"r{m}{i}").alias("real"), F.col(f"f{m}{i}").alias("fake"))
+        for m, s in suffix.items() for i in range(len(cols))])).alias("e")).select(group, "e.*")
+    rows = t.groupBy(group, "measure").agg(*_agreement(cols, n_num_cols))
+    names = ["rmse", "corr", "rmse_num", "corr_num", "rmse_cat", "corr_cat"]
+    return rows.select(group, F.explode(F.array(*[
+        F.struct(F.concat(F.lit(f"{k}_"), F.col("measure")).alias("metric"), F.col(k).alias("value"))
+        for k in names])).alias("e")).select(group, "e.*")
 
 
 def kde_table(real: DataFrame, fake: DataFrame, cols: list[str], bw: float = 0.02,

@@ -1,15 +1,15 @@
 """Queries built on model fits (groups G, F4-F8, F11, D10-D14, E16, E17, A23).
 
-Most have no SQL twin (a forest fit is not SQL); the driver checks their row
-counts and the tests check invariants. Where the operator itself is an
-aggregation over given scores (D11, D13, E17) an SQL twin is given.
+Forest, network and many-column fits have no SQL twin; the driver checks their
+row counts and the tests check invariants. Where a score is given (D11, D13, E16,
+E17) or the fit has a closed form (F4 by a ridge on one predictor) there is one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from equipoise.operators.models import (aux_classifier, balanced_vs_imbalanced, column_predictability,
+from equipoise.operators.models import (FeatureScore, aux_classifier, balanced_vs_imbalanced, column_predictability,
                                         difficulty_bands, fit_predict, forest, label_consistency, logistic,
                                         out_of_fold_scores, oversampling_utility, quality_report,
                                         real_fake_test, scoreboard, teacher_score, vector_agreement)
@@ -17,8 +17,8 @@ from equipoise.operators.preprocess import Preprocessor, random_split
 from equipoise.operators.scores import DEFAULT_METRICS, binary_scores
 from equipoise.operators.synth import Synthesizer
 from equipoise.plans.catalog import register
-from equipoise.plans.q_quality import real_fake
-from equipoise.plans.q_scores import _metric_select, scored, scored_sql, scores_sql
+from equipoise.plans.q_quality import _prep_sql, real_fake
+from equipoise.plans.q_scores import _metric_select, boot_sql, scored, scored_sql, scores_sql
 from equipoise.functions.random import hash_u_sql
 from equipoise.sources.tables import ORDERS_URGENT_SQL, orders_urgent
 
@@ -109,6 +109,28 @@ def e16_scoreboard(spark, sf_dir):
 _U = hash_u_sql("o_orderkey", SEED, "split")
 
 
+_TRAIN = f"(SELECT * FROM {ORDERS_URGENT_SQL} WHERE NOT ({_U} < 0.1))"
+_LONG = " UNION ALL ".join(f"SELECT '{m}_price' AS metric, round(avg({m}), 9) AS value FROM met"
+                           for m in ("auc", "brier", "f1", "aps", "acc", "gmean", "bacc"))
+
+
+@register("e16_g4_price_scoreboard", f"""WITH tr AS {_TRAIN},
+s AS (SELECT t.o_orderkey AS id, t.urgent AS y, least(greatest(
+    (CAST(t.o_totalprice AS DOUBLE) - m.lo) / (m.hi - m.lo), CAST(0.0 AS DOUBLE)), CAST(1.0 AS DOUBLE)) AS p
+  FROM (SELECT * FROM {ORDERS_URGENT_SQL} WHERE {_U} < 0.1) t,
+    (SELECT min(CAST(o_totalprice AS DOUBLE)) AS lo, max(CAST(o_totalprice AS DOUBLE)) AS hi FROM tr) m),
+{boot_sql('s')}, {scores_sql('bs', 'rep', 'w')}
+SELECT 'imb' AS metric, round(avg(CAST(urgent AS DOUBLE)), 9) AS value FROM tr UNION ALL {_LONG}""")
+def e16_g4_price_scoreboard(spark, sf_dir):
+    """E16 + G4: the bootstrapped scoreboard with a plugged-in scorer, the scaled order price."""
+    ds = orders_urgent(spark, sf_dir)
+    train, test = random_split(ds.df, "o_orderkey", 0.1, SEED)
+    model = Preprocessor(["o_totalprice"], []).fit(train)
+    tr, te = (model.transform(d, keep=["o_orderkey", "urgent"]) for d in (train, test))
+    return _round(scoreboard(tr, te, ["o_totalprice"], "urgent", [("price", FeatureScore())], "o_orderkey",
+                             True, 100, SEED), ["value"])
+
+
 @register("e17_one_class_fallback",
           f"WITH s AS (SELECT urgent AS y, CAST(0.0 AS DOUBLE) AS p FROM {ORDERS_URGENT_SQL} WHERE {_U} < 0.1), "
           f"{scores_sql('s')} SELECT {_metric_select()} FROM met")
@@ -143,6 +165,41 @@ def d11_label_consistency(spark, sf_dir):
     return label_consistency(p, "urgent")
 
 
+@register("d11_price_label_consistency", f"""WITH s AS {scored_sql(ORDERS_URGENT_SQL, 'o_orderkey', 'urgent', 'o_totalprice')},
+c AS (SELECT CAST(y AS DOUBLE) AS y, greatest(CAST('1e-12' AS DOUBLE), least(p, CAST(1.0 AS DOUBLE) - CAST('1e-12' AS DOUBLE))) AS p FROM s)
+SELECT round(avg(greatest(-(y * ln(p) + (1.0 - y) * ln(CAST(1.0 AS DOUBLE) - p)), CAST('0.3' AS DOUBLE))), 9) AS aux_clf_loss FROM c""")
+def d11_price_label_consistency(spark, sf_dir):
+    """D11 on a given score: floored BCE between the scaled order price and the label."""
+    s = scored(orders_urgent(spark, sf_dir), "o_totalprice")
+    return _round(label_consistency(s, "y"), ["aux_clf_loss"])
+
+
+def _ridge_sql() -> str:
+    """Closed form of the one-predictor ridge: slope = cov / (var + 1/n) on 70 %, R^2 on the rest."""
+    a, b = "o_totalprice", "order_day"
+    u = hash_u_sql("key", SEED, "split")
+    ctes, out = [], []
+    for side, table in (("real", "r"), ("fake", "f0")):
+        ctes.append(f"{side}_s AS (SELECT {a}, {b}, {u} < 0.3 AS held FROM {table})")
+        for y, x in ((a, b), (b, a)):
+            n = f"{side}_{y}"
+            ctes.append(f"{n} AS (SELECT covar_pop({y}, {x}) / (var_pop({x}) + CAST(1.0 AS DOUBLE) / count(*)) AS slope, "
+                        f"avg({y}) AS my, avg({x}) AS mx FROM {side}_s WHERE NOT held)")
+            ctes.append(f"{n}_r AS (SELECT 1.0 - sum(({y} - my - slope * ({x} - mx)) ** 2) / (var_pop({y}) * count(*)) AS r2 "
+                        f"FROM {side}_s, {n} WHERE held)")
+    for y in (a, b):
+        out.append(f"SELECT '{y}' AS \"column\", 'num' AS kind, (SELECT round(r2, 7) FROM real_{y}_r) AS real, "
+                   f"(SELECT round(r2, 7) FROM fake_{y}_r) AS fake")
+    return f"WITH {_prep_sql(keys=True)},\n" + ",\n".join(ctes) + "\n" + " UNION ALL ".join(out)
+
+
+@register("f4_g3_ridge_numeric", _ridge_sql())
+def f4_g3_ridge_numeric(spark, sf_dir):
+    """F4 + G3 on the numeric columns: each predicted from the other by ridge, real vs synthetic."""
+    ds, real, fk, model = _encoded_pair(spark, sf_dir)
+    return _round(column_predictability(real, fk, model.kept_num_cols, {}, "o_orderkey", SEED), ["real", "fake"], 7)
+
+
 _BANDS_SQL = f"""WITH s AS {scored_sql(ORDERS_URGENT_SQL, 'o_orderkey', 'urgent', 'o_totalprice')},
 pos AS (SELECT * FROM s WHERE y = 1),
 r AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS rk, count(*) OVER () AS n FROM pos),

@@ -6,8 +6,9 @@ import math
 
 from pyspark.sql import functions as F
 
+from equipoise.operators.ordered import materialize
 from equipoise.operators.preprocess import Preprocessor
-from equipoise.operators.quality import (category_counts, dimwise_metrics, dimwise_table, kde_table,
+from equipoise.operators.quality import (category_counts, dimwise_history, dimwise_metrics, dimwise_table, kde_table,
                                          metric_history_wide, report_row)
 from equipoise.operators.synth import Synthesizer
 from equipoise.plans.catalog import register
@@ -33,8 +34,9 @@ def real_fake(spark, sf_dir, factor: float = 1.5, stream: str = "s"):
     return ds, fake, model
 
 
-def _prep_sql(factor_sql: str = "1.5", streams=("s",)) -> str:
-    """CTEs: src, fitted synth tables, draws, encoders, ``r`` (real) and ``f{i}`` (fake per stream)."""
+def _prep_sql(factor_sql: str = "1.5", streams=("s",), keys: bool = False) -> str:
+    """CTEs: src, fitted synth tables, draws, encoders, ``r`` (real) and ``f{i}`` (fake per stream),
+    with the row's ``key`` if asked."""
     ctes = [f"src AS {ORDERS_URGENT_SQL}", synth_fit_sql("src", "urgent", _NUM, _CAT),
             f"nf AS (SELECT CAST(floor({factor_sql} * count(*)) AS BIGINT) AS nn FROM src)"]
     label = "CASE WHEN synth_id < (SELECT nn - nn // 2 FROM nf) THEN 0 ELSE 1 END"
@@ -44,9 +46,10 @@ def _prep_sql(factor_sql: str = "1.5", streams=("s",)) -> str:
         ctes.append(draw)
     ctes.append(prep_fit_sql("", "src", _NUM, _CAT))
     sel = ", ".join(prep_select_sql("", _NUM, _LEVELS, "t"))
-    ctes.append(f"r AS (SELECT {sel} FROM src t, mm m)")
+    real_key, fake_key = ("t.o_orderkey AS key, ", "t.synth_id AS key, ") if keys else ("", "")
+    ctes.append(f"r AS (SELECT {real_key}{sel} FROM src t, mm m)")
     for i, _ in enumerate(streams):
-        ctes.append(f"f{i} AS (SELECT {sel} FROM d{i}srows t, mm m)")
+        ctes.append(f"f{i} AS (SELECT {fake_key}{sel} FROM d{i}srows t, mm m)")
     return ",\n".join(ctes)
 
 
@@ -154,23 +157,17 @@ _ITERS = [1, 2, 3]
 
 
 def history(spark, sf_dir):
-    """Run history: F1/F2 metrics of three independent synthetic draws (iterations 1-3)."""
+    """Run history: F1/F2 metrics of three independent synthetic draws (iterations 1-3),
+    the real rows read once for all of them."""
     ds = orders_urgent(spark, sf_dir)
     syn = Synthesizer(ds.target, ds.num_cols, ds.cat_cols, seed=SEED).fit(ds.df)
     model = Preprocessor(ds.num_cols, ds.cat_cols).fit(ds.df)
-    real = model.transform(ds.df)
-    n = int(syn.n_rows * 1.0)
-    rows = None
+    fakes = None
     for it in _ITERS:
-        fake = model.transform(syn.sample(n, y="50-50", stream=f"it{it}"))
-        for measure, suffix in (("mean", "avg"), ("std", "std")):
-            m = dimwise_metrics(real, fake, model.output_columns(), len(model.kept_num_cols), measure)
-            long = m.select(F.explode(F.array(*[F.struct(F.lit(f"{k}_{suffix}").alias("metric"),
-                                                         F.col(k).alias("value")) for k in _METRIC_NAMES]))
-                            .alias("e")).select("e.*")
-            long = long.select(F.lit("orders_urgent").alias("run_id"), F.lit(it).alias("iter"), "metric", "value")
-            rows = long if rows is None else rows.unionByName(long)
-    return rows
+        fake = model.transform(syn.sample(syn.n_rows, y="50-50", stream=f"it{it}")).withColumn("iter", F.lit(it))
+        fakes = fake if fakes is None else fakes.unionByName(fake)
+    wide = dimwise_history(model.transform(ds.df), fakes, "iter", model.output_columns(), len(model.kept_num_cols))
+    return wide.select(F.lit("orders_urgent").alias("run_id"), "iter", "metric", "value")
 
 
 def _history_sql() -> str:
@@ -199,6 +196,20 @@ def f12_metric_history(spark, sf_dir):
     return _round(w, _HIST_METRICS)
 
 
+@register("a23_metric_history_values",
+          _history_sql() + " SELECT run_id, iter, metric, round(value, 9) AS value FROM hist")
+def a23_metric_history_values(spark, sf_dir):
+    """The F1/F2 metrics of three draws appended one iteration at a time and read back."""
+    import uuid
+    from equipoise.session import ensure_checkpoint_dir
+    from equipoise.sources.sinks import append_metrics, read_metrics
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/runs/metrics-{uuid.uuid4().hex}"
+    rows = materialize(history(spark, sf_dir))
+    for it in _ITERS:
+        append_metrics(rows.where(F.col("iter") == it), path)
+    return _round(read_metrics(spark, path), ["value"])
+
+
 def _report_sql() -> str:
     from equipoise.operators.quality import HISTORY_METRICS
     cols = ", ".join(

@@ -96,3 +96,14 @@ def test_latin1_source_and_raw_forest_scan(spark, tmp_path):
     target.parent.mkdir(parents=True)
     target.write_text("a,b,c\n1,2,3\n4,5,6\n")
     assert load_forest(spark, str(tmp_path)).count() == 2
+
+
+def test_ridge_slope_is_the_closed_form(spark):
+    import numpy as np
+    from equipoise.operators.models import assemble, ridge
+    rng = np.random.default_rng(0)
+    x = rng.random(40)
+    y = 3 * x + rng.normal(0, 0.3, 40)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    slope = ridge(40, float(y.std())).fit(assemble(df, ["x"], "y")).coefficients[0]
+    assert abs(slope - ((x - x.mean()) * (y - y.mean())).mean() / (x.var() + 1 / 40)) < 1e-9
