@@ -3,9 +3,9 @@
 ``prefix_sums`` is the distributed running sum: range-partition on the order
 key (the range partitioner samples bounds, so a hot key range is split across
 tasks), take local running sums per partition with ``mapInArrow`` (streams
-batches, O(1) state, and passes every other column through unread), write that
-once with the partition's number, then add per-partition offsets from a table
-with one row per partition.
+batches, O(1) state, and passes every other column through unread), checkpoint
+that once so partition ids and row order are kept, then add per-partition
+offsets from a table with one row per partition.
 
 ``group_quantiles`` uses it for exact interpolated quantiles (same definition as
 ``numpy.quantile`` / DuckDB ``quantile_cont``) without collecting a group: rows
@@ -105,7 +105,7 @@ def prefix_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
             pids = pa.array([pid] * b.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, *sums, pids], names)
 
-    locals_ = materialize(ranged.mapInArrow(local, schema))
+    locals_ = checkpointed(ranged.mapInArrow(local, schema))  # keeps the order of the partitions
     totals = locals_.groupBy("__pid").agg(*[F.sum(w).alias(f"__t_{c}")
                                             for w, c in zip(weights, sum_cols)])
     # one row per partition: a single-partition window here is bounded by n_part

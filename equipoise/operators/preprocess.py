@@ -1,9 +1,10 @@
 """Splits, imputation, scaling and one-hot encoding (group C).
 
-Fitting aggregates once over the training rows and keeps a handful of numbers
-per column (mean, min, max, mode, sorted levels); transforming is a pure
-projection of native expressions, so it stays inside whole-stage codegen with
-no join or shuffle.
+Fitting aggregates over the training rows and keeps a handful of numbers per
+column (mean, min, max, mode, sorted levels); transforming is a pure projection
+of native expressions, so it stays inside whole-stage codegen with no join or
+shuffle. ``CodedPreprocessor`` does the same for categories of many levels: the
+levels stay a table, rows get codes by join and fits get sparse vectors.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from equipoise.functions.random import hash_u
-from equipoise.operators.ordered import group_ranks
+from equipoise.operators.ordered import group_ranks, materialize, sized_broadcast
 
 
 def random_split(df: DataFrame, key: str, test_size: float = 0.1, seed: int = 2020
@@ -159,42 +160,116 @@ class Preprocessor:
     scale: bool = True
 
     def fit(self, df: DataFrame) -> PreprocessorModel:
-        """One pass over the rows: every row is exploded into one entry per
-        fitted column and grouped by ``(kind, column, level)``; numeric columns
-        form one group each (count, sum, min, max), categorical columns one group
-        per level (count). The grouped result is bounded by the cardinalities
-        and is all that reaches the driver."""
+        """One aggregate for the numeric columns and one grouped count of the levels.
+        The levels reach the driver, as each becomes an output column; for columns
+        of many levels take :class:`CodedPreprocessor`."""
         fields = {f.name: f.dataType for f in df.schema.fields}
         types = {c: fields[c].simpleString() for c in self.cat_cols}
-        entries = [F.struct(F.lit("n").alias("kind"), F.lit(c).alias("column"),
-                            F.lit(None).cast("string").alias("level"),
-                            F.col(f"`{c}`").cast("double").alias("x")) for c in self.num_cols]
-        entries += [F.struct(F.lit("c").alias("kind"), F.lit(c).alias("column"),
-                             F.col(f"`{c}`").cast("string").alias("level"),
-                             F.lit(None).cast("double").alias("x")) for c in self.cat_cols]
-        if not entries:
-            return PreprocessorModel([], [], {}, {}, {}, {}, self.scale)
-        long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-        stats = long.groupBy("kind", "column", "level").agg(
-            F.count("x").alias("nx"), F.sum("x").alias("sx"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-            F.count(F.lit(1)).alias("cnt")).collect()
-        num_params = {c: {"mean": None, "min": None, "max": None} for c in self.num_cols}
         counts = {c: [] for c in self.cat_cols}
-        for r in stats:
-            if r["kind"] == "n":
-                mean = r["sx"] / r["nx"] if r["nx"] else None
-                num_params[r["column"]] = {"mean": mean, "min": r["lo"], "max": r["hi"]}
-            elif r["level"] is not None:
-                counts[r["column"]].append((r["level"], r["cnt"]))
+        if self.cat_cols:
+            for r in _level_counts(df, self.cat_cols).collect():
+                counts[r["column"]].append((r["level"], r["n"]))
         levels, modes = {}, {}
         for c in self.cat_cols:
             lv = counts[c]
-            # Most frequent, ties -> smallest value (as text)
-            modes[c] = min(lv, key=lambda t: (-t[1], t[0]))[0] if lv else None
             numeric = types[c] != "string" and all(_is_number(v) for v, _ in lv)
-            ordered = sorted(lv, key=(lambda t: (float(t[0]), t[0])) if numeric else (lambda t: t[0]))
-            levels[c] = [v for v, _ in ordered]
-        return PreprocessorModel(self.num_cols, self.cat_cols, num_params, levels, modes, types, self.scale)
+            value = (lambda t: (float(t[0]), t[0])) if numeric else (lambda t: t[0])
+            # Most frequent, ties -> smallest value
+            modes[c] = min(lv, key=lambda t: (-t[1], value(t)))[0] if lv else None
+            levels[c] = [v for v, _ in sorted(lv, key=value)]
+        return PreprocessorModel(self.num_cols, self.cat_cols, _num_params(df, self.num_cols), levels, modes, types, self.scale)
+
+
+def _num_params(df: DataFrame, cols: list[str]) -> dict:
+    """Mean, min and max per numeric column (None for a column without values)."""
+    if not cols:
+        return {}
+    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    row = df.agg(*[F.struct(F.avg(x[c]).alias("mean"), F.min(x[c]).alias("min"), F.max(x[c]).alias("max")).alias(f"p{i}")
+                   for i, c in enumerate(cols)]).first()
+    return {c: row[f"p{i}"].asDict() for i, c in enumerate(cols)}
+
+
+def _level_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, level, n) of the non-null levels, as text."""
+    entries = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("level")) for c in cols]
+    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("level").isNotNull())
+    return long.groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@dataclass
+class CodedModel:
+    """Fitted :class:`CodedPreprocessor`: levels and codes stay a table."""
+
+    num_cols: list[str]
+    cat_cols: list[str]
+    num_params: dict
+    levels: DataFrame          # column, level, code
+    sizes: dict                # col -> number of levels
+    modes: dict                # col -> most frequent level (one per column)
+
+    def _side(self, c: str) -> DataFrame:
+        return sized_broadcast(self.levels.where(F.col("column") == c).select(
+            F.col("level").alias("__lvl"), F.col("code").alias("__code")))
+
+    def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """``keep``, the scaled numeric columns and one code per category: null
+        counts as the mode, a level unseen at fit is -1. Codes come by join."""
+        dense = PreprocessorModel(self.num_cols, [], self.num_params)
+        out = df.select(*[F.col(f"`{k}`") for k in keep or []], *dense.num_exprs(),
+                        *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(self.modes[c])).alias(f"__c{i}")
+                          for i, c in enumerate(self.cat_cols)])
+        for i, c in enumerate(self.cat_cols):
+            out = out.join(self._side(c), F.col(f"__c{i}") == F.col("__lvl"), "left").withColumn(
+                c, F.coalesce("__code", F.lit(-1))).drop("__lvl", "__code", f"__c{i}")
+        return out
+
+    def vectors(self, coded: DataFrame, out: str = "features") -> DataFrame:
+        """Adds the numeric block and the one-hot blocks of ``transform``'s rows as
+        one sparse vector; an unseen level has no indicator."""
+        from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+        dense = [c for c in self.num_cols if self.num_params[c]["mean"] is not None]
+        slots = [f"__i{i}" for i in range(len(self.cat_cols))]
+        hot = [f"__h{i}" for i in range(len(self.cat_cols))]
+        df = coded.select("*", *[F.when(F.col(c) < 0, self.sizes[c]).otherwise(F.col(c)).cast("double").alias(s)
+                                 for c, s in zip(self.cat_cols, slots)])
+        if slots:  # the last slot stands for unseen levels and is dropped
+            last = df.sparkSession.createDataFrame([tuple(float(self.sizes[c]) for c in self.cat_cols)], slots)
+            df = OneHotEncoder(inputCols=slots, outputCols=hot, dropLast=True).fit(last).transform(df)
+        return VectorAssembler(inputCols=dense + hot, outputCol=out).transform(df).drop(*slots, *hot)
+
+    def decode(self, coded: DataFrame) -> DataFrame:
+        """Codes back to their levels (null for -1), by join."""
+        out = coded
+        for c in self.cat_cols:
+            out = out.join(self._side(c), F.col(f"`{c}`") == F.col("__code"), "left").drop(c, "__code") \
+                     .withColumnRenamed("__lvl", c)
+        return out.select(*[F.col(f"`{c}`") for c in coded.columns])
+
+
+@dataclass
+class CodedPreprocessor:
+    """C8 for categories of any number of levels: levels are ranked by distributed
+    running sums (numbers as numbers, text as text) and nothing but one mode and
+    one count per column reaches the driver."""
+
+    num_cols: list[str]
+    cat_cols: list[str]
+
+    def fit(self, df: DataFrame) -> CodedModel:
+        numeric = [c for c in self.cat_cols if isinstance(df.schema[c].dataType, NumericType)]
+        counts = _level_counts(df, self.cat_cols) if self.cat_cols else df.sparkSession.createDataFrame(
+            [], "column string, level string, n bigint")
+        counts = counts.withColumn("number", F.when(F.col("column").isin(numeric), F.col("level").try_cast("double")))
+        ranked = materialize(group_ranks(counts, ["column"], ["number", "level"], "code").withColumn(
+            "code", F.col("code").cast("int")))
+        best = ranked.groupBy("column").agg(
+            F.count(F.lit(1)).alias("size"), F.min(F.struct((-F.col("n")).alias("n"), "code", "level")).alias("m"))
+        rows = {r["column"]: r for r in best.collect()}  # one row per column
+        sizes = {c: rows[c]["size"] if c in rows else 0 for c in self.cat_cols}
+        modes = {c: rows[c]["m"]["level"] if c in rows else None for c in self.cat_cols}
+        return CodedModel(self.num_cols, self.cat_cols, _num_params(df, self.num_cols),
+                          ranked.select("column", "level", "code"), sizes, modes)
 
 
 def _is_number(text: str) -> bool:

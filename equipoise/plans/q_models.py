@@ -70,8 +70,11 @@ def f8_balanced_vs_imbalanced(spark, sf_dir):
     balanced = syn.resample(train, id_col="o_orderkey")
     model = Preprocessor(ds.num_cols, ds.cat_cols).fit(train)
     cols = model.output_columns()
-    enc = lambda d: model.transform(d, keep=["urgent"])
-    return balanced_vs_imbalanced(enc(train), enc(balanced), enc(test), cols, "urgent", n_trees=300, seed=SEED)
+    enc = lambda d: model.transform(d, keep=["row_key", "urgent"])
+    own = lambda d: d.withColumn("row_key", F.col("o_orderkey").cast("string"))
+    balanced = balanced.withColumn("row_key", F.concat_ws(":", "origin", F.coalesce("o_orderkey", "synth_id")))
+    return balanced_vs_imbalanced(enc(own(train)), enc(balanced), enc(test.withColumn("row_key", F.lit(""))), cols,
+                                  "urgent", "row_key", n_trees=300, seed=SEED)
 
 
 @register("f4_column_predictability")

@@ -8,7 +8,7 @@ from equipoise.functions.random import hash_normal_sql, hash_u, hash_u_sql
 from equipoise.functions.scalar import (days_between, percent_to_double, positive_flag, target_equals,
                                         target_positive, target_shift)
 from equipoise.operators.ordered import prefix_sums
-from equipoise.operators.preprocess import (Preprocessor, cat_dims, inverse_onehot, mode_table,
+from equipoise.operators.preprocess import (CodedPreprocessor, Preprocessor, cat_dims, inverse_onehot, mode_table,
                                             random_split, stratified_split)
 from equipoise.operators.transforms import (append_tables, drop_columns, encode_levels, gaussian_jitter,
                                             head_by_hash, label_from_onehot, label_onehot, positional_attach,
@@ -287,6 +287,27 @@ def c8_column_transformer_lineitem(spark, sf_dir):
     return out.select("row_id", "returned", *[_r(c).alias(c) for c in model.output_columns()])
 
 
+_U_LI = hash_u_sql("l_orderkey", SEED, "split")
+
+
+@register("c7_c9_many_levels", f"""WITH tr AS (SELECT * FROM lineitem WHERE NOT ({_U_LI} < 0.1)),
+te AS (SELECT * FROM lineitem WHERE {_U_LI} < 0.1),
+lv AS (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS code FROM (SELECT DISTINCT l_partkey FROM tr)),
+mm AS (SELECT min(CAST(l_quantity AS DOUBLE)) AS lo, max(CAST(l_quantity AS DOUBLE)) AS hi FROM tr)
+SELECT te.l_orderkey, te.l_linenumber, round((CAST(te.l_quantity AS DOUBLE) - mm.lo) / (mm.hi - mm.lo), 9) AS l_quantity,
+  CAST(coalesce(lv.code, -1) AS INTEGER) AS l_partkey,
+  CAST(lv.l_partkey AS VARCHAR) AS part_back
+FROM te CROSS JOIN mm LEFT JOIN lv ON lv.l_partkey = te.l_partkey""")
+def c7_c9_many_levels(spark, sf_dir):
+    """C7-C9 with a category of many levels: part keys coded by join and read back."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
+    train, test = random_split(li, "l_orderkey", 0.1, SEED)
+    model = CodedPreprocessor(["l_quantity"], ["l_partkey"]).fit(train)
+    coded = model.transform(test, keep=["l_orderkey", "l_linenumber"]).withColumn("code", F.col("l_partkey"))
+    return model.decode(coded).select("l_orderkey", "l_linenumber", _r("l_quantity").alias("l_quantity"),
+                                      F.col("code").alias("l_partkey"), F.col("l_partkey").alias("part_back"))
+
+
 @register("c9_inverse_onehot", f"""SELECT o_orderkey, o_orderstatus, c_mktsegment FROM {_ORD}""")
 def c9_inverse_onehot(spark, sf_dir):
     """One-hot blocks read back to their levels (round trip of C7)."""

@@ -56,3 +56,22 @@ def test_homeeq_style_pipeline(spark):
     assert len(out.columns) == 10 + 3 + 4  # REASON codes {-1,0,1}, JOB codes {-1,0,1,2}
     row = out.agg(*[F.min(c).alias(c) for c in ds.num_cols]).first()
     assert all(row[c] == 0.0 for c in ds.num_cols)
+
+
+def test_coded_levels_nulls_unknown_and_vectors(spark):
+    from equipoise.operators.preprocess import CodedPreprocessor
+    train = spark.createDataFrame([(1.0, 10, "b"), (3.0, 2, "a"), (None, 10, "b"), (2.0, 2, None)], "x double, n int, k string")
+    m = CodedPreprocessor(["x"], ["n", "k"]).fit(train)
+    assert m.sizes == {"n": 2, "k": 2} and m.modes == {"n": "2", "k": "b"}  # tied codes: the smaller number
+    test = spark.createDataFrame([(1, 3.0, 10, "a"), (2, None, None, "zz"), (3, 1.0, 7, None)], "id int, x double, n int, k string")
+    coded = m.transform(test, keep=["id"])
+    assert sorted(map(tuple, coded.select("id", "x", "n", "k").collect())) == [(1, 1.0, 1, 0), (2, 0.5, 0, -1), (3, 0.0, -1, 1)]
+    vec = {r["id"]: r["features"].toArray().tolist() for r in m.vectors(coded).collect()}
+    assert vec == {1: [1.0, 0, 1, 1, 0], 2: [0.5, 1, 0, 0, 0], 3: [0.0, 0, 0, 0, 1]}
+    back = sorted(map(tuple, m.decode(coded).select("id", "n", "k").collect()))
+    assert back == [(1, "10", "a"), (2, "2", None), (3, None, "b")]
+
+
+def test_one_hot_mode_of_tied_numbers_is_the_smaller(spark):
+    df = spark.createDataFrame([(10,), (2,), (None,)], "n int")
+    assert Preprocessor([], ["n"]).fit(df).cat_modes["n"] == "2"
