@@ -1,4 +1,4 @@
-"""Line dedup on content-defined chunks.
+"""Line dedup on content-defined chunks and on repeated passages.
 
 A document is cut after every line whose rolling hash, taken over the hashes of
 the last two lines, is 0 modulo ``divisor``. Cuts depend on nearby lines alone,
@@ -7,23 +7,34 @@ more, those that occur again anywhere are removed; the first occurrence by
 (doc_id, key of the text, position) stays. A chunk counts as repeated only if its
 bytes are equal, not only its hash.
 
+Besides, every line is removed that lies in a run of lines of ``min_words`` words
+or more which occurs before, in the same order, without overlapping that
+occurrence. Runs need no cuts: from each line the shortest run of enough words
+that begins there and the shortest that ends there are compared, and these cover
+every longer run. Words are separated by white space. Lines of a run are compared
+by two 64-bit hashes each; blank lines hold no words and are not compared, and
+those inside a removed run go with it.
+
 Only DataFrame operations are used. Null texts stay null and have no lines; an
 empty text has one empty line. Rows equal in id and text are one document: they
-lose the same chunks. Columns other than the text are kept as they are."""
+lose the same lines. Columns other than the text are kept as they are."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from equipoise.llm.common import stored
 
 DIVISOR = 4
 MIN_LINES = 2
+MIN_WORDS = 51
+_BLANKS = r"[\x09-\x0D ]+"
+_WRITTEN = r"[^\x09-\x0D ]"
 
 
 def _with_chunks(docs: DataFrame, text_col: str, divisor: int) -> DataFrame:
-    """Adds __n_lines and __chunks. In a chunk each line has a blank before it and
+    """Adds __lines and __chunks. In a chunk each line has a blank before it and
     lines are joined by a newline, so two newlines in a row mark a cut and nothing
     else. Steps are columns of their own so that line hashes are computed once."""
     df = docs.withColumn("__lines", F.split(F.col(text_col), "\n", -1))
@@ -35,21 +46,55 @@ def _with_chunks(docs: DataFrame, text_col: str, divisor: int) -> DataFrame:
         cut = (F.conv(F.substring(rolling, 1, 4), 16, 10).cast("int") % divisor == 0) & (i < F.size("__lines") - 1)
         return F.concat(F.lit(" "), x, F.when(cut, F.lit("\n")).otherwise(F.lit("")))
 
-    df = df.withColumn("__chunks", F.split(F.array_join(F.transform("__lines", marked), "\n"), "\n\n", -1))
-    return df.withColumn("__n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__lines"))).drop(
-        "__lines", "__hash")
+    return df.withColumn("__chunks", F.split(F.array_join(F.transform("__lines", marked), "\n"), "\n\n", -1)).drop("__hash")
+
+
+def _n_lines(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, "\n", "")) + 1
+
+
+def _repeated_runs(spark: SparkSession, texts: DataFrame, min_words: int) -> DataFrame:
+    """(id, key, span) of the shortest runs of ``min_words`` words that occur before;
+    ``span`` is their first and last line, counted without blank lines. Only lines
+    that occur twice are sorted by document."""
+    written = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(_WRITTEN))
+    lines = texts.select("id", "key", F.posexplode(written).alias("no", "line")).select(
+        "id", "key", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"),
+        F.size(F.array_remove(F.split("line", _BLANKS), "")).cast("long").alias("w"))
+    twice = stored(spark, lines.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"))
+    doc = Window.partitionBy("id", "key").orderBy("no")
+    rows = lines.join(twice, "h").withColumn("before", F.lag("no").over(doc)).filter("before IS NULL OR before < no")
+    rows = rows.withColumn("run", F.col("no") - F.row_number().over(doc))  # the same along lines in a row
+    run = Window.partitionBy("id", "key", "run")
+    rows = rows.withColumn("end", F.sum("w").over(run.orderBy("no"))).withColumn("start", F.col("end") - F.col("w"))
+    rows = rows.withColumn("all", F.sum("w").over(run)).filter(F.col("all") >= min_words)
+
+    def span(kind: int, over: Window) -> Column:
+        of = lambda c: F.collect_list(c).over(over)
+        return F.when(F.sum("w").over(over) >= min_words, F.struct(
+            F.lit(kind).alias("kind"), F.min("no").over(over).alias("a"), F.max("no").over(over).alias("b"),
+            F.xxhash64(of("h")).alias("g"), F.xxhash64(F.lit(1), of("h2")).alias("g2")))
+
+    rows = rows.select("id", "key", span(0, run.orderBy("start").rangeBetween(0, min_words - 1)).alias("x"),
+                       span(1, run.orderBy("end").rangeBetween(1 - min_words, 0)).alias("y"))
+    spans = stored(spark, rows.select("id", "key", F.explode(F.array("x", "y")).alias("s")).filter("s IS NOT NULL").select(
+        "id", "key", "s.*"))
+    same = ["kind", "g", "g2"]
+    first = spans.groupBy(*same).agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "a")).alias("f"), F.count("*").alias("c"))
+    own = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("key") == F.col("f.key"))
+    gone = spans.join(first.filter("c > 1").drop("c"), same).filter(~own | (F.col("a") > F.col("f.a") + F.col("b") - F.col("a")))
+    return gone.select("id", "key", F.struct("a", "b").alias("span"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated chunks taken out of the text, plus n_lines,
-    n_removed_lines and n_removed_chunks."""
+                id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with the repeated chunks and runs taken out of the text, plus n_lines,
+    n_removed_lines (of both) and n_removed_chunks (repeated chunks alone)."""
     keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    parts = _with_chunks(keyed.select(F.col(id_col).alias("id"), F.col("__key").alias("key"),
-                                      F.col(text_col).alias("text")), "text", divisor)
-    parts = parts.select("id", "key", F.posexplode_outer("__chunks").alias("no", "chunk"))
-    lines = F.length("chunk") - F.length(F.translate("chunk", "\n", "")) + 1
-    parts = parts.withColumn("n", lines).filter(F.col("n") >= min_lines).withColumn("h", F.xxhash64("chunk"))
+    texts = keyed.select(F.col(id_col).alias("id"), F.col("__key").alias("key"), F.col(text_col).alias("text"))
+    parts = _with_chunks(texts, "text", divisor).select("id", "key", F.posexplode_outer("__chunks").alias("no", "chunk"))
+    parts = parts.withColumn("n", _n_lines(F.col("chunk"))).filter(F.col("n") >= min_lines).withColumn("h", F.xxhash64("chunk"))
 
     again = stored(spark, parts.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"))
     again = parts.join(again, "h")
@@ -59,21 +104,27 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, divisor: int = DIVISOR, mi
     first = first.filter("c > 1").select("h", "chunk", "f")
     gone = again.join(first, ["h", "chunk"]).filter(
         ~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("key") == F.col("f.key")) & (F.col("no") == F.col("f.no"))))
-    gone = stored(spark, gone.groupBy("id", "key").agg(
-        F.collect_set("no").alias("__gone")).select(F.col("id").alias("__id2"), F.col("key").alias("__key2"), "__gone"))
+    gone = gone.select("id", "key", "no").unionByName(_repeated_runs(spark, texts, min_words), allowMissingColumns=True)
+    gone = stored(spark, gone.groupBy("id", "key").agg(F.collect_set("no").alias("__gone"), F.collect_set("span").alias("__spans"))
+                  .withColumnsRenamed({"id": "__id2", "key": "__key2"}))
 
     # the merge hint gives every size the same plan: one shuffle of the texts
     out = keyed.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id2")) & (F.col("__key") == F.col("__key2")), "left")
-    out = _with_chunks(out.drop("__id2", "__key2", "__key"), text_col, divisor)
-    left = F.array_except(F.sequence(F.lit(0), F.size("__chunks") - 1), F.col("__gone"))
-    out = out.withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.transform(left, lambda i: F.get("__chunks", i))))
-    joined = F.concat(F.lit("\n"), F.array_join("__kept", "\n"))
-    text = F.when(F.size("__kept") == 0, F.lit("")).otherwise(
-        F.substr(F.replace(joined, F.lit("\n "), F.lit("\n")), F.lit(2)))
-    kept_lines = F.aggregate("__kept", F.lit(0), lambda a, c: a + F.length(c) - F.length(F.translate(c, "\n", "")) + 1)
+    # from here on null, and no work, unless the document loses something
+    out = _with_chunks(out.withColumn("__t", F.when(F.col("__gone").isNotNull(), F.col(text_col))), "__t", divisor)
+    numbers = F.sequence(F.lit(0), F.size("__lines") - 1)
+    out = out.withColumn("__of", F.flatten(F.transform("__chunks", lambda c, i: F.array_repeat(i, _n_lines(c)))))
+    out = out.withColumn("__begin", F.filter(F.when(F.col("__t").isNotNull(), numbers), lambda k: (k == 0) | (
+        F.get("__of", k) != F.get("__of", k - 1)))).withColumn("__at", F.filter(
+            F.when(F.col("__t").isNotNull(), numbers), lambda k: F.get("__lines", k).rlike(_WRITTEN)))
+    of_chunks = F.transform("__gone", lambda c: F.sequence(
+        F.get("__begin", c), F.coalesce(F.get("__begin", c + 1), F.size("__lines")) - 1))
+    of_spans = F.transform("__spans", lambda s: F.sequence(F.get("__at", s["a"]), F.get("__at", s["b"])))
+    out = out.withColumn("__left", F.when(F.col("__t").isNotNull(), F.array_except(
+        numbers, F.flatten(F.concat(of_chunks, of_spans)))))
+    text = F.array_join(F.transform("__left", lambda k: F.get("__lines", k)), "\n")
     return out.select(
-        *[F.coalesce(F.when(F.col("__kept").isNotNull(), text), F.col(text_col)).alias(text_col) if c == text_col
-          else F.col(f"`{c}`") for c in docs.columns],
-        F.col("__n_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.col("__n_lines") - kept_lines, F.lit(0)).cast("long").alias("n_removed_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed_chunks"))
+        *[F.coalesce(text, F.col(text_col)).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        F.coalesce(_n_lines(F.col(text_col)), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("__t").isNotNull(), F.size("__lines") - F.size("__left")).otherwise(0).cast("long").alias("n_removed_lines"),
+        F.when(F.col("__t").isNotNull(), F.size("__gone")).otherwise(0).cast("long").alias("n_removed_chunks"))
