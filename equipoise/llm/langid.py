@@ -3,7 +3,9 @@
 Each language gets a raw-content zstandard dictionary made of labelled text. A
 text (in lower case) is compressed with every dictionary, and the language whose dictionary gives
 the smallest output is chosen; when the runner-up is nearly as small the text is
-rejected.
+rejected. A dictionary saves a bounded number of bytes, so texts are compressed in
+segments of about ``SEGMENT`` bytes, each by itself, and the sizes are summed: the
+score doesn't fall with the length of the text.
 
 The dictionaries are fitted on a bounded sample: per language the ``max_docs``
 texts with the smallest hash, ``chars_per_doc`` characters of each from a place
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 LEVEL = 6
 CARRIER = 64
+SEGMENT = 8192
 MIN_MARGIN = 0.004
 
 
@@ -84,13 +87,24 @@ def _cached(profiles: Profiles):
     return _compressors(profiles)
 
 
+def _segments(data: bytes) -> list[bytes]:
+    """``data`` in parts of nearly equal size, as many as come nearest to SEGMENT
+    bytes, at least one; cut between characters."""
+    n = max(1, round(len(data) / SEGMENT))
+    cuts = [len(data) * i // n for i in range(n + 1)]
+    for i in range(1, n):
+        while data[cuts[i]] & 0xC0 == 0x80:  # inside a character
+            cuts[i] -= 1
+    return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def classify(text: str | None, langs: tuple[str, ...], compressors, min_margin: float) -> tuple[str, float, bool]:
     """(language, score, rejected). The score is the share of the runner-up's size
     that the best dictionary saves."""
     if text is None or not langs or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, True
-    data = text.lower().encode()
-    sizes = sorted((max(1, len(c.compress(head + data)) - base), k)
+    parts = _segments(text.lower().encode())
+    sizes = sorted((sum(max(1, len(c.compress(head + x)) - base) for x in parts), k)
                    for (c, head, base), k in zip(compressors, langs, strict=True))
     if len(sizes) == 1:
         return sizes[0][1], 1.0, False
