@@ -1,10 +1,11 @@
 """Importance resampling by hashed n-gram models.
 
 Two bags of hashed one- and two-word features are counted: one over the target
-rows (labelled good) and one over all rows. A document's log weight is the mean
-log ratio of the two models over its features times ``scale``; Gumbel noise is
-added and the rows with the largest sums are kept, which samples without
-replacement in proportion to the weights.
+rows (labelled good) and one over all rows. A document's log weight is the log of
+the ratio of its probabilities under the two models: the sum of the log ratios of
+its features times ``scale``, which is 1 unless the weights are to be tempered.
+Gumbel noise is added and the rows with the largest sums are kept, which samples
+without replacement in proportion to the weights.
 
 The models cover all rows; they are two arrays of ``buckets`` numbers, so what
 reaches the driver and the tasks has a fixed size. Null, empty and wordless texts
@@ -81,7 +82,7 @@ def log_ratios(counts: np.ndarray) -> np.ndarray:
     return np.log(p[1]) - np.log(p[0])
 
 
-def importance(spark: SparkSession, docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, scale: float = 100.0,
+def importance(spark: SparkSession, docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, scale: float = 1.0,
                seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, log_weight, gumbel) per row; ``target`` holds the ids of good rows."""
     good = target.select(F.col(id_col).alias("id2")).distinct().withColumn("target", F.lit(True))
@@ -99,10 +100,9 @@ def importance(spark: SparkSession, docs: DataFrame, target: DataFrame, buckets:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 row, bucket = features(*_lists(b.column(2)), buckets)
-                n = np.bincount(row, minlength=b.num_rows)
                 total = np.bincount(row, ratio[bucket], minlength=b.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(scale * total / np.maximum(n, 1))], ["id", "bits", "log_weight"])
+                    [b.column(0), b.column(1), pa.array(scale * total)], ["id", "bits", "log_weight"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     noise = F.xxhash64("id", "text", F.lit(seed))
