@@ -31,6 +31,7 @@ GROUP_TOKENS = CAPACITY * 1024
 GROUP_PIECES = 50_000
 _CACHE_WORDS = 500_000
 _RUN_CHARS = 8_000_000
+_ADDED = r"(?i)<\|(startoftext|endoftext)\|>"
 
 
 class WordTokenizer:
@@ -40,7 +41,8 @@ class WordTokenizer:
     text are those of its blank-separated words in turn; each distinct word is
     encoded once and remembered (at most _CACHE_WORDS of them). Texts whose
     characters all lie below U+0300 (no combining marks; U+0130 apart) are
-    lower-cased first, as the tokenizer does, and a run of punctuation after a
+    lower-cased first, as the tokenizer does, unless they hold an added token in any
+    case (it matches those before it lower-cases), and a run of punctuation after a
     letter and before white space counts as a word, as the tokenizer cuts there."""
 
     def __init__(self, path: str):
@@ -76,6 +78,7 @@ class WordTokenizer:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         plain = pc.match_substring_regex(texts, r"^[\x00-\x{12F}\x{131}-\x{2FF}]*\z")
         low = pc.replace_substring_regex(pc.utf8_lower(texts), r"(\pL)([.,;:!?%#&*$]+)([ \t\n\v\f\r]|\z)", r"\1 \2\3")
+        plain = pc.and_not(plain, pc.match_substring_regex(texts, _ADDED))
         texts = pc.if_else(plain, low, texts)
         lists = pc.ascii_split_whitespace(texts)
         words = lists.values
