@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equipoise.llm import bagminhash, chat, decontam, langid, licences, line_chunks, packing, pii, resample, rules
+from equipoise.llm import (bagminhash, chat, decontam, hard_negatives, langid, licences, line_chunks, mixing, packing,
+                           periodic, pii, resample, rules)
 from equipoise.llm.common import hex_digest
 from equipoise.llm.sql import ORACLES  # noqa: F401
 from equipoise.session import ensure_checkpoint_dir
@@ -94,6 +95,39 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "class_id", "n_copies", "representative")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every row whose id is divisible by 50."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _read(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.hard_negatives(spark, rows, lambda i: i % 50 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, after a tenth of them got a planted one."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = periodic.word_array(F.col("text"))
+    docs = docs.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("w"))
+    a = F.col("a")
+    docs = docs.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", 1 + F.floor((F.col("n") - a) / (3 + F.col("g") % 8)))
+    planted = F.transform("w", lambda x, i: F.get(F.col("w"), F.when(i < a, i).otherwise(a + F.pmod(i - a, F.col("p"))).cast("int")))
+    out = periodic.periodic_runs(docs.select("doc_id", F.when(a.isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text")))
+    top = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("q"))))
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    out = out.withColumn("top", top)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.s").alias("start"), (-F.col("top.l")).alias("length"),
+        F.col("top.q").alias("period"), F.floor(-1000 * F.col("top.l") / F.col("top.q")).alias("exponent_milli"),
+        hex_digest(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")).alias("runs_sha256"),
+        hex_digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of all documents at the sources' target sizes."""
+    mixed = mixing.mix(spark, _read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
 def _ready(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
@@ -105,4 +139,5 @@ def _ready(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 QUERIES = {f.__name__: _ready(f) for f in (
     op1_chat_format, op2_importance_resampling, op3_decontamination, op4_line_chunk_dedup, op5_personal_data,
-    op6_licence_scan, op7_language, op8_quality_rules, op9_packing, op10_bagminhash)}
+    op6_licence_scan, op7_language, op8_quality_rules, op9_packing, op10_bagminhash, op11_hard_negatives,
+    op12_periodic_runs, op13_source_mixing)}

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -146,3 +149,57 @@ def classes(docs, threshold: float = 0.8):
 
 def crc(ids) -> int:
     return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))
+
+
+def blank_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def word_runs(words):
+    """Every period, every start: maximal stretches of smallest period."""
+    n, found = len(words), {}
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            s = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            if i - s + q >= max(6, 4 * q):
+                found.setdefault((s, i - s + q), q)
+    return sorted((s, length, q) for (s, length), q in found.items())
+
+
+def source_targets(sizes, share):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    total, capped = share * sum(sizes.values()), set()
+    while True:
+        free = [s for s in names if s not in capped]
+        rest = total - sum(2 * sizes[s] for s in capped)
+        target = {s: 2 * sizes[s] if s in capped else rest * weights[s] / sum(weights[f] for f in free) for s in names}
+        above = {s for s in free if target[s] > 2 * sizes[s]}
+        if not above:
+            return target
+        capped |= above
+
+
+def hard_negatives(rows, is_anchor, n_positives=5, n_negatives=3):
+    """All scores of all anchors, in whole numbers that saturate at a long."""
+    usable = {}
+    for i, v, label in rows:
+        if i is not None and v is not None and label is not None and all(x is not None and math.isfinite(x) for x in v):
+            usable[i] = min(usable.get(i, (label, v)), (label, v))
+    q = {i: (label, [int(np.floor(256 * np.float64(x))) for x in v]) for i, (label, v) in usable.items()}
+    score = lambda a, b: max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a, b))))
+    out = []
+    for a, (label, v) in q.items():
+        if not is_anchor(a):
+            continue
+        ranked = sorted((-score(v, w), i, other) for i, (other, w) in q.items() if i != a)
+        for s, p, _ in [r for r in ranked if r[2] == label][:n_positives]:
+            fits = [r for r in ranked if r[2] != label and -50 * s <= -100 * r[0] <= -95 * s][:n_negatives]
+            out += [(a, p, k + 1, i, -s, -t) for k, (t, i, _) in enumerate(fits)]
+    return sorted(out)
