@@ -2,7 +2,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import FIXTURES
+from paths import FIXTURES
 from equipoise.operators.preprocess import (Preprocessor, cat_dims, inverse_onehot, mode_table, random_split,
                                             stratified_split)
 

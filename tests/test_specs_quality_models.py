@@ -4,7 +4,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import FIXTURES, SF001
+from paths import FIXTURES, SF001
 from equipoise.sources.specs import SPECS, dataset_metadata, dataset_names, load, load_data
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from equipoise.operators.synth import Synthesizer, class_imbalance
 from equipoise.sources.tables import orders_urgent
 

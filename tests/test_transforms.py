@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import FIXTURES
+from paths import FIXTURES
 from equipoise.functions.scalar import days_between, percent_to_double, positive_flag
 from equipoise.operators.transforms import (encode_levels, head_by_hash, positional_attach, rare_levels,
                                             shuffle_rows)
