@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -79,36 +81,50 @@ def quality(text: str | None):
             len(w) < 20 or 100 * len(covered) > 30 * len(w))
 
 
-def chunks(text: str, divisor: int) -> list[list[str]]:
-    out, current, before = [], [], ""
-    lines = text.split("\n")
+def chunks(lines: list[str], divisor: int) -> list[tuple[int, int]]:
+    """First and last line of each chunk."""
+    out, begin, before = [], 0, None
     for i, line in enumerate(lines):
-        h = hashlib.md5(line.encode()).hexdigest()
-        rolling = hashlib.md5((before + h).encode()).hexdigest()
+        h = xxhash.xxh64_intdigest(line.encode(), 42)
+        seed = 42 if before is None else xxhash.xxh64_intdigest(struct.pack("<Q", before), 42)
         before = h
-        current.append(line)
-        if int(rolling[:4], 16) % divisor == 0 or i == len(lines) - 1:
-            out.append(current)
-            current = []
+        if xxhash.xxh64_intdigest(struct.pack("<Q", h), seed) % divisor == 0 or i == len(lines) - 1:
+            out.append((begin, i))
+            begin = i + 1
     return out
 
 
-def dedup_lines(docs, divisor: int, min_lines: int = 2):
+def pieces(lines: list[str], divisor: int, min_lines: int, min_words: int) -> list[tuple[int, int, int]]:
+    """(kind, first, last) of chunks, and of the shortest runs of enough words from and to each line."""
+    out = [(0, a, b) for a, b in chunks(lines, divisor) if b - a + 1 >= min_lines]
+    n = [len(re.findall(r"[^\x09-\x0D ]+", x)) for x in lines]
+    for i in range(len(lines)):
+        out += [(1, i, b) for b in range(i, len(lines)) if sum(n[i:b + 1]) >= min_words][:1]
+        out += [(2, a, i) for a in range(i, -1, -1) if sum(n[a:i + 1]) >= min_words][:1]
+    return out
+
+
+def dedup_lines(docs, divisor: int, min_lines: int = 2, min_words: int = 51):
     """docs: (id, text), ids distinct -> id -> (text, n_lines, removed lines, removed chunks)."""
-    seen, out = set(), {}
-    for doc, text in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
-        if text is None:
-            out[doc] = (None, 0, 0, 0)
-            continue
-        kept, gone = [], []
-        for c in chunks(text, divisor):
-            key = tuple(c)
-            if len(c) >= min_lines and key in seen:
-                gone.append(c)
-            else:
-                seen.add(key)
-                kept += c
-        out[doc] = ("\n".join(kept), text.count("\n") + 1, sum(map(len, gone)), len(gone))
+    first, found, out = {}, [], {}
+    docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
+    for doc, text in docs:
+        at = [i for i, x in enumerate((text or "").split("\n")) if re.search(r"[^\x09-\x0D ]", x)]
+        lines = [(text or "").split("\n")[i] for i in at]
+        for kind, a, b in pieces(lines, divisor, min_lines, min_words):
+            same = (kind, tuple(lines[a:b + 1]))
+            first[same] = min(first.get(same, (doc is None, doc or 0, a)), (doc is None, doc or 0, a))
+            found.append((doc, kind, a, b, at, same))
+    gone, cut = {}, Counter()
+    for doc, kind, a, b, at, same in found:
+        none, f, fa = first[same]
+        if (doc is None, doc or 0) != (none, f) or (a != fa if kind == 0 else a > fa + b - a):
+            gone.setdefault(doc, set()).update(range(at[a], at[b] + 1))
+            cut[doc] += kind == 0
+    for doc, text in docs:
+        lines = text.split("\n") if text is not None else []
+        left = [x for i, x in enumerate(lines) if i not in gone.get(doc, ())]
+        out[doc] = ("\n".join(left) if text is not None else None, len(lines), len(lines) - len(left), cut[doc])
     return out
 
 

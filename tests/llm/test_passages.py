@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from equipoise.llm import line_chunks
 
 SCHEMA = "doc_id bigint, text string"
@@ -64,5 +66,33 @@ def test_chunks_alone(spark):
 
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = line_chunks.dedup_lines(spark, df, min_words=10**9).collect()
-    want = plain.dedup_lines([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()], line_chunks.DIVISOR)
+    want = plain.dedup_lines([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()],
+                             line_chunks.DIVISOR, min_words=10**9)
     assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed_lines"], r["n_removed_chunks"]) for r in out} == want
+
+
+def test_all_pieces_of_random_lines(spark):
+    import brute as plain
+
+    rng = random.Random(11)
+    pool = [words(rng, rng.randint(1, 6)) for _ in range(40)] + ["", " ", "\t"]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 25)))) for i in range(200)] + [(500, None)]
+    docs += [(600 + i, "\n".join(["head"] * 3 + ["again and again"] * 40)) for i in range(2)]
+    out = line_chunks.dedup_lines(spark, spark.createDataFrame(docs, SCHEMA), min_words=8).collect()
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed_lines"], r["n_removed_chunks"]) for r in out}
+    assert got == plain.dedup_lines(docs, line_chunks.DIVISOR, min_words=8) and sum(r["n_removed_chunks"] for r in out) > 20
+
+
+def test_lines_of_one_hash_are_told_apart_by_bytes(spark):
+    texts = spark.createDataFrame([(1, 7, "one\ntwo"), (2, 8, "one\ntwo"), (3, 9, "three\nfour")], "id bigint, key bigint, text string")
+    rows = [(i, k, 0, 0, 1, [5, 6] if i < 3 else [7, 8]) for i, k in ((1, 7), (2, 8), (3, 9))]
+    pieces = spark.createDataFrame(rows, "id bigint, key bigint, kind int, a int, b int, hs array<bigint>")
+    assert line_chunks._equal_bytes(spark, texts, pieces).count() == 3
+    short = texts.withColumn("h", F.lit(5))
+    seen = F.xxhash64
+    try:  # every line gets the same hash
+        line_chunks.F.xxhash64 = lambda *c: F.lit(5).cast("bigint") if c == ("line",) else seen(*c)
+        left = line_chunks._equal_bytes(spark, short.drop("h"), pieces)
+        assert [r["id"] for r in left.collect()] == [3]
+    finally:
+        line_chunks.F.xxhash64 = seen
