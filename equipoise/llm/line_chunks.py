@@ -99,12 +99,13 @@ def _equal_bytes(spark: SparkSession, texts: DataFrame, pieces: DataFrame) -> Da
 def _repeats(spark: SparkSession, texts: DataFrame, divisor: int, min_lines: int, min_words: int) -> DataFrame:
     """(id, key, kind, a, b) of the pieces to remove; ``a`` and ``b``: first and last line."""
     lines = stored(spark, _lines(texts, divisor))
-    twice = lines.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    # written tables on both sides of the joins, so that a line or piece of very many rows can be split at run time
+    twice = stored(spark, lines.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"))
     pieces = stored(spark, _pieces(spark, lines.join(twice, "h"), min_lines, min_words))
     same = ["kind", "hs"]
     first = pieces.groupBy(*same).agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "a")).alias("f"), F.count("*").alias("c"))
-    again = stored(spark, pieces.join(first.filter("c > 1").drop("c"), same))
+    again = stored(spark, pieces.join(stored(spark, first.filter("c > 1").drop("c")), same))
     own = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("key") == F.col("f.key"))
     apart = F.when(F.col("kind") == _CHUNK, F.col("a") != F.col("f.a")).otherwise(F.col("a") > F.col("f.a") + F.col("b") - F.col("a"))
     return _equal_bytes(spark, texts, again).filter(~own | apart).select("id", "key", "kind", "a", "b")
