@@ -5,7 +5,8 @@ at-signs, plus signs, digits, URL schemes and identifier cues. A deterministic
 local parser then expands each anchor and validates the span: e-mail addresses
 around an at-sign, dotted numbers and card-like digit runs around a digit, phone
 numbers after a plus sign, addresses after a scheme, account numbers and secrets
-after a cue. Every parser is linear in the characters it touches.
+after a cue. A parser never goes over characters again that it has matched for its
+kind, whether the match became a span or failed, so the whole scan is linear.
 
 Null text counts as empty. Offsets are code points, end exclusive. Rows are
 independent and streamed in Arrow batches, so memory is bounded by a batch and
@@ -124,15 +125,15 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         elif (at == 0 or not text[at - 1].isalpha()) and not text[last + 1:last + 2].isalpha():
             start = _AFTER_CUE.match(text, last + 1).end()
             if kind == "account":
-                m = _ACCOUNT.match(text, start) if start >= account_end else None
-                if m and 6 <= sum(c.isdigit() for c in m.group()) <= 34:
-                    out.append(("account", start, m.end()))
+                if start >= account_end and (m := _ACCOUNT.match(text, start)):
                     account_end = m.end()
+                    if 6 <= sum(c.isdigit() for c in m.group()) <= 34:
+                        out.append(("account", start, account_end))
             else:
-                m = _SECRET.match(text, start) if start >= secret_end else None
-                if m and len(m.group()) >= 12 and any(c.isdigit() for c in m.group()):
-                    out.append(("secret", start, m.end()))
+                if start >= secret_end and (m := _SECRET.match(text, start)):
                     secret_end = m.end()
+                    if len(m.group()) >= 12 and any(c.isdigit() for c in m.group()):
+                        out.append(("secret", start, secret_end))
     rank = KINDS.index
     return sorted(out, key=lambda s: (s[1], rank(s[0]), s[2]))
 

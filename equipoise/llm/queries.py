@@ -64,7 +64,7 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pii_spans(_read(spark, sf_dir, "documents"))
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
-    return found.select("doc_id", *[of(k) for k in pii.KINDS], hex_digest(pii.spans_text(base)).alias("base_sha256"),
+    return found.select("doc_id", *[of(k) for k in pii.KINDS], F.size("spans").cast("long").alias("n_spans"), hex_digest(pii.spans_text(base)).alias("base_sha256"),
                         pii.spans_text(F.col("spans")).alias("spans"))
 
 
