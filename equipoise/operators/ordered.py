@@ -3,9 +3,12 @@
 ``prefix_sums`` is the distributed running sum: range-partition on the order
 key (the range partitioner samples bounds, so a hot key range is split across
 tasks), take local running sums per partition with ``mapInArrow`` (streams
-batches, O(1) state, and passes every other column through unread), checkpoint
-that once so partition ids and row order are kept, then add per-partition
-offsets from a table with one row per partition.
+batches, O(1) state, and passes every other column through unread), write that
+once with the partition's number, then add per-partition offsets from a table
+with one row per partition.
+
+``rank_cuts`` finds the rows at given places of each group's order by counting in
+ever finer intervals of the order key: no sort, and no shuffle of rows.
 
 ``group_quantiles`` uses it for exact interpolated quantiles (same definition as
 ``numpy.quantile`` / DuckDB ``quantile_cont``) without collecting a group: rows
@@ -18,10 +21,11 @@ third of all rows becomes one row per distinct value.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,7 +109,7 @@ def prefix_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
             pids = pa.array([pid] * b.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, *sums, pids], names)
 
-    locals_ = checkpointed(ranged.mapInArrow(local, schema))  # keeps the order of the partitions
+    locals_ = materialize(ranged.mapInArrow(local, schema))  # the sums and the partition's number are columns by now
     totals = locals_.groupBy("__pid").agg(*[F.sum(w).alias(f"__t_{c}")
                                             for w, c in zip(weights, sum_cols)])
     # one row per partition: a single-partition window here is bounded by n_part
@@ -134,9 +138,83 @@ def group_ranks(df: DataFrame, groups: list[str], order_cols: list[str], rank: s
     return out.select(*df.columns, (F.col("cum___one") - F.col("__first")).alias(rank), *extra)
 
 
+#: Intervals that one pass of ``rank_cuts`` splits an interval into, and the largest
+#: interval (rows) whose rows are ranked one by one.
+CUT_WAYS = 1 << 16
+CUT_ROWS = 100_000
+
+
+def rank_cuts(df: DataFrame, groups: list[str], u: Column, key: str, places: Callable[[Column], list[Column]],
+              ways: int = CUT_WAYS, most_rows: int = CUT_ROWS) -> tuple[DataFrame, Column]:
+    """``df`` with a helper column, and an expression over it: how many of the places
+    ``places(n)`` (0-based ranks, ``n`` the size of the row's group) a row has reached
+    in its group's order by (``u``, ``key``). ``u`` is a number in [0, 1).
+
+    Distributed selection: one aggregate counts the rows of each of ``ways``
+    intervals of ``u``, those that hold a place are split in the same way until they
+    are small, and the row at the place is looked up in its interval. What comes back
+    to the rows is one small table, a boundary row per group and place; rows are
+    neither sorted nor shuffled. Rows equal in ``key`` lie on the same side of a
+    boundary, so sizes are exact where keys are unique."""
+    names = [f"__g{i}" for i in range(len(groups))]
+    number = F.coalesce(u, F.lit(0.0))
+    rows = df.select(F.lit(0).alias("__all"), *[F.col(g).alias(n) for g, n in zip(groups, names)],
+                     number.alias("__u"), F.col(key).alias("__k"))
+    names = ["__all", *names]
+    fine, cuts = ways, None
+    while True:
+        at = F.floor(F.col("__u") * fine).cast("long")
+        if cuts is None:
+            counts = materialize(rows.groupBy(*names, at.alias("__b")).agg(F.count(F.lit(1)).alias("__c")))
+            total = F.sum("__c").over(Window.partitionBy(*names))
+            per_group = Window.partitionBy(*names).orderBy("__b")
+        else:
+            inside = _null_safe_join(rows.withColumn("__in", F.floor(F.col("__u") * (fine // ways)).cast("long")),
+                                     cuts.withColumnRenamed("__b", "__in"), [*names, "__in"])
+            counts = materialize(inside.groupBy(*names, "__i", "__p", "__first", at.alias("__b")).agg(
+                F.count(F.lit(1)).alias("__c")))
+            per_group = Window.partitionBy(*names, "__i").orderBy("__b")
+        before = F.coalesce(F.sum("__c").over(per_group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        if cuts is None:
+            found = counts.withColumn("__first", before).withColumn("__n", total)
+            found = found.select(*names, "__b", "__c", "__first", F.posexplode(F.array(*[
+                p.cast("long") for p in places(F.col("__n"))])).alias("__i", "__p"))
+        else:
+            found = counts.withColumn("__first", F.col("__first") + before)
+        cuts = materialize(found.where((F.col("__p") >= F.col("__first")) & (F.col("__p") < F.col("__first") + F.col("__c"))))
+        largest = cuts.agg(F.max("__c")).first()[0] or 0
+        cuts = sized_broadcast(cuts.drop("__c"))
+        if largest <= most_rows or fine >= 1 << 32:
+            break
+        fine *= ways
+    near = _null_safe_join(rows.withColumn("__b", F.floor(F.col("__u") * fine).cast("long")), cuts, [*names, "__b"])
+    here = Window.partitionBy(*names, "__i").orderBy("__u", "__k")
+    edge = near.withColumn("__r", F.row_number().over(here) - 1 + F.col("__first")).where(F.col("__r") == F.col("__p"))
+    edges = materialize(edge.groupBy(*names).agg(F.collect_list(F.struct("__u", "__k")).alias("__cuts")))
+    there = {n: f"{n}_" for n in names}
+    on = F.lit(0) == F.col("__all_")
+    for g, n in zip(groups, names[1:]):
+        on = on & F.col(g).eqNullSafe(F.col(there[n]))
+    out = df.withColumn("__zero", F.lit(0))
+    on = (F.col("__zero") == F.col("__all_")) if not groups else on
+    out = out.join(sized_broadcast(edges.withColumnsRenamed(there)), on, "left").drop(*there.values(), "__zero")
+    past = lambda c: (number > c["__u"]) | ((number == c["__u"]) & (F.col(key) >= c["__k"]))
+    return out, F.when(F.col("__cuts").isNotNull(), F.size(F.filter("__cuts", past))).otherwise(0)
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be null; ``right`` may carry a broadcast hint."""
+    there = {k: f"{k}_" for k in keys}
+    on = F.lit(True)
+    for k, name in there.items():
+        on = on & F.col(k).eqNullSafe(F.col(name))
+    return left.join(right.withColumnsRenamed(there), on).drop(*there.values())
+
+
 def group_quantiles(df: DataFrame, keys: list[str], value: str,
                     probs: list[float] | None = None, n_knots: int = 101,
-                    partitions: int | None = None, with_n: bool = False) -> DataFrame:
+                    partitions: int | None = None, with_n: bool = False,
+                    weight: str | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per group, long form:
     ``keys..., k (int), value (double)`` (plus the group size ``n`` if ``with_n``).
 
@@ -148,15 +226,17 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str,
     Rows collapse map-side to (group, value, multiplicity); distributed prefix
     sums give every value the ranks it covers, and it emits the knots whose ranks
     lie there. Group sizes are joined back, so nothing reaches the driver and the
-    number of groups is not bounded.
+    number of groups is not bounded. With ``weight`` the rows are taken as distinct
+    values with their multiplicities.
     """
     if not keys:  # one global group: a constant key keeps the code path uniform
         out = group_quantiles(df.withColumn("__g0", F.lit(0)), ["__g0"], value, probs, n_knots,
-                              partitions, with_n)
+                              partitions, with_n, weight)
         return out.drop("__g0")
-    counted = (df.where(F.col(value).isNotNull())
-               .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__w"))
-               .select(*keys, F.col(value).cast("double").alias("__v"), "__w"))
+    counted = df.where(F.col(value).isNotNull())
+    if weight is None:
+        counted = counted.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__w"))
+    counted = counted.select(*keys, F.col(value).cast("double").alias("__v"), F.col(weight or "__w").alias("__w"))
     ranked = prefix_sums(counted, [*keys, "__v"], ["__w"], prefix="__c", partitions=partitions)
     names = [f"__k{i}" for i in range(len(keys))]
     groups = ranked.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from equipoise.functions.random import hash_u
-from equipoise.operators.ordered import group_ranks, materialize, sized_broadcast
+from equipoise.operators.ordered import group_ranks, materialize, rank_cuts, sized_broadcast
 
 
 def random_split(df: DataFrame, key: str, test_size: float = 0.1, seed: int = 2020
@@ -29,28 +29,24 @@ def random_split(df: DataFrame, key: str, test_size: float = 0.1, seed: int = 20
 
 def stratified_split(df: DataFrame, key: str, target: str, test_size: float = 0.1,
                      seed: int = 2020) -> tuple[DataFrame, DataFrame]:
-    """Exact per-class test sizes ``round(test_size * n_class)``.
-
-    Rows are ranked inside their class by seeded hash through distributed prefix
-    sums (no class in one task), then cut at the per-class size.
+    """Exact per-class test sizes ``round(test_size * n_class)``: the first
+    rows of each class by seeded hash. The boundaries come from distributed
+    selection (:func:`rank_cuts`), so rows are neither sorted nor moved. Rows with
+    equal keys go to the same side.
     """
-    ranked = _class_ranks(df, key, target, seed)
-    is_test = F.col("__rank") < F.round(F.col("__n") * F.lit(float(test_size)))
-    cols = df.columns
-    return ranked.where(~is_test).select(*cols), ranked.where(is_test).select(*cols)
+    cut, passed = rank_cuts(df, [target], hash_u(key, seed, "strat"), key,
+                            lambda n: [F.round(n * F.lit(float(test_size)))])
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    return cut.where(passed > 0).select(*cols), cut.where(passed == 0).select(*cols)
 
 
 def stratified_folds(df: DataFrame, key: str, target: str, folds: int, seed: int = 2020,
                      fold_col: str = "__fold") -> DataFrame:
-    """``df`` with a fold number 0..folds-1: every class is dealt out in seeded
-    hash order, so its sizes in two folds differ by one row at most."""
-    ranked = _class_ranks(df, key, target, seed)
-    return ranked.select(*df.columns, (F.col("__rank") % folds).cast("int").alias(fold_col))
-
-
-def _class_ranks(df: DataFrame, key: str, target: str, seed: int) -> DataFrame:
-    """Adds __rank, the place of a row in its class by seeded hash, and __n, the class size."""
-    return group_ranks(df.withColumn("__u", hash_u(key, seed, "strat")), [target], ["__u", key], "__rank", "__n")
+    """``df`` with a fold number 0..folds-1: every class in seeded hash order is cut
+    into equal parts, so its sizes in two folds differ by one row at most."""
+    cut, passed = rank_cuts(df, [target], hash_u(key, seed, "strat"), key,
+                            lambda n: [F.floor(n * i / folds) for i in range(1, folds)])
+    return cut.select(*[F.col(f"`{c}`") for c in df.columns], passed.cast("int").alias(fold_col))
 
 
 def cat_dims(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -160,15 +156,18 @@ class Preprocessor:
     scale: bool = True
 
     def fit(self, df: DataFrame) -> PreprocessorModel:
-        """One aggregate for the numeric columns and one grouped count of the levels.
+        """One pass: numeric statistics and level counts come from one grouped aggregate.
         The levels reach the driver, as each becomes an output column; for columns
         of many levels take :class:`CodedPreprocessor`."""
         fields = {f.name: f.dataType for f in df.schema.fields}
         types = {c: fields[c].simpleString() for c in self.cat_cols}
         counts = {c: [] for c in self.cat_cols}
-        if self.cat_cols:
-            for r in _level_counts(df, self.cat_cols).collect():
-                counts[r["column"]].append((r["level"], r["n"]))
+        params = {c: {"mean": None, "min": None, "max": None} for c in self.num_cols}
+        for r in _one_pass(df, self.num_cols, self.cat_cols).collect() if self.num_cols or self.cat_cols else []:
+            if r["num"]:
+                params[self.num_cols[r["col"]]] = {k: r[k] for k in ("mean", "min", "max")}
+            else:
+                counts[self.cat_cols[r["col"]]].append((r["level"], r["n"]))
         levels, modes = {}, {}
         for c in self.cat_cols:
             lv = counts[c]
@@ -177,7 +176,20 @@ class Preprocessor:
             # Most frequent, ties -> smallest value
             modes[c] = min(lv, key=lambda t: (-t[1], value(t)))[0] if lv else None
             levels[c] = [v for v, _ in sorted(lv, key=value)]
-        return PreprocessorModel(self.num_cols, self.cat_cols, _num_params(df, self.num_cols), levels, modes, types, self.scale)
+        return PreprocessorModel(self.num_cols, self.cat_cols, params, levels, modes, types, self.scale)
+
+
+def _one_pass(df: DataFrame, num_cols: list[str], cat_cols: list[str]) -> DataFrame:
+    """(num, col, level, n, mean, min, max): a row per numeric column that has values
+    and per non-null level of a category; ``col`` is the column's place in its list."""
+    none = F.lit(None)
+    entries = [F.struct(F.lit(True).alias("num"), F.lit(i).alias("col"), none.cast("string").alias("level"),
+                        F.col(f"`{c}`").cast("double").alias("x")) for i, c in enumerate(num_cols)]
+    entries += [F.struct(F.lit(False).alias("num"), F.lit(i).alias("col"), F.col(f"`{c}`").cast("string").alias("level"),
+                         none.cast("double").alias("x")) for i, c in enumerate(cat_cols)]
+    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where("level IS NOT NULL OR x IS NOT NULL")
+    return long.groupBy("num", "col", "level").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
 
 
 def _num_params(df: DataFrame, cols: list[str]) -> dict:

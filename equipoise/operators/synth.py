@@ -163,12 +163,15 @@ class Synthesizer:
         cond_expr = F.col(cond) if cond else F.lit(None).cast("string")
         entries = [F.struct(F.lit(c).alias("col"), F.col(c).alias("v")) for c in self.num_cols]
         long = data.select("y", cond_expr.alias("cond"), F.explode(F.array(*entries)).alias("e")) \
-                   .select("y", "cond", "e.col", "e.v")
-        cell = long.withColumn("cell", F.lit(True))
-        whole = long.withColumn("cell", F.lit(False)).withColumn("cond", F.lit(None).cast("string"))
-        both = cell.unionByName(whole) if cond else whole
+                   .select("y", "cond", "e.col", "e.v").where(F.col("v").isNotNull())
+        # values are counted by cell once; a class's counts are sums of its cells'
+        counts = long.groupBy("col", "y", "cond", "v").agg(F.count(F.lit(1)).alias("w"))
+        counts = materialize(counts) if cond else counts
+        whole = counts.groupBy("col", "y", "v").agg(F.sum("w").alias("w")).select(
+            "col", "y", F.lit(False).alias("cell"), F.lit(None).cast("string").alias("cond"), "v", "w")
+        both = counts.withColumn("cell", F.lit(True)).unionByName(whole) if cond else whole
         keys = ["col", "y", "cell", "cond"]
-        q = group_quantiles(both, keys, "v", n_knots=self.n_knots, with_n=True)
+        q = group_quantiles(both, keys, "v", n_knots=self.n_knots, with_n=True, weight="w")
         arr = q.groupBy(*keys).agg(F.first("n").alias("n"),
                                    F.sort_array(F.collect_list(F.struct("k", "value"))).alias("kv"))
         return arr.select(*keys, "n", F.col("kv.value").alias("knots"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equipoise.functions.random import hash_normal, hash_u
-from equipoise.operators.ordered import group_ranks, materialize, prefix_sums, sized_broadcast
+from equipoise.operators.ordered import group_ranks, materialize, prefix_sums, rank_cuts, sized_broadcast
 
 
 def drop_columns(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -114,12 +114,15 @@ def positional_attach(features: DataFrame, labels: DataFrame, label_col: str,
 def head_by_hash(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """The first ``n`` rows in seeded hash order of ``key`` (ties by key).
 
-    Ranks come from distributed prefix sums over the whole table, so no single
-    task holds the head, however large ``n`` is.
+    The row at place ``n`` is found by distributed selection (:func:`rank_cuts`);
+    the rest is a filter, so no task holds the head and no row is moved, however
+    large ``n`` is. Rows with equal keys stay together: where the ``n``-th row's key
+    repeats, all or none of them come.
     """
-    ranked = prefix_sums(df.withColumn("__u", hash_u(key, seed, "head")).withColumn("__one", F.lit(1)),
-                         ["__u", key], ["__one"])
-    return ranked.where(F.col("cum___one") < n).drop("__u", "__one", "cum___one")
+    if n <= 0:
+        return df.limit(0)
+    cut, passed = rank_cuts(df, [], hash_u(key, seed, "head"), key, lambda _: [F.lit(n)])
+    return cut.where(passed == 0).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
