@@ -62,3 +62,31 @@ def parse_date(col: Column | str, fmt: str | None = None) -> Column:
 def jitter(col: Column | str, noise: Column, std: float = 0.01) -> Column:
     """Additive gaussian noise with the given std."""
     return _c(col) + F.lit(std) * noise
+
+
+#: One-letter escapes and what they stand for.
+ESCAPES = {"a": "\x07", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\x0b", "\\": "\\", "'": "'", '"': '"', "\n": ""}
+_ESCAPE = (r"(?s)(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|\\U00[01][0-9A-Fa-f]{5}|\\[0-7]{1,3}|\\.|[^\\]+|\\")
+
+
+def decode_escapes(col: Column | str) -> Column:
+    """A3: text with ``\\xNN``, ``\\uNNNN``, ``\\UNNNNNNNN``, octal and one-letter escapes
+    decoded; neighbouring ``\\u`` escapes may form a surrogate pair. Unknown or broken
+    escapes stay as they are."""
+    c = _c(col).cast("string")
+
+    def char(t: Column) -> Column:
+        utf16 = lambda digits: F.decode(F.unhex(digits), "UTF-16BE")
+        simple = F.lit(None).cast("string")
+        for letter, value in ESCAPES.items():
+            simple = F.when(F.substring(t, 2, 1) == F.lit(letter), F.lit(value)).otherwise(simple)
+        kind = F.substring(t, 1, 2)
+        return (F.when(~F.startswith(t, F.lit("\\")) | (F.length(t) == 1), t)
+                .when((kind == "\\u") & (F.length(t) > 2), utf16(F.replace(t, F.lit("\\u"), F.lit(""))))
+                .when((kind == "\\x") & (F.length(t) == 4), utf16(F.concat(F.lit("00"), F.substring(t, 3, 2))))
+                .when((kind == "\\U") & (F.length(t) == 10), F.decode(F.unhex(F.substring(t, 3, 8)), "UTF-32"))
+                .when(t.rlike(r"^\\[0-7]{1,3}$"), utf16(F.lpad(F.conv(F.substring(t, 2, 3), 8, 16), 4, "0")))
+                .otherwise(F.coalesce(simple, t)))
+
+    tokens = F.regexp_extract_all(c, F.lit(_ESCAPE), F.lit(0))
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(tokens, char), "")).otherwise(c)

@@ -140,7 +140,7 @@ def group_ranks(df: DataFrame, groups: list[str], order_cols: list[str], rank: s
 
 #: Intervals that one pass of ``rank_cuts`` splits an interval into, and the largest
 #: interval (rows) whose rows are ranked one by one.
-CUT_WAYS = 1 << 16
+CUT_WAYS = 1 << 12
 CUT_ROWS = 100_000
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from equipoise.functions.random import hash_normal, hash_u
 from equipoise.operators.ordered import group_ranks, materialize, prefix_sums, rank_cuts, sized_broadcast
+from equipoise.sources.splits import row_numbers
 
 
 def drop_columns(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -95,17 +96,18 @@ def positional_attach(features: DataFrame, labels: DataFrame, label_col: str,
                       order_col: str | None = None) -> DataFrame:
     """Attach a label file to a feature file row by row.
 
-    Each side is numbered densely by ``order_col`` if given, else in file order
-    (path, block start, then scan order in the block) with distributed prefix sums, then equi-joined on that number. Raises if lengths differ.
+    Each side is numbered densely by ``order_col`` if given (distributed prefix sums),
+    else in file order, from the counts of the splits before a row's own
+    (:func:`row_numbers`), which moves no row. The equi-join on that number is the
+    only shuffle. Raises if lengths differ.
     """
     def numbered(df):
-        keys = [F.col(order_col)] if order_col else [
-            F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id()]
-        names = [f"__ord{i}" for i in range(len(keys))]
-        d = df.withColumns(dict(zip(names, keys))).withColumn("__one", F.lit(1))
-        return prefix_sums(d, names, ["__one"]).withColumnRenamed("cum___one", "__pos").drop(*names, "__one")
+        if not order_col:
+            return row_numbers(df, "__pos")
+        return prefix_sums(df.withColumn("__one", F.lit(1)), [order_col], ["__one"]).withColumnRenamed(
+            "cum___one", "__pos").drop("__one")
     nf, nl = numbered(features), numbered(labels.select(F.col(labels.columns[0]).alias(label_col)))
-    cf, cl = nf.count(), nl.count()
+    cf, cl = features.count(), labels.count()
     if cf != cl:
         raise ValueError(f"Feature rows ({cf}) and label rows ({cl}) differ.")
     return nf.join(nl, "__pos", "inner").drop("__pos")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from equipoise.plans.catalog import register
 from equipoise.session import ensure_checkpoint_dir
-from equipoise.sources.specs import DatasetSpec, load
+from equipoise.sources.specs import NA_TOKENS, DatasetSpec, load, read_delimited
 from equipoise.sources.tables import read_table
 
 
@@ -60,3 +60,39 @@ def a4_a18_dates_recipe(spark, sf_dir):
     return ds.df.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"),
                         F.col("ship_days").cast("int").alias("ship_days"),
                         F.col("l_returnflag").cast("int").alias("returned"))
+
+
+_NA = ", ".join("'" + t + "'" for t in NA_TOKENS)
+
+
+@register("a1_multiline_scan", f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id,
+  CASE WHEN text NOT IN ({_NA}) THEN md5(text) END AS text_md5, CASE WHEN text NOT IN ({_NA}) THEN length(text) END AS text_chars,
+  CASE WHEN lang NOT IN ({_NA}) THEN lang END AS lang, CAST(n_chars AS VARCHAR) AS n_chars FROM documents""")
+def a1_multiline_scan(spark, sf_dir):
+    """A1: documents written as a quoted CSV whose texts hold newlines, quotes and
+    separators, read back in splits by quote parity."""
+    path = _scratch(spark, "documents-csv")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    docs.write.option("header", "true").option("quote", '"').option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+    back = read_delimited(spark, path, multi_line=True)
+    return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"),
+                       F.length("text").cast("long").alias("text_chars"), "lang", "n_chars")
+
+
+@register("a3_escaped_text", """SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents""")
+def a3_escaped_text(spark, sf_dir):
+    """A3: texts whose characters beyond ASCII, backslashes and line breaks were
+    written as escapes, decoded back."""
+    from equipoise.functions.scalar import decode_escapes
+    code = lambda ch: F.lower(F.hex(F.encode(ch, "UTF-16BE")))
+    escape = lambda ch: (F.when(ch == F.lit("\\"), F.lit("\\\\")).when(ch == "\n", F.lit("\\n")).when(ch.rlike("^[ -~]$"), ch)
+                         .when(F.length(code(ch)) > 4, F.regexp_replace(code(ch), "([0-9a-f]{4})", r"\\\\u$1"))
+                         .when(F.startswith(code(ch), F.lit("00")), F.concat(F.lit("\\x"), F.substring(code(ch), 3, 2)))
+                         .otherwise(F.concat(F.lit("\\u"), code(ch))))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    odd = F.regexp_extract_all("text", F.lit(r"(?s)[ -\[\]-~]+|."), F.lit(0))
+    path = _scratch(spark, "escaped")
+    docs.select("doc_id", F.array_join(F.transform(odd, lambda t: F.when(F.length(t) > 1, t).otherwise(escape(t))), "").alias(
+        "text")).write.parquet(path)
+    return spark.read.parquet(path).select("doc_id", F.md5(decode_escapes("text").cast("binary")).alias("text_md5"))
