@@ -8,7 +8,11 @@ The model factorizes a mixed table given the label ``y``:
   (a chain), stored as cumulative intervals ``[lo, hi)``;
 * ``knots``: ``n_knots`` exact quantiles of every numeric column given
   ``(y, level of one conditioning column)``, with a class-level back-off for
-  cells without a value.
+  cells without a value;
+* ``copula``: the rank correlations of the numeric columns in each class, as those
+  of a Gaussian copula. A draw takes correlated normals, turns them into uniforms
+  and reads the knots there, so columns keep both their own distribution and their
+  dependence.
 
 Fitting is a handful of partial aggregations (skew-safe: hot groups collapse
 map-side) plus one distributed sort for the quantiles; every fitted table is
@@ -30,7 +34,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from equipoise.functions.random import hash_u
+from equipoise.functions.random import hash_normal, hash_u
 from equipoise.functions.scalar import clip01
 from equipoise.operators.ordered import group_quantiles, materialize, prefix_sums, sized_broadcast
 
@@ -89,6 +93,7 @@ class Synthesizer:
     cat_cols: list[str]
     condition: bool = True
     condition_num_on_cat: bool = True
+    joint_numeric: bool = True
     num_cond_col: str | None = None
     n_knots: int = 101
     seed: int = 2020
@@ -96,6 +101,7 @@ class Synthesizer:
     prior: DataFrame | None = field(default=None, repr=False)
     cat_table: DataFrame | None = field(default=None, repr=False)
     knots: DataFrame | None = field(default=None, repr=False)
+    copula: DataFrame | None = field(default=None, repr=False)
     cat_types: dict = field(default_factory=dict, repr=False)
 
     # ------------------------------------------------------------------ fit
@@ -138,8 +144,56 @@ class Synthesizer:
             raise ValueError("Target must be binary 0/1 without nulls.")
         if self.num_cols:
             self.knots = materialize(self._fit_knots(data))
+            self.copula = materialize(self._fit_copula(data)) if self._joint else None
         return self
 
+    @property
+    def _joint(self) -> bool:
+        return self.joint_numeric and len(self.num_cols) > 1
+
+    def _fit_copula(self, data: DataFrame) -> DataFrame:
+        """(y, i, j, rho) for i > j: each value's place in its own knots is a uniform
+        number; the correlations of these come from one aggregate (pairs with a null
+        left out) and are turned into those of normals. Constant columns get 0."""
+        rows = self._with_knots(data)
+        for i, c in enumerate(self.num_cols):
+            rows = place_in_knots(rows, c, F.col(f"__k{i}"), self.n_knots, f"__u{i}")
+        pairs = [(i, j) for i in range(len(self.num_cols)) for j in range(i)]
+        both = lambda i, j: F.when(F.col(f"__u{j}").isNotNull(), F.col(f"__u{i}"))
+        rows = rows.groupBy("y").agg(*[F.try_divide(  # null where a column is constant
+            F.covar_pop(both(i, j), both(j, i)), F.stddev_pop(both(i, j)) * F.stddev_pop(both(j, i))).alias(f"r{i}_{j}")
+            for i, j in pairs])
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{i}_{j}").alias("r")) for i, j in pairs]))
+        rho = F.round(2.0 * F.sin(F.lit(math.pi / 6.0) * F.col("e.r")), 9)
+        return rows.select("y", each.alias("e")).select(
+            "y", "e.i", "e.j", F.coalesce(rho, F.lit(0.0)).alias("rho"))
+
+    def _factors(self) -> dict:
+        """Class -> rows of the lower factor of its correlation matrix (columns^2
+        numbers per class come to the driver)."""
+        rho = {}
+        for r in self.copula.collect():
+            rho.setdefault(r["y"], {})[r["i"], r["j"]] = r["rho"]
+        return {y: lower_factor(len(self.num_cols), r) for y, r in rho.items()}
+
+    def _with_uniforms(self, rows: DataFrame, seed: int, stream: str) -> DataFrame:
+        """Adds ``__u{i}``, one uniform number per numeric column, correlated as
+        fitted. Every step is a column of its own, so that it is computed once."""
+        each = list(enumerate(self.num_cols))
+        if not self._joint or self.copula is None:
+            return rows.withColumns({f"__u{i}": hash_u("synth_id", seed, f"{stream}:n:{c}") for i, c in each})
+        rows = rows.withColumns({f"__z{i}": hash_normal("synth_id", seed, f"{stream}:n:{c}") for i, c in each})
+        factors, mixed = sorted(self._factors().items()), {}
+        for i, _ in each:
+            mixed[f"__m{i}"] = F.col(f"__z{i}")
+            for y, factor in factors:
+                terms = F.lit(factor[i][0]) * F.col("__z0")
+                for j in range(1, i + 1):
+                    terms = terms + F.lit(factor[i][j]) * F.col(f"__z{j}")
+                mixed[f"__m{i}"] = F.when(F.col("y") == y, terms).otherwise(mixed[f"__m{i}"])
+        rows = rows.withColumns(mixed).withColumns({f"__t{i}": cdf_step(F.col(f"__m{i}")) for i, _ in each})
+        return rows.withColumns({f"__u{i}": normal_cdf(F.col(f"__m{i}"), F.col(f"__t{i}")) for i, _ in each})
+
     def _fit_cat_table(self, data: DataFrame) -> DataFrame:
         entries = []
         for j, c in enumerate(self.cat_cols):
@@ -275,22 +329,23 @@ class Synthesizer:
                                *[F.col(f"`{c}`").alias(f"__ck_{i}") for i, c in enumerate(self.num_cols)])
         return sized_broadcast(wide_c), sized_broadcast(wide_w)
 
-    def _draw_num(self, rows: DataFrame, seed: int, stream: str) -> DataFrame:
-        if not self.num_cols:
-            return rows
+    def _with_knots(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``__k{i}``, each numeric column's knots in their class and cell."""
         cell, whole = self._knot_sides()
+        keep = list(rows.columns)
         rows = rows.join(whole, rows["y"] == whole["__wy"], "left_outer")
         if cell is not None:
             rows = rows.join(cell, (rows["y"] == cell["__cy"])
                              & rows[self.cond_col].eqNullSafe(cell["__cc"]), "left_outer")
+        of = lambda i: F.coalesce(F.col(f"__ck_{i}"), F.col(f"__wk_{i}")) if cell is not None else F.col(f"__wk_{i}")
+        return rows.select(*keep, *[of(i).alias(f"__k{i}") for i in range(len(self.num_cols))])
+
+    def _draw_num(self, rows: DataFrame, seed: int, stream: str) -> DataFrame:
+        if not self.num_cols:
+            return rows
+        rows = self._with_uniforms(self._with_knots(rows), seed, stream)
         km1 = float(self.n_knots - 1)
-        drawn = []
-        for i, c in enumerate(self.num_cols):
-            kn = F.col(f"__wk_{i}")
-            if cell is not None:
-                kn = F.coalesce(F.col(f"__ck_{i}"), kn)
-            u = hash_u("synth_id", seed, f"{stream}:n:{c}")
-            drawn.append(interpolate(kn, u, km1).alias(c))
+        drawn = [interpolate(F.col(f"__k{i}"), F.col(f"__u{i}"), km1).alias(c) for i, c in enumerate(self.num_cols)]
         base = [x for x in rows.columns if not x.startswith("__")]
         return rows.select(*base, *drawn)
 
@@ -340,7 +395,7 @@ class Synthesizer:
         """Fitted tables as parquet plus settings as JSON."""
         spark = self.prior.sparkSession
         params = {k: getattr(self, k) for k in ("target", "num_cols", "cat_cols", "condition",
-                                                "condition_num_on_cat", "num_cond_col", "n_knots",
+                                                "condition_num_on_cat", "joint_numeric", "num_cond_col", "n_knots",
                                                 "seed", "buckets", "cat_types")}
         spark.createDataFrame([(json.dumps(params),)], "params string") \
              .coalesce(1).write.mode("overwrite").json(f"{path}/params")
@@ -349,6 +404,8 @@ class Synthesizer:
             self.cat_table.write.mode("overwrite").parquet(f"{path}/cat_table")
         if self.knots is not None:
             self.knots.write.mode("overwrite").parquet(f"{path}/knots")
+        if self.copula is not None:
+            self.copula.write.mode("overwrite").parquet(f"{path}/copula")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Synthesizer":
@@ -357,6 +414,7 @@ class Synthesizer:
         obj.prior = spark.read.parquet(f"{path}/prior")
         obj.cat_table = spark.read.parquet(f"{path}/cat_table") if obj.cat_cols else None
         obj.knots = spark.read.parquet(f"{path}/knots") if obj.num_cols else None
+        obj.copula = spark.read.parquet(f"{path}/copula") if obj._joint else None
         return obj
 
 
@@ -368,3 +426,74 @@ def interpolate(knots: Column, u: Column, km1: float) -> Column:
     lo = F.element_at(knots, (i + 1).cast("int"))
     hi = F.element_at(knots, (i + 2).cast("int"))
     return lo + frac * (hi - lo)
+
+
+def place_in_knots(rows: DataFrame, c: str, knots: Column, n_knots: int, name: str) -> DataFrame:
+    """Adds the place in [0, 1] of column ``c`` among its quantile ``knots``, the
+    inverse of :func:`interpolate`: a binary search in native steps."""
+    v = F.col(f"`{c}`")
+    at, step = f"{name}_at", 1
+    while step * 2 <= n_knots:
+        step *= 2
+    rows = rows.withColumn(at, F.lit(0))
+    while step:  # at: how many knots are known to be at most the value
+        nxt = F.col(at) + step
+        rows = rows.withColumn(at, F.when((nxt <= n_knots) & (F.get(knots, nxt - 1) <= v), nxt).otherwise(F.col(at)))
+        step //= 2
+    lo, hi = F.get(knots, F.col(at) - 1), F.get(knots, F.col(at))
+    km1 = float(n_knots - 1)
+    place = F.when(v.isNull() | (F.col(at) < 1), None).when(F.col(at) >= n_knots, 1.0).otherwise(
+        (F.col(at).cast("double") - 1.0 + (v - lo) / (hi - lo)) / km1)
+    return rows.withColumn(name, place).drop(at)
+
+
+def lower_factor(d: int, rho: dict) -> list[list[float]]:
+    """Lower-triangular factor of the correlation matrix with ``rho[i, j]``, i > j.
+    Where rounding or missing pairs leave it short of positive definite, off-diagonal
+    entries shrink until it is."""
+    shrink = 1.0
+    while True:
+        low = [[0.0] * d for _ in range(d)]
+        fits = True
+        for i in range(d):
+            for j in range(i):
+                left = sum(low[i][k] * low[j][k] for k in range(j))
+                low[i][j] = (shrink * rho.get((i, j), 0.0) - left) / low[j][j] if low[j][j] else 0.0
+            rest = 1.0 - sum(x * x for x in low[i][:i])
+            fits = fits and rest > -1e-9
+            low[i][i] = math.sqrt(max(rest, 0.0))
+        if fits:
+            return low
+        shrink *= 0.99
+
+
+#: The rational approximation of the normal distribution function by
+#: Abramowitz and Stegun (26.2.17; error below 7.5e-8).
+CDF_P = 0.2316419
+CDF_B = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
+def cdf_step(z: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.lit(CDF_P) * F.abs(z))
+
+
+def normal_cdf(z: Column, t: Column) -> Column:
+    """Normal distribution function at ``z``, with ``t = cdf_step(z)``, rounded to 9
+    digits and below 1."""
+    poly = F.lit(0.0)
+    for b in reversed(CDF_B):
+        poly = (poly + F.lit(b)) * t
+    tail = F.round(F.lit(1.0 / math.sqrt(2.0 * math.pi)) * F.exp(F.lit(-0.5) * z * z) * poly, 9)
+    return F.least(F.when(z < 0, tail).otherwise(F.lit(1.0) - tail), F.lit(1.0 - 1e-9))
+
+
+def normal_cdf_sql(z: str) -> str:
+    """:func:`normal_cdf` as DuckDB SQL."""
+    d = lambda x: f"CAST('{float(x)!r}' AS DOUBLE)"
+    t = f"({d(1.0)} / ({d(1.0)} + {d(CDF_P)} * abs(z)))"
+    poly = d(0.0)
+    for b in reversed(CDF_B):
+        poly = f"(({poly} + {d(b)}) * t)"
+    tail = f"round({d(1.0 / math.sqrt(2.0 * math.pi))} * exp({d(-0.5)} * z * z) * {poly}, 9)"
+    return (f"(SELECT least(CASE WHEN z < 0 THEN tail ELSE {d(1.0)} - tail END, {d(1.0 - 1e-9)}) FROM "
+            f"(SELECT z, {tail} AS tail FROM (SELECT z, {t} AS t FROM (SELECT {z} AS z))))")

@@ -7,8 +7,11 @@ gate can compare values, not just row counts.
 
 from __future__ import annotations
 
-from equipoise.functions.random import hash_u_sql
+import math
+
+from equipoise.functions.random import hash_normal_sql, hash_u_sql
 from equipoise.operators.ordered import group_quantiles_sql
+from equipoise.operators.synth import normal_cdf_sql
 
 
 def q(name: str) -> str:
@@ -72,9 +75,32 @@ def synth_fit_sql(src: str, target: str, num_cols: list[str], cat_cols: list[str
                     "(SELECT col, y, cell, cond, list(value ORDER BY k) AS knots FROM snq GROUP BY ALL) a "
                     "JOIN (SELECT col, y, cell, cond, count(v) AS n FROM snl WHERE v IS NOT NULL GROUP BY ALL) b "
                     "ON a.col = b.col AND a.y = b.y AND a.cell = b.cell AND a.cond IS NOT DISTINCT FROM b.cond)")
+    if len(num_cols) == 2:
+        ctes.append(_copula_sql(num_cols, cond_col, n_knots))
+    elif len(num_cols) > 2:
+        raise ValueError("The twin knows the copula of two numeric columns.")
     return ",\n".join(ctes)
 
 
+def _copula_sql(num_cols: list[str], cond_col: str | None, n_knots: int) -> str:
+    """CTE ``scp(y, rho)``: the copula's correlation of two numeric columns."""
+    joins, places = [], []
+    for i, c in enumerate(num_cols):
+        joins.append(f"LEFT JOIN snk w{i} ON w{i}.col = {lit(c)} AND NOT w{i}.cell AND w{i}.y = s.y")
+        kn = f"w{i}.knots"
+        if cond_col:
+            joins.append(f"LEFT JOIN snk c{i} ON c{i}.col = {lit(c)} AND c{i}.cell AND c{i}.y = s.y "
+                         f"AND c{i}.cond IS NOT DISTINCT FROM s.{q(cond_col)}")
+            kn = f"coalesce(c{i}.knots, w{i}.knots)"
+        places.append(f"s.{q(c)} AS v{i}, {kn} AS k{i}, len(list_filter({kn}, lambda k: k <= s.{q(c)})) AS a{i}")
+    u = [f"CASE WHEN v{i} IS NULL OR a{i} < 1 THEN NULL WHEN a{i} >= {n_knots} THEN CAST(1 AS DOUBLE) ELSE "
+         f"(CAST(a{i} AS DOUBLE) - 1 + (v{i} - k{i}[a{i}]) / (k{i}[a{i} + 1] - k{i}[a{i}])) / {float(n_knots - 1)!r} END AS u{i}"
+         for i in range(2)]
+    return (f"scp AS (SELECT y, CASE WHEN r IS NULL OR isnan(r) THEN 0.0 ELSE round(CAST(2 AS DOUBLE) * sin(CAST('{math.pi / 6.0!r}' AS DOUBLE) * r), 9) "
+            f"END AS rho FROM (SELECT y, corr(u1, u0) AS r FROM (SELECT y, {', '.join(u)} FROM (SELECT s.y, {', '.join(places)} "
+            f"FROM sd s {' '.join(joins)})) GROUP BY y))")
+
+
 def synth_draw_sql(tag: str, target: str, num_cols: list[str], cat_cols: list[str], n_sql: str,
                    label_sql: str, seed: int = 2020, stream: str = "s", n_knots: int = 101,
                    cond_col: str | None = "__first__",
@@ -100,7 +126,7 @@ def synth_draw_sql(tag: str, target: str, num_cols: list[str], cat_cols: list[st
                     f"AND {u} >= t.lo AND {u} < t.hi)")
         prev = name
     out = ["s.synth_id", f"s.y AS {q(target)}"]
-    joins = []
+    joins, uniforms = [], []
     km1 = float(n_knots - 1)
     for i, c in enumerate(num_cols):
         joins.append(f"LEFT JOIN snk w{i} ON w{i}.col = {lit(c)} AND NOT w{i}.cell AND w{i}.y = s.y")
@@ -109,12 +135,23 @@ def synth_draw_sql(tag: str, target: str, num_cols: list[str], cat_cols: list[st
             joins.append(f"LEFT JOIN snk c{i} ON c{i}.col = {lit(c)} AND c{i}.cell AND c{i}.y = s.y "
                          f"AND c{i}.cond IS NOT DISTINCT FROM s.{q(cond_col)}")
             kn = f"coalesce(c{i}.knots, w{i}.knots)"
-        u = hash_u_sql("s.synth_id", seed, f"{stream}:n:{c}")
+        if len(num_cols) == 2:
+            z = [hash_normal_sql("s.synth_id", seed, f"{stream}:n:{x}") for x in num_cols]
+            rho = "(CAST('0.0' AS DOUBLE) + coalesce(cp.rho, 0.0))"
+            u = normal_cdf_sql(z[0] if i == 0 else f"({rho} * {z[0]} + sqrt(1.0 - {rho} * {rho}) * {z[1]})")
+        else:
+            u = hash_u_sql("s.synth_id", seed, f"{stream}:n:{c}")
+        uniforms.append(f"{u} AS u{i}")
+        u = f"s.u{i}"
         pos = f"({u} * {km1!r})"
         idx = f"CAST(floor({pos}) AS BIGINT)"
         frac = f"({pos} - CAST({idx} AS DOUBLE))"
         out.append(f"({kn}[{idx} + 1] + {frac} * ({kn}[{idx} + 2] - {kn}[{idx} + 1])) AS {q(c)}")
     out += [f"s.{q(c)}" for c in cat_cols]
+    if uniforms:
+        copula = "LEFT JOIN scp cp ON cp.y = s.y" if len(num_cols) == 2 else ""
+        ctes.append(f"{tag}su AS (SELECT s.*, {', '.join(uniforms)} FROM {prev} s {copula})")
+        prev = f"{tag}su"
     ctes.append(f"{tag}srows AS (SELECT {', '.join(out)} FROM {prev} s {' '.join(joins)})")
     return ",\n".join(ctes), f"{tag}srows"
 
