@@ -11,7 +11,6 @@ from equipoise.functions.random import (  # noqa: F401
 from equipoise.functions.scalar import (  # noqa: F401
     clip01,
     days_between,
-    jitter,
     parse_date,
     percent_to_double,
     positive_flag,

@@ -59,11 +59,6 @@ def parse_date(col: Column | str, fmt: str | None = None) -> Column:
     return F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
 
 
-def jitter(col: Column | str, noise: Column, std: float = 0.01) -> Column:
-    """Additive gaussian noise with the given std."""
-    return _c(col) + F.lit(std) * noise
-
-
 #: One-letter escapes and what they stand for.
 ESCAPES = {"a": "\x07", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\x0b", "\\": "\\", "'": "'", '"': '"', "\n": ""}
 _ESCAPE = (r"(?s)(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|\\U00[01][0-9A-Fa-f]{5}|\\[0-7]{1,3}|\\.|[^\\]+|\\")

@@ -25,7 +25,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,10 +52,25 @@ def materialize(df: DataFrame) -> DataFrame:
     it back: cuts lineage, survives executor loss and gives joins the true size.
     (An eager ``checkpoint()`` runs the last stage twice, to count and to write.)"""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this application has written so far, and
+    return how many there were. Results that were not collected or written before
+    can't be computed afterwards, so call it between queries."""
+    gone = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Checkpoint that keeps partitions and the order of rows within them."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -241,6 +256,7 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str,
     names = [f"__k{i}" for i in range(len(keys))]
     groups = ranked.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(
         F.min("__c__w").alias("__first"), F.sum("__w").alias("n"))
+    groups = sized_broadcast(materialize(groups))  # values are not moved for a few groups
     same = F.lit(True)
     for k, name in zip(keys, names):
         same = same & F.col(k).eqNullSafe(F.col(name))

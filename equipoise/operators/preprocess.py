@@ -58,6 +58,23 @@ def cat_dims(df: DataFrame, cols: list[str]) -> DataFrame:
     return distinct.groupBy("pos", "column").agg(F.count(F.lit(1)).alias("n_levels"))
 
 
+def level_sketches(df: DataFrame, cols: list[str], lg_k: int = 14) -> DataFrame:
+    """C3, approximate: one mergeable sketch of the non-null levels per column,
+    ``(pos, column, sketch)``; 2^lg_k registers, error about 0.8 % at 14. No level is
+    shuffled, only sketches."""
+    sketches = df.agg(*[F.hll_sketch_agg(F.col(f"`{c}`").cast("string"), F.lit(lg_k)).alias(f"s{i}") for i, c in enumerate(cols)])
+    return sketches.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"), F.col(f"s{i}").alias("sketch"))
+        for i, c in enumerate(cols)])).alias("e")).select("e.*")
+
+
+def sketched_dims(sketches: DataFrame) -> DataFrame:
+    """``(pos, column, n_levels)`` from the sketches of one table, or of several
+    stacked ones (days, shards): sketches of a column are merged."""
+    merged = sketches.groupBy("pos", "column").agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select("pos", "column", F.hll_sketch_estimate("sketch").alias("n_levels"))
+
+
 def mode_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """Most frequent non-null value per column, ties -> smallest value
     (numeric columns compare as numbers, others as text): ``(column, mode, count)``.

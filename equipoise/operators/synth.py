@@ -121,6 +121,7 @@ class Synthesizer:
 
     def fit(self, df: DataFrame) -> "Synthesizer":
         """Fit all tables; a later ``fit`` replaces them (same settings)."""
+        self.__dict__.pop("_sides", None)
         if not self.num_cols and not self.cat_cols:
             raise ValueError("Synthesizer needs at least one numeric or categorical column.")
         fields = {f.name: f.dataType for f in df.schema.fields}
@@ -267,7 +268,21 @@ class Synthesizer:
             out += [F.col(c) for c in rows.columns if "__p_" in c]
         return rows.select(*out)
 
+    def _once(self, name: str, make):
+        """A lookup side, measured for its broadcast once per fit and not per draw."""
+        fitted = self.__dict__.setdefault("_sides", {})
+        key = (name, id(self.prior))
+        if key not in fitted:
+            fitted[key] = make()
+        return fitted[key]
+
     def _cat_side(self, c: str) -> DataFrame:
+        return self._once(f"cat:{c}", lambda: self._make_cat_side(c))
+
+    def _knot_sides(self):
+        return self._once("knots", self._make_knot_sides)
+
+    def _make_cat_side(self, c: str) -> DataFrame:
         b = self.buckets
         tab = self.cat_table.where(F.col("col") == c)
         first = F.floor(F.col("lo") * b).cast("int")
@@ -314,7 +329,7 @@ class Synthesizer:
         keep = [x for x in rows.columns if x != "__spar"]
         return rows.join(sized_broadcast(probs), cond, "left_outer").select(*keep, *ren.values())
 
-    def _knot_sides(self):
+    def _make_knot_sides(self):
         cell = self.knots.where("cell")
         whole = self.knots.where("not cell")
         wide_w = whole.groupBy("y").pivot("col", self.num_cols).agg(

@@ -20,17 +20,6 @@ def drop_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.drop(*[c for c in cols if c in df.columns])
 
 
-def project(df: DataFrame, cols: list[str]) -> DataFrame:
-    """B2: keep exactly these columns, in this order."""
-    return df.select(*[F.col(f"`{c}`") for c in cols])
-
-
-def complement_columns(columns: list[str], exclude: list[str]) -> list[str]:
-    """Every column not excluded, in table order (plan-time inference)."""
-    ex = set(exclude)
-    return [c for c in columns if c not in ex]
-
-
 def level_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """Distinct non-null levels per column with their code ``0..k-1`` in
     lexicographic string order: ``(column, level, code)``.

@@ -68,6 +68,34 @@ def d2_class_imbalance(spark, sf_dir):
     return r.select("n", "n_pos", "n_neg", F.round("pos_rate", 9).alias("pos_rate"), "n_missing")
 
 
+# order_day is made to hang on the price, up in one class and down in the other
+_DEPENDENT_SQL = f"""(SELECT o_orderkey, urgent, o_totalprice,
+    CASE WHEN urgent = 1 THEN o_totalprice ELSE 500000.0 - o_totalprice END + 50 * order_day AS order_day,
+    o_orderstatus, c_mktsegment FROM {_ORD})"""
+
+
+def _dependence_sql() -> str:
+    ctes, rows = synth_sql("src", "urgent", _NUM, _CAT, n_sql="(SELECT count(*) FROM src)", seed=SEED,
+                           label_sql="CASE WHEN synth_id < (SELECT count(*) - count(*) // 2 FROM src) THEN 0 ELSE 1 END")
+    return f"""WITH src AS {_DEPENDENT_SQL},
+{ctes}
+SELECT 'fitted' AS origin, y AS urgent, round(rho, 6) AS rho FROM scp
+UNION ALL SELECT 'drawn', urgent, round(corr(o_totalprice, order_day), 6) FROM {rows} GROUP BY urgent"""
+
+
+@register("d6_numeric_dependence", _dependence_sql())
+def d6_numeric_dependence(spark, sf_dir):
+    """The fitted copula of two dependent columns per class, and their
+    correlation in a draw of as many rows."""
+    ds = orders_urgent(spark, sf_dir)
+    price = F.when(F.col("urgent") == 1, F.col("o_totalprice")).otherwise(F.lit(500000.0) - F.col("o_totalprice"))
+    df = ds.df.withColumn("order_day", price + 50 * F.col("order_day"))
+    syn = Synthesizer(ds.target, ds.num_cols, ds.cat_cols, seed=SEED).fit(df)
+    drawn = syn.sample(syn.n_rows, y="50-50").groupBy("urgent").agg(F.round(F.corr("o_totalprice", "order_day"), 6).alias("rho"))
+    fitted = syn.copula.select(F.lit("fitted").alias("origin"), F.col("y").alias("urgent"), F.round("rho", 6).alias("rho"))
+    return fitted.unionByName(drawn.select(F.lit("drawn").alias("origin"), "urgent", "rho"))
+
+
 # ---------------------------------------------------------------- D1 tables
 def _fit_ctes() -> str:
     from equipoise.plans.sqlgen import synth_fit_sql

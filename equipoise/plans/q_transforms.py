@@ -8,8 +8,8 @@ from equipoise.functions.random import hash_normal_sql, hash_u, hash_u_sql
 from equipoise.functions.scalar import (days_between, percent_to_double, positive_flag, target_equals,
                                         target_positive, target_shift)
 from equipoise.operators.ordered import prefix_sums
-from equipoise.operators.preprocess import (CodedPreprocessor, Preprocessor, cat_dims, inverse_onehot, mode_table,
-                                            random_split, stratified_split)
+from equipoise.operators.preprocess import (CodedPreprocessor, Preprocessor, cat_dims, inverse_onehot, level_sketches,
+                                            mode_table, random_split, sketched_dims, stratified_split)
 from equipoise.operators.transforms import (append_tables, drop_columns, encode_levels, gaussian_jitter,
                                             head_by_hash, label_from_onehot, label_onehot, positional_attach,
                                             random_columns, rare_levels, union_labelled)
@@ -228,6 +228,20 @@ def c3_cat_dims(spark, sf_dir):
     return a.unionByName(b).select(F.col("pos").cast("int").alias("pos"), "column", "n_levels")
 
 
+@register("c3_sketched_dims", """SELECT 'l_partkey' AS "column", count(DISTINCT l_partkey) AS n_levels, TRUE AS near, TRUE AS merges FROM lineitem
+UNION ALL SELECT 'l_linestatus', count(DISTINCT l_linestatus), TRUE, TRUE FROM lineitem""")
+def c3_sketched_dims(spark, sf_dir):
+    """C3 by sketches: near the exact count (3 %), and two halves merge into the whole."""
+    cols = ["l_partkey", "l_linestatus"]
+    li = read_table(spark, sf_dir, "lineitem").select(*cols, "l_orderkey")
+    whole = sketched_dims(level_sketches(li, cols)).select("column", F.col("n_levels").alias("guess"))
+    halves = level_sketches(li.where("l_orderkey % 2 = 0"), cols).unionByName(level_sketches(li.where("l_orderkey % 2 = 1"), cols))
+    halves = sketched_dims(halves).select("column", F.col("n_levels").alias("both"))
+    out = cat_dims(li, cols).join(whole, "column").join(halves, "column")
+    return out.select("column", "n_levels", (F.abs(F.col("guess") - F.col("n_levels")) <= 0.03 * F.col("n_levels")).alias("near"),
+                      (F.abs(F.col("both") - F.col("guess")) <= 0.01 * F.col("guess")).alias("merges"))
+
+
 @register("c5_mode_impute", """WITH c AS (
   SELECT 'l_returnflag' AS "column", l_returnflag AS value, count(*) AS cnt FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 2
   UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem WHERE l_linestatus IS NOT NULL GROUP BY 2

@@ -83,7 +83,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
         raise RuntimeError(
-            "spark.checkpoint.dir is not set; set it to a shared folder (HDFS/S3/DBFS) "
+            "spark.checkpoint.dir is not set; set it to a shared folder "
             "so that checkpointed stages survive executor loss")
     local = tempfile.mkdtemp(prefix="equipoise-ckpt-")
     sc.setCheckpointDir(local)
