@@ -6,18 +6,16 @@
   (positive, negative) counts per distinct score, then distributed prefix sums
   give the counts below each score. The AUC numerator is summed as an exact
   integer (decimal(38,0)) before one final division.
-* The bootstrap draws Poisson(1) weights per (row, replicate) inside the tasks,
-  from one native digest per row, and averages the metrics of the replicates; no
-  row is copied per replicate, and rows of equal score may lie in any number of
-  tasks.
+* All seven default metrics read the table once: the confusion counts and the
+  Brier sum come from the same counts per score. The bootstrap (E15) has a module
+  of its own, ``bootstrap``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equipoise.functions.random import FIELD, poly_seeds, poisson1_thresholds
 from equipoise.operators.ordered import prefix_sums
 
 DEFAULT_METRICS = ["auc", "aps", "acc", "f1", "bacc", "brier", "gmean"]
@@ -65,14 +63,16 @@ def threshold_metrics(c: DataFrame) -> DataFrame:
             .withColumn("brier", F.col("sq") / F.col("n").cast("double"))
 
 
-def ranking_metrics(df: DataFrame, group: list[str]) -> DataFrame:
+def ranking_metrics(df: DataFrame, group: list[str], threshold: float = 0.5) -> DataFrame:
     """Exact AUC (ties count one half) and step-wise average precision
-    per group, from weighted counts per distinct score."""
+    per group, from weighted counts per distinct score; with them the columns of
+    ``confusion``, from the same counts."""
     if not group:  # one global group: a constant key keeps the join an equi-join
-        return ranking_metrics(df.withColumn("__g0", F.lit(0)), ["__g0"]).drop("__g0")
+        return ranking_metrics(df.withColumn("__g0", F.lit(0)), ["__g0"], threshold).drop("__g0")
     agg = df.groupBy(*group, "p").agg(
         F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).cast("long").alias("pos"),
-        F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).cast("long").alias("neg"))
+        F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).cast("long").alias("neg"),
+        F.sum("w").alias("rows"))
     ps = prefix_sums(agg, group + ["p"], ["pos", "neg"])
     starts = ps.groupBy(*group).agg(F.min("cum_pos").alias("sp"), F.min("cum_neg").alias("sn"),
                                     F.sum("pos").alias("tot_pos"), F.sum("neg").alias("tot_neg"))
@@ -83,13 +83,20 @@ def ranking_metrics(df: DataFrame, group: list[str]) -> DataFrame:
     all_ge = tp_ge + F.col("tot_neg") - neg_below
     num2 = (F.col("pos").cast("decimal(38,0)") * (2 * neg_below + F.col("neg")).cast("decimal(38,0)"))
     ap_term = F.col("pos").cast("double") * tp_ge.cast("double") / all_ge.cast("double")
+    yes = F.col("p") > F.lit(float(threshold))
+    tally = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0)).cast("long")
+    off = F.col("pos").cast("double") * (F.col("p") - 1) * (F.col("p") - 1) \
+        + F.col("neg").cast("double") * F.col("p") * F.col("p")
     r = j.groupBy(*group).agg(F.sum(num2).alias("num2"), F.sum(ap_term).alias("ap_sum"),
-                              F.first("tot_pos").alias("tot_pos"), F.first("tot_neg").alias("tot_neg"))
+                              F.first("tot_pos").alias("tot_pos"), F.first("tot_neg").alias("tot_neg"),
+                              tally("pos", yes).alias("tp"), tally("neg", yes).alias("fp"),
+                              tally("neg", ~yes).alias("tn"), tally("pos", ~yes).alias("fn"),
+                              F.sum(off).alias("sq"), F.sum("rows").alias("n"))
     P, N = F.col("tot_pos"), F.col("tot_neg")
     auc = F.when((P > 0) & (N > 0),
                  F.col("num2").cast("double") / (F.lit(2.0) * P.cast("double") * N.cast("double")))
     aps = F.when(P > 0, F.col("ap_sum") / P.cast("double"))
-    return r.select(*group, auc.alias("auc"), aps.alias("aps"))
+    return r.select(*group, "tp", "fp", "tn", "fn", "sq", "n", auc.alias("auc"), aps.alias("aps"))
 
 
 def binary_scores(df: DataFrame, y: str, p: str, metrics: list[str] | None = None,
@@ -99,225 +106,8 @@ def binary_scores(df: DataFrame, y: str, p: str, metrics: list[str] | None = Non
     if "f1" not in metrics:
         metrics.append("f1")
     d = _yp(df, y, p, weight)
-    d = d.withColumn("__g0", F.lit(0))
-    th = threshold_metrics(confusion(d, ["__g0"], threshold))
-    if {"auc", "aps"} & set(metrics):
-        th = th.join(ranking_metrics(d, ["__g0"]), "__g0")
-    return th.select(*metrics)
-
-
-def poisson_weights(seeds, n_boot: int):
-    """(rows x n_boot) Poisson(1) weights from the (rows x 4) coefficients of
-    ``poly_seeds``: the polynomial's value at r, over the field size, is the
-    uniform number of replicate r."""
-    import numpy as np
-    rep = np.arange(n_boot)
-    v = seeds[:, 3:4]
-    for i in (2, 1, 0):
-        v = (v * rep + seeds[:, i:i + 1]) % FIELD
-    return np.searchsorted(np.array(poisson1_thresholds()), v / float(FIELD), side="right")
-
-
-def bootstrap_scores(df: DataFrame, y: str, p: str, key: str, metrics: list[str] | None = None,
-                     n_boot: int = 100, seed: int = 0, threshold: float = 0.5) -> DataFrame:
-    """Mean of each metric over ``n_boot`` Poisson(1) bootstrap replicates.
-
-    Poisson(1) weights approximate n-of-n resampling with replacement. They come
-    from one seeded digest of the row key, taken natively; its four parts are the
-    coefficients of a polynomial whose value at r serves replicate r, so any four
-    replicates of a row are independent. Rows are range-
-    partitioned by (score, key) once and checkpointed, so one score may fill many
-    partitions; replicates never become rows. Pass 1 streams each partition in
-    score order, tie group by tie group, and emits per replicate the weighted
-    confusion counts, class totals, the local AUC numerator (exact integers) and
-    the counts of the first and last tie group. A table of partitions x replicates
-    gives the offsets, and joins tie groups that go on in the next partition;
-    pass 2 uses it for the step-wise average precision. Work is O(rows x
-    replicates) in NumPy inside tasks; the shuffle moves each input row once.
-    """
-    import numpy as np
-    import pandas as pd
-    from pyspark import TaskContext
-    from pyspark.sql import types as T
-
-    from equipoise.operators.ordered import _partitions, checkpointed, materialize
-
-    metrics = list(metrics or DEFAULT_METRICS)
-    base = df.select(F.col(key).cast("string").alias("k"), F.col(y).cast("int").alias("y"),
-                     F.col(p).cast("double").alias("p"),
-                     *[c.alias(f"s{i}") for i, c in enumerate(poly_seeds(key, seed, "boot"))])
-    base = materialize(base)
-    ranged = checkpointed(base.repartitionByRange(_partitions(base, None), "p", "k")
-                          .sortWithinPartitions("p", "k"))
-    thr = float(threshold)
-
-    def groups(pdf):
-        W = poisson_weights(pdf[["s0", "s1", "s2", "s3"]].to_numpy(), n_boot)
-        yv = pdf["y"].to_numpy()
-        pv = pdf["p"].to_numpy()
-        return W, yv, pv
-
-    def pass1(batches):
-        pid = TaskContext.get().partitionId()
-        tp = np.zeros(n_boot, np.int64); fp = tp.copy(); tn = tp.copy(); fn = tp.copy()
-        sq = np.zeros(n_boot); below_neg = np.zeros(n_boot, np.int64); pos_tot = np.zeros(n_boot, np.int64)
-        num2 = [0] * n_boot
-        open_p, open_pos, open_neg = None, np.zeros(n_boot, np.int64), np.zeros(n_boot, np.int64)
-        lo = None  # score and counts of the first tie group
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            W, yv, pv = groups(pdf)
-            pred = pv > thr
-            pos_m, neg_m = yv == 1, yv == 0
-            tp += W[pos_m & pred].sum(0); fp += W[neg_m & pred].sum(0)
-            tn += W[neg_m & ~pred].sum(0); fn += W[pos_m & ~pred].sum(0)
-            sq += (W * ((pv - yv) ** 2)[:, None]).sum(0)
-            # tie groups of this batch (rows are sorted by p)
-            starts = np.flatnonzero(np.r_[True, pv[1:] != pv[:-1]])
-            gp = np.add.reduceat(W * pos_m[:, None], starts, axis=0)
-            gn = np.add.reduceat(W * neg_m[:, None], starts, axis=0)
-            gv = pv[starts]
-            if open_p is not None and gv[0] == open_p:
-                gp[0] += open_pos; gn[0] += open_neg
-            elif open_p is not None:
-                inc = open_pos * (2 * below_neg + open_neg)
-                num2 = [a + int(b) for a, b in zip(num2, inc)]
-                pos_tot += open_pos; below_neg += open_neg
-                lo = lo or (open_p, open_pos, open_neg)
-            # close every group but the last, which may continue in the next batch
-            if len(gv) > 1:
-                cg_p, cg_n = gp[:-1], gn[:-1]
-                lo = lo or (gv[0], gp[0].copy(), gn[0].copy())
-                before = below_neg[None, :] + np.cumsum(cg_n, axis=0) - cg_n
-                inc = (cg_p * (2 * before + cg_n)).sum(0)
-                num2 = [a + int(b) for a, b in zip(num2, inc)]
-                pos_tot += cg_p.sum(0); below_neg += cg_n.sum(0)
-            open_p, open_pos, open_neg = gv[-1], gp[-1].copy(), gn[-1].copy()
-        if open_p is not None:
-            inc = open_pos * (2 * below_neg + open_neg)
-            num2 = [a + int(b) for a, b in zip(num2, inc)]
-            pos_tot += open_pos; below_neg += open_neg
-            single = lo is None
-            lo = lo or (open_p, open_pos, open_neg)
-        else:
-            return
-        yield pd.DataFrame({"pid": pid, "rep": np.arange(n_boot, dtype=np.int32), "tp": tp, "fp": fp,
-                            "tn": tn, "fn": fn, "sq": sq, "pos": pos_tot, "neg": below_neg,
-                            "num2": [str(v) for v in num2], "single": single, "p_lo": lo[0], "lo_pos": lo[1],
-                            "lo_neg": lo[2], "p_hi": open_p, "hi_pos": open_pos, "hi_neg": open_neg})
-
-    s1 = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("rep", T.IntegerType())]
-                      + [T.StructField(c, T.LongType()) for c in ("tp", "fp", "tn", "fn")]
-                      + [T.StructField("sq", T.DoubleType()), T.StructField("pos", T.LongType()),
-                         T.StructField("neg", T.LongType()), T.StructField("num2", T.StringType()),
-                         T.StructField("single", T.BooleanType()), T.StructField("p_lo", T.DoubleType()),
-                         T.StructField("lo_pos", T.LongType()), T.StructField("lo_neg", T.LongType()),
-                         T.StructField("p_hi", T.DoubleType()), T.StructField("hi_pos", T.LongType()),
-                         T.StructField("hi_neg", T.LongType())])
-    part = ranged.mapInPandas(pass1, s1).withColumn("num2", F.col("num2").cast("decimal(38,0)"))
-    part = materialize(part)  # partitions x replicates rows
-    # offsets of earlier partitions, per replicate (window over partitions x replicates rows)
-    wb = Window.partitionBy("rep").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.withColumn("off_pos", F.coalesce(F.sum("pos").over(wb), F.lit(0))) \
-               .withColumn("off_neg", F.coalesce(F.sum("neg").over(wb), F.lit(0)))
-    per = part.groupBy("rep").agg(
-        *[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn", "sq")],
-        F.sum("pos").alias("tot_pos"), F.sum("neg").alias("tot_neg"),
-        F.sum(F.col("num2") + F.lit(2) * F.col("off_neg").cast("decimal(19,0)") * F.col("pos").cast("decimal(18,0)")).alias("num2"))
-    first_off, fix = _join_ties(part.select("pid", "rep", "pos", "neg", "single", "p_lo", "lo_pos", "lo_neg", "p_hi",
-                                            "hi_pos", "hi_neg").orderBy("pid", "rep").collect(), n_boot)
-    fixes = df.sparkSession.createDataFrame([(r, str(v)) for r, v in enumerate(fix)], "rep int, fix string")
-    per = per.join(F.broadcast(fixes), "rep").withColumn(  # n_boot rows
-        "num2", F.col("num2") + F.col("fix").cast("decimal(38,0)")).drop("fix")
-    per = per.withColumn("n", F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))
-    per = threshold_metrics(per)
-    PP, NN = F.col("tot_pos"), F.col("tot_neg")
-    per = per.withColumn("auc", F.when((PP > 0) & (NN > 0), F.col("num2").cast("double")
-                                       / (F.lit(2.0) * PP.cast("double") * NN.cast("double"))))
-    if "aps" in metrics:
-        # offsets and totals: partitions x replicates numbers, shipped to the tasks of pass 2
-        offs = {}
-        tot_p = {}
-        for r in part.select("pid", "rep", "off_pos", "off_neg").collect():
-            offs.setdefault(r["pid"], np.zeros((2, n_boot), np.int64))[:, r["rep"]] = (r["off_pos"], r["off_neg"])
-        for r in per.select("rep", "tot_pos", "tot_neg").collect():
-            tot_p[r["rep"]] = (r["tot_pos"], r["tot_neg"])
-        Ptot = np.array([tot_p.get(i, (0, 0))[0] for i in range(n_boot)], np.int64)
-        Ntot = np.array([tot_p.get(i, (0, 0))[1] for i in range(n_boot)], np.int64)
-
-        def pass2(batches):
-            pid = TaskContext.get().partitionId()
-            o = offs.get(pid, np.zeros((2, n_boot), np.int64))
-            cum_pos, cum_neg = o[0].copy(), o[1].copy()
-            start = first_off.get(pid)  # where the first tie group begins, maybe in an earlier partition
-            ap = np.zeros(n_boot)
-            open_p, open_pos, open_neg = None, np.zeros(n_boot, np.int64), np.zeros(n_boot, np.int64)
-
-            def close(gp, gn):
-                nonlocal cum_pos, cum_neg, ap, start
-                bp = cum_pos[None, :] + np.cumsum(gp, axis=0) - gp
-                bn = cum_neg[None, :] + np.cumsum(gn, axis=0) - gn
-                if start is not None:
-                    (bp[0], bn[0]), start = start, None
-                tp_ge = Ptot[None, :] - bp
-                all_ge = tp_ge + Ntot[None, :] - bn
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    term = np.where(gp > 0, gp * tp_ge.astype(float) / all_ge, 0.0)
-                ap += term.sum(0)
-                cum_pos = cum_pos + gp.sum(0); cum_neg = cum_neg + gn.sum(0)
-
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                W, yv, pv = groups(pdf)
-                starts = np.flatnonzero(np.r_[True, pv[1:] != pv[:-1]])
-                gp = np.add.reduceat(W * (yv == 1)[:, None], starts, axis=0)
-                gn = np.add.reduceat(W * (yv == 0)[:, None], starts, axis=0)
-                gv = pv[starts]
-                if open_p is not None and gv[0] == open_p:
-                    gp[0] += open_pos; gn[0] += open_neg
-                elif open_p is not None:
-                    close(open_pos[None, :], open_neg[None, :])
-                if len(gv) > 1:
-                    close(gp[:-1], gn[:-1])
-                open_p, open_pos, open_neg = gv[-1], gp[-1].copy(), gn[-1].copy()
-            if open_p is not None:
-                close(open_pos[None, :], open_neg[None, :])
-            yield pd.DataFrame({"rep": np.arange(n_boot, dtype=np.int32), "ap": ap})
-
-        aps = ranged.mapInPandas(pass2, "rep int, ap double").groupBy("rep").agg(F.sum("ap").alias("ap_sum"))
-        per = per.join(aps, "rep").withColumn(
-            "aps", F.when(PP > 0, F.col("ap_sum") / PP.cast("double")))
-    return per.agg(*[F.avg(m).alias(m) for m in metrics])
-
-
-def _join_ties(rows: list, n_boot: int) -> tuple[dict, list]:
-    """From the boundary tie groups of every partition (partitions x replicates
-    rows, by partition and replicate): per partition the (pos, neg) counts below
-    its first tie group, and per replicate what the AUC numerator lacks because
-    pieces of one tie group in several partitions were counted as groups in turn."""
-    import numpy as np
-
-    first_off, fix = {}, np.zeros(n_boot, object)
-    cum = np.zeros((2, n_boot), np.int64)
-    begin = run = np.zeros((2, n_boot), np.int64)  # counts below the last tie group, and in it so far
-    last_p = None
-    for at in range(0, len(rows), n_boot):
-        part = rows[at:at + n_boot]
-        tot, low, high = (np.array([[r[f"{x}pos"] for r in part], [r[f"{x}neg"] for r in part]], np.int64)
-                          for x in ("", "lo_", "hi_"))
-        goes_on = last_p is not None and part[0]["p_lo"] == last_p
-        if goes_on:
-            # earlier positives also tie with these negatives, and later ones are not above earlier negatives
-            fix = fix + run[0].astype(object) * low[1] - low[0].astype(object) * run[1]
-        first_off[part[0]["pid"]] = (begin if goes_on else cum).copy()
-        if part[0]["single"]:
-            begin, run = (begin, run + low) if goes_on else (cum, low)
-        else:
-            begin, run = cum + tot - high, high
-        last_p, cum = part[0]["p_hi"], cum + tot
-    return first_off, [int(v) for v in fix]
+    counts = ranking_metrics(d, [], threshold) if {"auc", "aps"} & set(metrics) else confusion(d, [], threshold)
+    return threshold_metrics(counts).select(*metrics)
 
 
 def weighted_f1(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:

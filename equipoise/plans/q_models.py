@@ -131,7 +131,7 @@ def e16_g4_price_scoreboard(spark, sf_dir):
     model = Preprocessor(["o_totalprice"], []).fit(train)
     tr, te = (model.transform(d, keep=["o_orderkey", "urgent"]) for d in (train, test))
     return _round(scoreboard(tr, te, ["o_totalprice"], "urgent", [("price", FeatureScore())], "o_orderkey",
-                             True, 100, SEED), ["value"])
+                             True, 100, SEED, weights="poisson"), ["value"])
 
 
 @register("e17_one_class_fallback",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from equipoise.functions.random import poisson1_weight_sql, poly_u_sql
+from equipoise.operators.bootstrap import bootstrap_scores, bootstrap_weights
 from equipoise.operators.preprocess import Preprocessor
-from equipoise.operators.scores import (DEFAULT_METRICS, binary_scores, bootstrap_scores, log_loss, pearson,
-                                        r2_score, rmse, weighted_f1)
+from equipoise.operators.scores import DEFAULT_METRICS, binary_scores, log_loss, pearson, r2_score, rmse, weighted_f1
 from equipoise.plans.catalog import register
 from equipoise.sources.tables import DOCS_TOXIC_SQL, ORDERS_URGENT_SQL, docs_toxic, orders_urgent, read_table
 
@@ -111,10 +113,34 @@ bs AS (SELECT * FROM bw WHERE w > 0)"""
 def e15_bootstrap_orders(spark, sf_dir):
     """Scores averaged over 100 Poisson(1) bootstrap replicates."""
     s = scored(orders_urgent(spark, sf_dir), "o_totalprice")
-    b = bootstrap_scores(s, "y", "p", key="o_orderkey", n_boot=100, seed=SEED)
+    b = bootstrap_scores(s, "y", "p", key="o_orderkey", n_boot=100, seed=SEED, weights="poisson")
     return _round_all(b, DEFAULT_METRICS)
 
 
+@register("e15_exact_draws", f"""WITH t AS (SELECT count(*) AS n, CAST(sum(urgent) AS BIGINT) AS urgent FROM {ORDERS_URGENT_SQL})
+SELECT CAST(rep AS INTEGER) AS rep, n AS drawn, TRUE AS missed_as_expected, TRUE AS urgent_as_expected FROM t, range(0, 25) r(rep)""")
+def e15_exact_draws(spark, sf_dir):
+    """25 draws of n of the n orders. Each draws n rows in all; the rows it misses
+    and the urgent rows it draws lie within six deviations of what chance gives."""
+    ds = orders_urgent(spark, sf_dir)
+    drawn = bootstrap_weights(ds.df.select("o_orderkey", "urgent"), "o_orderkey", 25, SEED)
+    per = drawn.select("urgent", F.posexplode("draws").alias("rep", "w")).groupBy("rep").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("w").alias("drawn"), F.sum((F.col("w") == 0).cast("long")).alias("missed"),
+        F.sum("urgent").alias("u"), F.sum(F.col("w") * F.col("urgent")).alias("u_drawn"))
+    n, u = F.col("n"), F.col("u")
+    missed, spread = n * F.pow(1 - 1 / n, n), F.sqrt(n * (math.exp(-1) - 2 * math.exp(-2)))  # of empty cells
+    return per.select(F.col("rep").cast("int").alias("rep"), "drawn",
+                      (F.abs(F.col("missed") - missed) < 6 * spread).alias("missed_as_expected"),
+                      (F.abs(F.col("u_drawn") - u) < 6 * F.sqrt(u * (1 - u / n))).alias("urgent_as_expected"))
+
+
+@register("e15_exact_scores_orders")
+def e15_exact_scores_orders(spark, sf_dir):
+    """The seven scores averaged over 100 draws of n of the n orders."""
+    s = scored(orders_urgent(spark, sf_dir), "o_totalprice")
+    return _round_all(bootstrap_scores(s, "y", "p", key="o_orderkey", n_boot=100, seed=SEED), DEFAULT_METRICS)
+
+
 _PRED_STATUS = "CASE WHEN order_day < 2000 THEN 'F' WHEN order_day < 2800 THEN 'O' ELSE 'P' END"
 
 

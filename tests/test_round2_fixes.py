@@ -100,7 +100,7 @@ def test_small_cells_use_their_own_knots(spark):
 
 
 def test_bootstrap_of_an_empty_table_is_null(spark):
-    from equipoise.operators.scores import bootstrap_scores
+    from equipoise.operators.bootstrap import bootstrap_scores
     empty = spark.createDataFrame([], "k long, y int, p double")
     assert bootstrap_scores(empty, "y", "p", "k", n_boot=2).first()["auc"] is None
 

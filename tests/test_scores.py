@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from equipoise.operators.scores import (binary_scores, bootstrap_scores, log_loss, r2_score, weighted_f1)
+from equipoise.operators.bootstrap import ResampleCounts, bootstrap_scores, bootstrap_weights, poisson_weights
+from equipoise.operators.scores import DEFAULT_METRICS, binary_scores, log_loss, r2_score, weighted_f1
 
 
 def brute_auc(y, p):
@@ -101,7 +102,6 @@ def _plain_weights(key, seed, n_boot):
 
 def test_bootstrap_weights_are_poisson_and_uncorrelated(spark):
     from equipoise.functions.random import poly_seeds
-    from equipoise.operators.scores import poisson_weights
     c = spark.range(20000).select(*[x.alias(f"s{i}") for i, x in enumerate(poly_seeds("id", 5, "boot"))]).toPandas()
     w = poisson_weights(c.to_numpy(), 100)
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
@@ -112,16 +112,61 @@ def test_bootstrap_weights_are_poisson_and_uncorrelated(spark):
     assert w[7].tolist() == _plain_weights(7, 5, 100)
 
 
-def test_bootstrap_hot_tie_over_partitions_equals_weighted_scores(spark):
+@pytest.mark.parametrize("weights", ["poisson", "exact"])
+def test_bootstrap_hot_tie_over_partitions_equals_weighted_scores(spark, weights):
     """Half the rows share one score, so its tie group fills several partitions."""
-    from equipoise.operators import scores as S
     rng = np.random.default_rng(7)
     rows = [(i, int(rng.random() < 0.3), 0.5 if i % 2 == 0 else round(float(rng.random()), 2)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, y int, p double")
-    got = S.bootstrap_scores(df, "y", "p", "k", n_boot=4, seed=2).first()
-    w = np.array([_plain_weights(r[0], 2, 4) for r in rows])
-    one = [S.binary_scores(spark.createDataFrame([(*r, int(x)) for r, x in zip(rows, w[:, b])],
-                                                 "k long, y int, p double, w long"), "y", "p", weight="w").first()
+    got = bootstrap_scores(df, "y", "p", "k", n_boot=4, seed=2, weights=weights).first()
+    if weights == "exact":
+        place = sorted(range(3000), key=lambda i: (rows[i][2], str(rows[i][0])))
+        w = np.empty((3000, 4), int)
+        w[place] = ResampleCounts(3000, 4, 2).at(np.arange(3000))
+    else:
+        w = np.array([_plain_weights(r[0], 2, 4) for r in rows])
+    one = [binary_scores(spark.createDataFrame([(*r, int(x)) for r, x in zip(rows, w[:, b])],
+                                               "k long, y int, p double, w long"), "y", "p", weight="w").first()
            for b in range(4)]
-    for m in S.DEFAULT_METRICS:
+    for m in DEFAULT_METRICS:
         assert abs(got[m] - sum(r[m] for r in one) / 4) < 1e-12, m
+
+
+def test_exact_draws_sum_to_n_and_are_multinomial():
+    c = ResampleCounts(10_000, 200, 3, block=512)
+    w = c.at(np.arange(10_000))
+    assert (w.sum(0) == 10_000).all()
+    assert abs(w.var() - 1) < 0.02 and abs((w == 0).mean() - np.exp(-1)) < 0.002
+    blocks = np.add.reduceat(w, np.arange(0, 10_000, 512), axis=0)  # 20 cells: chi-square of each replicate
+    want = np.add.reduceat(np.ones(10_000), np.arange(0, 10_000, 512))[:, None]
+    chi = ((blocks - want) ** 2 / want).sum(0)
+    assert abs(chi.mean() - 19) < 6 * np.sqrt(2 * 19 / 200)
+    assert np.abs(np.corrcoef(w.T) - np.eye(200)).max() < 0.06
+    some = np.array([9999, 0, 511, 512, 7000])
+    assert (c.at(some) == w[some]).all()
+
+
+def test_bootstrap_weights_keep_rows_and_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(i % 4000, None if i % 3 else "a") for i in range(5000)], "k long, t string")
+    got = bootstrap_weights(df, "k", 3, 1)
+    rows = got.collect()
+    assert got.columns == ["k", "t", "draws"] and len(rows) == 5000
+    assert [sum(r["draws"][b] for r in rows) for b in range(3)] == [5000] * 3
+    unique = df.dropDuplicates(["k"]).select("k")
+    a, b = ({r["k"]: r["draws"] for r in bootstrap_weights(d, "k", 3, 1).collect()} for d in (unique, unique.repartition(3)))
+    assert a == b and len(a) == 4000
+    assert bootstrap_weights(df.limit(0), "k", 3, 1).count() == 0
+
+
+def test_bootstrap_skips_rows_without_label_or_score(spark):
+    rows = [(i, i % 2, (i * 37 % 100) / 100) for i in range(200)]
+    more = [(900, None, 0.5), (901, 1, None), (902, 7, 0.1)]
+    a, b = (bootstrap_scores(spark.createDataFrame(r, "k long, y int, p double"), "y", "p", "k", n_boot=5).first()
+            for r in (rows, rows + more))
+    assert all(abs(a[m] - b[m]) < 1e-12 for m in DEFAULT_METRICS)
+
+
+def test_all_scores_read_the_table_once(spark, tmp_path):
+    spark.createDataFrame([(0, 0.2), (1, 0.7), (1, None)], "y int, p double").write.parquet(str(tmp_path / "t"))
+    plan = binary_scores(spark.read.parquet(str(tmp_path / "t")), "y", "p")._jdf.queryExecution().toString()
+    assert str(tmp_path / "t") not in plan  # only the counts per score, written once, are read
