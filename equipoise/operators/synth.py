@@ -4,8 +4,9 @@ The model factorizes a mixed table given the label ``y``:
 
 * ``prior``: class counts and rates;
 * ``cat_table``: for each categorical column, the distribution of its level
-  given ``(y, parent)`` where the parent is the previous categorical column
-  (a chain), stored as cumulative intervals ``[lo, hi)``;
+  given ``(y, parent)``, stored as cumulative intervals ``[lo, hi)``; the parent is
+  the previous categorical column (a chain) or, with ``dependence="tree"``, its
+  neighbour in the tree of pairs that share most information within the classes;
 * ``knots``: ``n_knots`` exact quantiles of every numeric column given
   ``(y, level of one conditioning column)``, with a class-level back-off for
   cells without a value;
@@ -17,7 +18,7 @@ The model factorizes a mixed table given the label ``y``:
 Fitting is a handful of partial aggregations (skew-safe: hot groups collapse
 map-side) plus one distributed sort for the quantiles; every fitted table is
 bounded by cardinalities, not by rows. Sampling starts from ``spark.range(n)``
-and walks the chain with broadcast equi-joins on ``(y, parent, bucket(u))``
+and walks the chain or tree with broadcast equi-joins on ``(y, parent, bucket(u))``
 followed by ``lo <= u < hi``; the bucket key keeps the fan-out per row at one
 or two candidates even for high-cardinality columns. Every draw is a seeded
 hash of the synthetic row id, so a sample is reproducible under any
@@ -42,6 +43,9 @@ log = logging.getLogger(__name__)
 
 ROWS_PER_SAMPLE_PARTITION = 500_000
 
+#: Levels of one distribution that a part of ``level_probabilities`` holds.
+SOFT_LEVELS = 10_000
+
 
 def class_imbalance(df: DataFrame, target: str) -> DataFrame:
     """One row ``n, n_pos, n_neg, pos_rate, n_missing`` where
@@ -95,6 +99,7 @@ class Synthesizer:
     condition_num_on_cat: bool = True
     joint_numeric: bool = True
     num_cond_col: str | None = None
+    dependence: str = "chain"
     n_knots: int = 101
     seed: int = 2020
     buckets: int = 64
@@ -103,6 +108,8 @@ class Synthesizer:
     knots: DataFrame | None = field(default=None, repr=False)
     copula: DataFrame | None = field(default=None, repr=False)
     cat_types: dict = field(default_factory=dict, repr=False)
+    parents: dict = field(default_factory=dict, repr=False)
+    information: list = field(default_factory=list, repr=False)
 
     # ------------------------------------------------------------------ fit
     @property
@@ -117,13 +124,26 @@ class Synthesizer:
         return int(self.prior.agg(F.sum("n")).first()[0] or 0)
 
     def parent_of(self, j: int) -> str | None:
+        if self.dependence == "tree":
+            return self.parents[self.cat_cols[j]]
         return self.cat_cols[j - 1] if j > 0 else None
 
+    def _draw_order(self) -> list[int]:
+        """Places of the categorical columns, every parent before its children."""
+        if self.dependence != "tree":
+            return list(range(len(self.cat_cols)))
+        order = [0]
+        for j in order:
+            order += [i for i, c in enumerate(self.cat_cols) if self.parents[c] == self.cat_cols[j]]
+        return order
+
     def fit(self, df: DataFrame) -> "Synthesizer":
         """Fit all tables; a later ``fit`` replaces them (same settings)."""
         self.__dict__.pop("_sides", None)
         if not self.num_cols and not self.cat_cols:
             raise ValueError("Synthesizer needs at least one numeric or categorical column.")
+        if self.dependence not in ("chain", "tree"):
+            raise ValueError(f"dependence must be 'chain' or 'tree', not {self.dependence!r}")
         fields = {f.name: f.dataType for f in df.schema.fields}
         self.cat_types = {c: fields[c].simpleString() for c in self.cat_cols}
         data = df.select(F.col(self.target).cast("int").alias("y"),
@@ -132,6 +152,9 @@ class Synthesizer:
         # two passes over the data: category counts and numeric quantiles; the
         # prior comes from the first category's counts when there is one
         if self.cat_cols:
+            if self.dependence == "tree":
+                self.information = self._pair_information(data)
+                self.parents = spanning_parents(self.cat_cols, self.information)
             self.cat_table = materialize(self._fit_cat_table(data))
             prior = (self.cat_table.where(F.col("col") == self.cat_cols[0])
                      .groupBy("y").agg(F.sum("cnt").alias("n")))
@@ -195,6 +218,23 @@ class Synthesizer:
         rows = rows.withColumns(mixed).withColumns({f"__t{i}": cdf_step(F.col(f"__m{i}")) for i, _ in each})
         return rows.withColumns({f"__u{i}": normal_cdf(F.col(f"__m{i}"), F.col(f"__t{i}")) for i, _ in each})
 
+    def _pair_information(self, data: DataFrame) -> list[tuple[str, str, float]]:
+        """(column, later column, mutual information given the class), a null being a
+        level. One aggregate counts all pairs of levels, single levels and classes; the
+        information is a sum of their n log n, so no counts are joined. Columns^2 numbers
+        come to the driver, rounded so that ties don't hang on the order of sums."""
+        cols = self.cat_cols
+        at = [(i, j) for j in range(len(cols)) for i in range(j)] + [(i, -1) for i in range(len(cols))] + [(-1, -1)]
+        level = lambda i: F.col(f"`{cols[i]}`") if i >= 0 else F.lit(None).cast("string")
+        entries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), level(i).alias("a"), level(j).alias("b"))
+                            for i, j in at])
+        counts = data.select("y", F.explode(entries).alias("e")).groupBy("e.i", "e.j", "y", "e.a", "e.b").agg(
+            F.count(F.lit(1)).cast("double").alias("n"))
+        found = counts.groupBy("i", "j").agg(F.sum(F.col("n") * F.log("n")).alias("s"), F.sum("n").alias("n")).collect()
+        part, n = {(r["i"], r["j"]): r["s"] for r in found}, max([r["n"] for r in found], default=1.0)
+        return [(cols[i], cols[j], round((part[i, j] - part[i, -1] - part[j, -1] + part[-1, -1]) / n, 9) + 0.0)
+                for i, j in at if j >= 0 and (i, j) in part]
+
     def _fit_cat_table(self, data: DataFrame) -> DataFrame:
         entries = []
         for j, c in enumerate(self.cat_cols):
@@ -239,7 +279,7 @@ class Synthesizer:
         Conditional mode honours ``y`` (D4); joint mode draws ``y`` from the
         prior and ignores a given ``y`` with a warning. ``soft=True`` (D5) adds
         the conditional probability of every level as ``<col>__p_<code>`` columns
-        next to the hard draw.
+        next to the hard draw; for columns of many levels use ``level_probabilities``.
         """
         if self.prior is None:
             raise ValueError("Synthesizer is not fitted.")
@@ -258,8 +298,8 @@ class Synthesizer:
             p0 = (self.prior.where("y = 0").select("p").first() or [0.0])[0]
             u_y = hash_u("synth_id", seed, f"{stream}:y")
             rows = ids.withColumn("y", F.when(u_y < F.lit(float(p0)), 0).otherwise(1))
-        for j, c in enumerate(self.cat_cols):
-            rows = self._draw_cat(rows, j, c, seed, stream, soft)
+        for j in self._draw_order():
+            rows = self._draw_cat(rows, j, self.cat_cols[j], seed, stream, soft)
         rows = self._draw_num(rows, seed, stream)
         out = [F.col("synth_id"), F.col("y").cast("int").alias(self.target)]
         out += [F.col(c) for c in self.num_cols]
@@ -309,6 +349,25 @@ class Synthesizer:
             out = self._soft_columns(out, j, c)
         return out
 
+    def level_probabilities(self, drawn: DataFrame, c: str) -> DataFrame:
+        """D5 at any number of levels: ``synth_id, level, p`` for each row that
+        ``sample`` drew and each level that ``c`` can take beside the row's class and
+        parent level (levels left out have p = 0; a null is a level). A join with the
+        fitted table: broadcast where that measures small, else its levels are dealt to
+        ``SOFT_LEVELS`` sized parts, so that one class fills many tasks."""
+        parent = self.parent_of(self.cat_cols.index(c))
+        tab = self.cat_table.where(F.col("col") == c)
+        largest = tab.groupBy("y", "parent").count().agg(F.max("count")).first()[0] or 1
+        parts = -(-largest // SOFT_LEVELS)
+        side = sized_broadcast(tab.select(
+            F.col("y").alias("__y"), F.col("parent").alias("__parent"), F.pmod(F.xxhash64("level"), F.lit(parts)).alias("__part"),
+            "level", (F.col("hi") - F.col("lo")).alias("p")))
+        rows = drawn.select("synth_id", F.col(f"`{self.target}`").alias("__yy"),
+                            (F.col(f"`{parent}`").cast("string") if parent else F.lit("")).alias("__par"),
+                            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("__to"))
+        cond = (rows["__yy"] == side["__y"]) & rows["__par"].eqNullSafe(side["__parent"]) & (rows["__to"] == side["__part"])
+        return rows.join(side, cond).select("synth_id", "level", "p")
+
     def _soft_columns(self, rows: DataFrame, j: int, c: str) -> DataFrame:
         """Probability of each level given (y, parent), as wide columns."""
         parent = self.parent_of(j)
@@ -411,7 +470,8 @@ class Synthesizer:
         spark = self.prior.sparkSession
         params = {k: getattr(self, k) for k in ("target", "num_cols", "cat_cols", "condition",
                                                 "condition_num_on_cat", "joint_numeric", "num_cond_col", "n_knots",
-                                                "seed", "buckets", "cat_types")}
+                                                "seed", "buckets", "cat_types", "dependence", "parents",
+                                                "information")}
         spark.createDataFrame([(json.dumps(params),)], "params string") \
              .coalesce(1).write.mode("overwrite").json(f"{path}/params")
         self.prior.write.mode("overwrite").parquet(f"{path}/prior")
@@ -433,6 +493,18 @@ class Synthesizer:
         return obj
 
 
+def spanning_parents(cols: list[str], information: list[tuple[str, str, float]]) -> dict[str, str | None]:
+    """Each column's parent in the spanning tree of greatest information, rooted at
+    the first column; of equal pairs the one whose columns come first."""
+    value = {frozenset((a, b)): v for a, b, v in information}
+    parents: dict[str, str | None] = {cols[0]: None}
+    while len(parents) < len(cols):
+        pairs = [(a, b) for a in cols if a in parents for b in cols if b not in parents]
+        a, b = max(pairs, key=lambda ab: value.get(frozenset(ab), 0.0))
+        parents[b] = a
+    return parents
+
+
 def interpolate(knots: Column, u: Column, km1: float) -> Column:
     """Inverse CDF through ``len(knots)`` quantile knots at uniform ``u``."""
     pos = u * F.lit(km1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from equipoise.operators.synth import Synthesizer, class_imbalance
 from equipoise.plans.catalog import register
 from equipoise.plans.sqlgen import synth_sql
-from equipoise.sources.tables import ORDERS_URGENT_SQL, orders_urgent
+from equipoise.sources.tables import ORDERS_URGENT_SQL, orders_urgent, read_table
 
 SEED = 2020
 
@@ -96,6 +96,48 @@ def d6_numeric_dependence(spark, sf_dir):
     return fitted.unionByName(drawn.select(F.lit("drawn").alias("origin"), "urgent", "rho"))
 
 
+# ------------------------------------------------- D1 tree, D5 at many levels
+_TREE = ["o_orderstatus", "c_mktsegment", "order_year"]
+
+
+def _tree_sql() -> str:
+    def part(*cols):
+        return f"(SELECT sum(n * ln(n)) FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM t GROUP BY {', '.join(('urgent', *cols))}))"
+    pairs = [f"SELECT '{a}' AS a, '{b}' AS b, round(({part(a, b)} - {part(a)} - {part(b)} + {part()}) / "
+             f"(SELECT CAST(count(*) AS DOUBLE) FROM t), 9) AS v"
+             for k, b in enumerate(_TREE) for a in _TREE[:k]]
+    return f"""WITH t AS (SELECT *, CAST(floor(order_day / 365.0) AS INTEGER) AS order_year FROM {_ORD}),
+i AS ({' UNION ALL '.join(pairs)})
+SELECT a, b, round(v, 8) AS information, row_number() OVER (ORDER BY v DESC) <= 2 AS kept FROM i"""
+
+
+@register("d1_tree_parents", _tree_sql())
+def d1_tree_parents(spark, sf_dir):
+    """Information that pairs of categories share within the classes, and the
+    pairs kept as parent and child (of three columns, the tree is the two best)."""
+    ds = orders_urgent(spark, sf_dir)
+    df = ds.df.withColumn("order_year", F.floor(F.col("order_day") / 365.0).cast("int"))
+    syn = Synthesizer(ds.target, [], _TREE, seed=SEED, dependence="tree").fit(df)
+    rows = [(a, b, v, syn.parents[a] == b or syn.parents[b] == a) for a, b, v in syn.information]
+    return spark.createDataFrame(rows, "a string, b string, information double, kept boolean").withColumn(
+        "information", F.round("information", 8))
+
+
+@register("d5_level_probabilities", """WITH t AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, l_partkey FROM lineitem),
+c AS (SELECT y, l_partkey, count(*) AS n FROM t GROUP BY y, l_partkey),
+s AS (SELECT y, count(*) AS levels, max(n) AS top, sum(n) AS total FROM c GROUP BY y)
+SELECT CAST(id AS BIGINT) AS synth_id, y AS returned, levels, round(CAST(top AS DOUBLE) / CAST(total AS DOUBLE), 9) AS top_p,
+  CAST(1.0 AS DOUBLE) AS total_p FROM range(0, 40) r(id) JOIN s ON y = CASE WHEN id < 20 THEN 0 ELSE 1 END""")
+def d5_level_probabilities(spark, sf_dir):
+    """D5 at many levels: all part keys' probabilities for each of 40 drawn rows."""
+    li = read_table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("returned"), "l_partkey")
+    syn = Synthesizer("returned", [], ["l_partkey"], seed=SEED).fit(li)
+    drawn = syn.sample(40, y="50-50")
+    per = syn.level_probabilities(drawn, "l_partkey").groupBy("synth_id").agg(
+        F.count(F.lit(1)).alias("levels"), F.round(F.max("p"), 9).alias("top_p"), F.round(F.sum("p"), 6).alias("total_p"))
+    return drawn.select("synth_id", "returned").join(per, "synth_id")
+
+
 # ---------------------------------------------------------------- D1 tables
 def _fit_ctes() -> str:
     from equipoise.plans.sqlgen import synth_fit_sql
