@@ -7,6 +7,10 @@ E17) or the fit has a closed form (F4 by a ridge on one predictor) there is one.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from equipoise.operators.models import (FeatureScore, aux_classifier, balanced_vs_imbalanced, column_predictability,
@@ -15,11 +19,13 @@ from equipoise.operators.models import (FeatureScore, aux_classifier, balanced_v
                                         real_fake_test, scoreboard, teacher_score, vector_agreement)
 from equipoise.operators.preprocess import Preprocessor, random_split
 from equipoise.operators.scores import DEFAULT_METRICS, binary_scores
+from equipoise.operators.stages import CodedFeatures
 from equipoise.operators.synth import Synthesizer
 from equipoise.plans.catalog import register
 from equipoise.plans.q_quality import _prep_sql, real_fake
 from equipoise.plans.q_scores import _metric_select, boot_sql, scored, scored_sql, scores_sql
 from equipoise.functions.random import hash_u_sql
+from equipoise.session import ensure_checkpoint_dir
 from equipoise.sources.tables import ORDERS_URGENT_SQL, orders_urgent
 
 SEED = 2020
@@ -252,3 +258,19 @@ def a23_metric_history_sink(spark, sf_dir):
         append_metrics(rep.select(F.lit("orders_urgent").alias("run_id"), F.lit(it).alias("iter"),
                                   "metric", "value"), path)
     return read_metrics(spark, path).groupBy("iter").agg(F.count(F.lit(1)).alias("n_metrics"))
+
+
+@register("a24_pipeline_reload", f"""WITH m AS (SELECT min(CAST(o_totalprice AS DOUBLE)) AS lo, max(CAST(o_totalprice AS DOUBLE)) AS hi FROM {_TRAIN}),
+s AS (SELECT t.urgent AS y, least(greatest((CAST(t.o_totalprice AS DOUBLE) - m.lo) / (m.hi - m.lo),
+    CAST(0.0 AS DOUBLE)), CAST(1.0 AS DOUBLE)) AS p
+  FROM (SELECT * FROM {ORDERS_URGENT_SQL} WHERE {_U} < 0.1) t, m), {scores_sql('s')} SELECT {_metric_select()} FROM met""")
+def a24_pipeline_reload(spark, sf_dir):
+    """A24 + G4: transformer and scorer fitted on the training orders, saved as one
+    pipeline, loaded, and scored on the held-out orders."""
+    ds = orders_urgent(spark, sf_dir)
+    train, test = random_split(ds.df, "o_orderkey", 0.1, SEED)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid4().hex}"
+    Pipeline(stages=[CodedFeatures(["o_totalprice", "order_day"], ds.cat_cols), FeatureScore(0)]).fit(train).save(path)
+    scored = PipelineModel.load(path).transform(test)
+    s = binary_scores(scored.withColumn("p", vector_to_array("probability").getItem(1)), "urgent", "p")
+    return s.select(*[F.round(c, 9).alias(c) for c in DEFAULT_METRICS])
