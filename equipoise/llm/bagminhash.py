@@ -14,10 +14,13 @@ connected components of the links.
 3. Banding: 30 bands of 5 components; a pair at 0.8 is missed with probability
    (1 - 0.8^5)^30 = 7e-6.
 4. Verification on the whole multisets: each node of a bucket is compared with the
-   bucket's center. Where a bucket then still has members that are not linked to
-   the same center, its nodes are compared exactly in blocks, all pairs of
-   different labels. A block pair returns a spanning forest of its links, which
-   joins the same classes; no pair table is written.
+   bucket's center. Members of buckets that this leaves apart go through a prefix
+   filter: the elements are ordered by rarity among these members, and two sets of
+   similarity 0.8 share one of their rarest fifth. Nodes without such a partner of
+   another label are done; the others are compared exactly in blocks, all pairs of
+   different labels. Texts that have only common boilerplate in common thus meet
+   nobody. A block pair returns a spanning forest of its links, which joins the
+   same classes; no pair table is written.
 
 Null and empty texts have no shingles and are in no class but their own row's.
 Texts of one to four words have one shingle. Rows are told apart by id and hash of
@@ -39,7 +42,8 @@ COMPONENTS = 150
 ROWS = 5
 SHINGLE = 5
 THRESHOLD = 0.8
-BLOCK = 256
+BLOCK = 256  # nodes of a block, and their elements: a task holds two blocks
+BLOCK_ELEMENTS = 1 << 20
 _CHUNK = 400_000  # shingles handled at once inside a task
 
 
@@ -282,7 +286,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     links = stored(spark, _star_links(members, items))
     labels = links.groupBy("a").agg(F.max("b").alias("label")).withColumnRenamed("a", "node")
-    links = links.union(stored(spark, _exact_links(spark, _apart(members, labels), items)))
+    rest = stored(spark, _apart(members, labels))
+    links = links.union(stored(spark, _exact_links(spark, _prefixes(rest, items), items)))
     labels = connected_components(spark, links).select(F.col("node").alias("n2"), "label")
 
     classed = stored(spark, rows.join(labels, F.col("node") == F.col("n2"), "left").select(
@@ -318,22 +323,46 @@ def _star_links(members: DataFrame, items: DataFrame) -> DataFrame:
         F.col("both") >= THRESHOLD * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("a", "b")
 
 
-def _exact_links(spark: SparkSession, rest: DataFrame, items: DataFrame) -> DataFrame:
-    """All links between members of different labels that share a bucket.
+def _prefixes(rest: DataFrame, items: DataFrame) -> DataFrame:
+    """(token, node, label, size): the prefix elements of the nodes of ``rest`` that
+    nodes of different labels have in common.
+
+    Of a set of n elements any partner shares at least 0.8 n, so in one order of all
+    elements, rarest first, two partners share one of the first n - ceil(0.8 n) + 1.
+    An element of one node only takes its place in the prefix but joins nothing."""
+    nodes = rest.select("node", "label").distinct()
+    each = nodes.join(items, "node").select("node", "label", F.size("items").alias("size"), F.explode("items").alias("token"))
+    common = each.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("n > 1")
+    common = common.select("token", "n", (F.col("x") != F.col("y")).alias("mixed"))
+    ranked = each.join(common.hint("merge"), "token").groupBy("node").agg(
+        F.first("label").alias("label"), F.first("size").alias("size"),
+        F.sort_array(F.collect_list(F.struct("n", "token", "mixed"))).alias("s"))
+    prefix = F.col("size") - F.ceil(THRESHOLD * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("s"))
+    return ranked.select("node", "label", "size", F.explode(F.filter(
+        F.slice("s", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda e: e["mixed"])).alias("e")).select(
+            F.col("e.token").alias("token"), "node", "label", "size")
 
-    Buckets that share members form a group. A group is dealt into blocks of about
-    BLOCK nodes, those of a large component into blocks of their own, and a task
-    compares one pair of blocks with a matrix product; block pairs of one and the
-    same label are left out. A group of any size is thus spread over many tasks."""
+
+def _exact_links(spark: SparkSession, rest: DataFrame, items: DataFrame) -> DataFrame:
+    """All links between nodes of different labels that share a token of ``rest``
+    (token, node, label, size).
+
+    Tokens that share nodes form a group. A group is dealt into blocks of about
+    BLOCK nodes or BLOCK_ELEMENTS elements, those of a large label into blocks of
+    their own, and a task compares one pair of blocks with a matrix product; block
+    pairs of one and the same label are left out. A group of any size is thus spread
+    over many tasks, and long texts get blocks of few nodes."""
     rest = stored(spark, rest)
-    hub = rest.groupBy("bucket").agg(F.min("node").alias("b"))
-    groups = connected_components(spark, rest.join(hub, "bucket").select(F.col("node").alias("a"), "b"))
-    nodes = rest.select("node", "label").distinct().join(groups.withColumnRenamed("label", "grp"), "node")
-    sizes = nodes.groupBy("grp", "label").agg(F.count("*").alias("n"))
-    small = sizes.groupBy("grp").agg(F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0)).alias("n_small"))
-    deal = lambda col, n: F.pmod(F.xxhash64(col), F.ceil(n / BLOCK)).cast("string")
-    block = F.when(F.col("n") >= BLOCK, F.concat_ws(":", F.col("label").cast("string"), deal("node", F.col("n")))).otherwise(
-        F.concat(F.lit("small:"), deal("label", F.greatest("n_small", F.lit(1)))))
+    mixed = rest.groupBy("token").agg(F.min("node").alias("b"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
+    rest = stored(spark, rest.join(mixed.select("token", "b"), "token").select("node", "b", "label", "size"))
+    groups = connected_components(spark, rest.select(F.col("node").alias("a"), "b"))
+    nodes = rest.select("node", "label", "size").distinct().join(groups.withColumnRenamed("label", "grp"), "node")
+    # the share of a block that a node fills
+    sizes = nodes.groupBy("grp", "label").agg(F.sum(F.greatest(F.lit(1 / BLOCK), F.col("size") / BLOCK_ELEMENTS)).alias("n"))
+    small = sizes.groupBy("grp").agg(F.sum(F.when(F.col("n") < 1, F.col("n")).otherwise(0.0)).alias("n_small"))
+    deal = lambda col, n: F.pmod(F.xxhash64(col), F.greatest(F.ceil(n), F.lit(1))).cast("string")
+    block = F.when(F.col("n") >= 1, F.concat_ws(":", F.col("label").cast("string"), deal("node", F.col("n")))).otherwise(
+        F.concat(F.lit("small:"), deal("label", F.col("n_small"))))
     nodes = stored(spark, nodes.join(sizes, ["grp", "label"]).join(small, "grp").select(
         "grp", "node", "label", block.alias("block")))
     blocks = nodes.groupBy("grp", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
