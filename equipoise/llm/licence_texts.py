@@ -70,3 +70,32 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
 )
+
+#: (licence id, length and SHA-256 of the canonical form): whole public licences, where they have
+#: an appendix also without it, with and without the line that ends the terms.
+KNOWN_DIGESTS = (
+    ("Apache-2.0", 9884, "ef9aa6097e8b8724e8bedf9a9a264cbc3142b55ef97f3c3f079b7aa1aeac425c"),
+    ("Apache-2.0", 8867, "ed44d69699f98d45c0c3e52ef4574fb05d6045eb6e2cd0e5e3810f6177e87f84"),
+    ("Apache-2.0", 8839, "65bfb6f56a10dc6dd6135cf4adeee0f5bc238b3d404067ac48dbf48c0ced3b32"),
+    ("CC0-1.0", 6692, "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", 19532, "0327fb9f65b4827028df5e94d80b21999dc5b1bf864bf765e703624713563b16"),
+    ("GFDL-1.3", 22020, "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", 11713, "d98bca1875592c382caba655043aec268528bc17c9d7c0a9e892b953378effa6"),
+    ("GPL-1.0", 9363, "9679cb8f8a7c25e849b925136d793d1bec010b8b9270e6ba898e2cefcb3e1f6d"),
+    ("GPL-1.0", 9335, "37a8d6ceffb74a4cd60be1028e4d7d9cc0b1682c4aa3c1d9efd628dc5460f60b"),
+    ("GPL-2.0", 17005, "17bc27c667a8d82915bb74a167975daaa34a72ef983dffc60903e06b043338ba"),
+    ("GPL-2.0", 14427, "34cacbc5d4c8288f220e8dfade5276e6f76704f67150b4388c9ed3e3ff88cd90"),
+    ("GPL-2.0", 14399, "f1412332f5361d2a392bb637c3844ed3a32b7d701ac0e7abacce50b34a9a3afb"),
+    ("GPL-3.0", 33409, "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("GPL-3.0", 30968, "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("GPL-3.0", 30940, "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191"),
+    ("LGPL-2.0", 24074, "4401e0261a8caf4fd55eeb0e816fda06bbc9e4b2605767f5ffdf843a5c70e07e"),
+    ("LGPL-2.0", 22221, "96c47047421b3be5cae9a68c75f37fdcf07945fba0a1d6db6a3b57f9c70f75a0"),
+    ("LGPL-2.0", 22193, "3c503e1843d56bee44590ba959b2a745cf954688aa5dd285043d139d8c3e6cd6"),
+    ("LGPL-2.1", 25161, "599d9303049b507aa89582ee08dd4ddaba298764648558e7bf8e78309807bfaa"),
+    ("LGPL-2.1", 23309, "a6742add8db4ff9ba6917da0bd1f95927436acfd65ae81933f1e9a859d38d9fa"),
+    ("LGPL-2.1", 23281, "d00d08192018b2217de04b223449941a18a7cb07d0c025393948065a12eb0fb2"),
+    ("LGPL-3.0", 7104, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", 22448, "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986"),
+    ("MPL-2.0", 14342, "9eab7902f21bef0326dee4ed0cae1402c781cbf1f8e3dbeed6fbe176d641bb13"),
+)

@@ -3,7 +3,12 @@
 Every statistic is a built-in expression over the whole text; there are no user
 functions and no shuffle. Null and empty texts have no words and fail the base
 rule. Rows are independent, so repeated rows get equal results; columns other
-than the id and the text are not read."""
+than the id and the text are not read.
+
+The stop-word rule knows the languages of ``STOP_WORDS``. It is left out for a text
+with more than 2 % of its characters in letters of other alphabets (Cyrillic, Polish,
+Turkish, Chinese, ...), of which the list can say nothing. Languages outside the list that
+write the same letters are still measured by it; pass other ``rules`` for them."""
 
 from __future__ import annotations
 
@@ -26,21 +31,27 @@ STOP_WORDS = (
     "al como con del el ella las lo los no para por su una y"
 ).split()
 
+#: The letters of these languages.
+_LETTERS = "a-zàâäáæçéèêëíîïñóôöœßúùûüÿ"
+
 
 @dataclass(frozen=True)
 class Rule:
-    """Keep a text while ``low <= statistic <= high``; None leaves a side open."""
+    """Keep a text while ``low <= statistic <= high``; None leaves a side open. The
+    rule is left out where the statistic ``unless`` is over ``above``."""
 
     statistic: str
     low: float | None = None
     high: float | None = None
+    unless: str | None = None
+    above: float = 0.0
 
 
 #: The threshold table: length, symbol, stop-word and line ratios.
 RULES = (
     Rule("mean_word_chars", 2.0, 20.0),
     Rule("symbol_ratio", None, 0.3),
-    Rule("stop_word_ratio", 0.02, None),
+    Rule("stop_word_ratio", 0.02, None, unless="other_letter_ratio", above=0.02),
     Rule("dup_line_ratio", None, 0.5),
     Rule("bar_line_ratio", None, 0.5),
 )
@@ -55,13 +66,15 @@ STATISTICS = {
     "mean_word_chars": lambda: _ratio("word_chars", "n_words"),
     "symbol_ratio": lambda: _ratio("n_symbols", "n_words"),
     "stop_word_ratio": lambda: _ratio("n_stop_words", "n_words"),
+    "other_letter_ratio": lambda: _ratio("n_other_letters", "word_chars"),
     "dup_line_ratio": lambda: _ratio("n_dup_lines", "n_lines"),
     "bar_line_ratio": lambda: _ratio("n_bar_lines", "n_lines"),
 }
 
 
 def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts per document over the whole text.
+    """Counts per document over the whole text. ``n_other_letters``, letters of
+    other alphabets, is counted where under 2 % of the words are stop words, else 0.
 
     ``n_repeat_words`` counts the words that lie in an 8-word window found twice
     or more in the text. Windows are compared by a 64-bit hash. Texts whose
@@ -81,8 +94,11 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("__lines", lambda x: x.rlike(r"\|.*\|"))).cast("long").alias("n_bar_lines"),
         F.size(F.filter(F.split(bare, " "), lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-        hashes(F.col("__w")).alias("__h"),
+        hashes(F.col("__w")).alias("__h"), "__t",
     )
+    other = F.length(F.regexp_replace(F.lower("__t"), rf"[^\p{{L}}]+|[{_LETTERS}]+", ""))
+    df = df.withColumn("n_other_letters", F.when(50 * F.col("n_stop_words") < F.col("n_words"), other).otherwise(0).cast(
+        "long")).drop("__t")
     df = df.withColumn("__h8", window_hashes(F.col("__h"), 8)).drop("__h")
     again = F.size(F.array_distinct("__h8")) < F.size("__h8")
     df = df.withColumn("__s", F.when(again, F.sort_array(
@@ -104,10 +120,11 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     sides = []
     for r in rules:
         value = STATISTICS[r.statistic]()
+        free = F.lit(False) if r.unless is None else STATISTICS[r.unless]() > r.above
         if r.low is not None:
-            sides.append(value >= r.low)
+            sides.append(free | (value >= r.low))
         if r.high is not None:
-            sides.append(value <= r.high)
+            sides.append(free | (value <= r.high))
     return reduce(lambda a, b: a & b, sides, F.lit(True))
 
 
