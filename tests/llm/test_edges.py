@@ -139,7 +139,7 @@ def test_chat_round_trip(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_twin(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
     cols = sorted(df.columns)
