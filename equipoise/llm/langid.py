@@ -29,6 +29,7 @@ LEVEL = 6
 CARRIER = 64
 SEGMENT = 8192
 MIN_MARGIN = 0.004
+_SLICES = 64
 
 
 @dataclass(frozen=True)
@@ -46,10 +47,13 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     more languages than that allows 1 kB each."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
-    nth = Window.partitionBy("lang").orderBy("h")
-    limits = rows.groupBy("lang", "h").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(nth)).filter(
-        F.col("r") <= max_docs).groupBy("lang").agg(F.max("h").alias("limit")).orderBy("lang").limit(
-            total_bytes // 1000 + 1).collect()
+    # the smallest hashes of each slice of a language, then of the language: a language
+    # of any size is spread over _SLICES groups, and at most _SLICES * max_docs rows meet
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h"))
+    least = rows.groupBy("lang", "h").agg(F.count("*").alias("n")).withColumn("slice", F.pmod("h", F.lit(_SLICES)))
+    least = least.withColumn("r", nth("lang", "slice")).filter(F.col("r") <= max_docs)
+    limits = least.withColumn("r", nth("lang")).filter(F.col("r") <= max_docs).groupBy("lang").agg(
+        F.max("h").alias("limit")).orderBy("lang").limit(total_bytes // 1000 + 1).collect()
     if len(limits) > total_bytes // 1000:
         raise ValueError("too many languages for total_bytes")
     each = min(dict_bytes, total_bytes // max(1, len(limits)))
