@@ -116,18 +116,24 @@ def classify(text: str | None, langs: tuple[str, ...], compressors, min_margin:
     return sizes[0][1], score, score < min_margin
 
 
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a column, a few of them in Python's memory at a time."""
+    for at in range(0, len(column), 64):
+        yield from column.slice(at, 64).to_pylist()
+
+
 def predict(spark: SparkSession, docs: DataFrame, profiles: Profiles, min_margin: float = MIN_MARGIN,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score, rejected) for every row."""
     shared: Broadcast = spark.sparkContext.broadcast(profiles)  # at most total_bytes
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from equipoise.llm.langid import _cached, classify
+        from equipoise.llm.langid import _cached, _texts, classify
 
         p = shared.value
         tools = _cached(p)
         for b in it:
-            got = [classify(t, p.langs, tools, min_margin) for t in b.column(1).to_pylist()]
+            got = [classify(t, p.langs, tools, min_margin) for t in _texts(b.column(1))]
             lang, score, rejected = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
@@ -145,12 +151,12 @@ def keep_identified(spark: SparkSession, docs: DataFrame, profiles: Profiles, mi
     at = docs.columns.index(text_col)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from equipoise.llm.langid import _cached, classify
+        from equipoise.llm.langid import _cached, _texts, classify
 
         p = shared.value
         tools = _cached(p)
         for b in it:
-            yield b.filter(pa.array([not classify(t, p.langs, tools, min_margin)[2] for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([not classify(t, p.langs, tools, min_margin)[2] for t in _texts(b.column(at))], pa.bool_()))
 
     return docs.mapInArrow(batches, docs.schema)
 
