@@ -161,7 +161,7 @@ CUT_ROWS = 100_000
 
 def rank_cuts(df: DataFrame, groups: list[str], u: Column, key: str, places: Callable[[Column], list[Column]],
               ways: int = CUT_WAYS, most_rows: int = CUT_ROWS) -> tuple[DataFrame, Column]:
-    """``df`` with a helper column, and an expression over it: how many of the places
+    """``df`` with helper columns, and an expression over them: how many of the places
     ``places(n)`` (0-based ranks, ``n`` the size of the row's group) a row has reached
     in its group's order by (``u``, ``key``). ``u`` is a number in [0, 1).
 
@@ -205,16 +205,18 @@ def rank_cuts(df: DataFrame, groups: list[str], u: Column, key: str, places: Cal
     near = _null_safe_join(rows.withColumn("__b", F.floor(F.col("__u") * fine).cast("long")), cuts, [*names, "__b"])
     here = Window.partitionBy(*names, "__i").orderBy("__u", "__k")
     edge = near.withColumn("__r", F.row_number().over(here) - 1 + F.col("__first")).where(F.col("__r") == F.col("__p"))
-    edges = materialize(edge.groupBy(*names).agg(F.collect_list(F.struct("__u", "__k")).alias("__cuts")))
+    each = range(len(places(F.lit(0))))
+    edges = materialize(edge.groupBy(*names).agg(*[
+        F.max(F.when(F.col("__i") == i, F.struct("__u", "__k"))).alias(f"__cut{i}") for i in each]))
     there = {n: f"{n}_" for n in names}
     on = F.lit(0) == F.col("__all_")
     for g, n in zip(groups, names[1:]):
         on = on & F.col(g).eqNullSafe(F.col(there[n]))
-    out = df.withColumn("__zero", F.lit(0))
+    out = df.withColumns({"__zero": F.lit(0), "__num": number})  # below the join: one digest a row
     on = (F.col("__zero") == F.col("__all_")) if not groups else on
     out = out.join(sized_broadcast(edges.withColumnsRenamed(there)), on, "left").drop(*there.values(), "__zero")
-    past = lambda c: (number > c["__u"]) | ((number == c["__u"]) & (F.col(key) >= c["__k"]))
-    return out, F.when(F.col("__cuts").isNotNull(), F.size(F.filter("__cuts", past))).otherwise(0)
+    past = lambda c: (F.col("__num") > c["__u"]) | ((F.col("__num") == c["__u"]) & (F.col(key) >= c["__k"]))
+    return out, sum((F.when(past(F.col(f"__cut{i}")), 1).otherwise(0) for i in each), F.lit(0))
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -27,14 +27,20 @@ def random_split(df: DataFrame, key: str, test_size: float = 0.1, seed: int = 20
     return df.where(u >= test_size), df.where(u < test_size)
 
 
+def split_place(key: str, seed: int = 2020) -> Column:
+    """A row's place in [0, 1) in the seeded order of stratified splits and folds."""
+    return hash_u(key, seed, "strat")
+
+
 def stratified_split(df: DataFrame, key: str, target: str, test_size: float = 0.1,
-                     seed: int = 2020) -> tuple[DataFrame, DataFrame]:
+                     seed: int = 2020, place: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Exact per-class test sizes ``round(test_size * n_class)``: the first
     rows of each class by seeded hash. The boundaries come from distributed
     selection (:func:`rank_cuts`), so rows are neither sorted nor moved. Rows with
-    equal keys go to the same side.
+    equal keys go to the same side. ``place`` names a column that already holds the
+    rows' ``split_place``.
     """
-    cut, passed = rank_cuts(df, [target], hash_u(key, seed, "strat"), key,
+    cut, passed = rank_cuts(df, [target], F.col(place) if place else split_place(key, seed), key,
                             lambda n: [F.round(n * F.lit(float(test_size)))])
     cols = [F.col(f"`{c}`") for c in df.columns]
     return cut.where(passed > 0).select(*cols), cut.where(passed == 0).select(*cols)
@@ -44,7 +50,7 @@ def stratified_folds(df: DataFrame, key: str, target: str, folds: int, seed: int
                      fold_col: str = "__fold") -> DataFrame:
     """``df`` with a fold number 0..folds-1: every class in seeded hash order is cut
     into equal parts, so its sizes in two folds differ by one row at most."""
-    cut, passed = rank_cuts(df, [target], hash_u(key, seed, "strat"), key,
+    cut, passed = rank_cuts(df, [target], split_place(key, seed), key,
                             lambda n: [F.floor(n * i / folds) for i in range(1, folds)])
     return cut.select(*[F.col(f"`{c}`") for c in df.columns], passed.cast("int").alias(fold_col))
 

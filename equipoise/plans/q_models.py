@@ -17,6 +17,7 @@ from equipoise.operators.models import (FeatureScore, aux_classifier, balanced_v
                                         difficulty_bands, fit_predict, forest, label_consistency, logistic,
                                         out_of_fold_scores, oversampling_utility, quality_report,
                                         real_fake_test, scoreboard, teacher_score, vector_agreement)
+from equipoise.operators.ordered import materialize
 from equipoise.operators.preprocess import Preprocessor, random_split
 from equipoise.operators.scores import DEFAULT_METRICS, binary_scores
 from equipoise.operators.stages import CodedFeatures
@@ -34,8 +35,9 @@ SEED = 2020
 def _encoded_pair(spark, sf_dir, factor=1.5):
     ds, fake, model = real_fake(spark, sf_dir, factor)
     keep = ["o_orderkey", "urgent"]
-    real = model.transform(ds.df, keep=keep)
-    fk = model.transform(fake.withColumnRenamed("synth_id", "o_orderkey"), keep=keep)
+    # both written once: every measure reads them several times, and the draw is costly
+    real = materialize(model.transform(ds.df, keep=keep))
+    fk = materialize(model.transform(fake.withColumnRenamed("synth_id", "o_orderkey"), keep=keep))
     return ds, real, fk, model
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ def real_fake(spark, sf_dir, factor: float = 1.5, stream: str = "s"):
     """Real urgent-orders table and a 50-50 synthetic draw of ``factor`` x its
     size, both min-max/one-hot encoded by a model fitted on the real rows."""
     ds = orders_urgent(spark, sf_dir)
+    ds = replace(ds, df=materialize(ds.df))  # both fits and the encoder read it
     syn = Synthesizer(ds.target, ds.num_cols, ds.cat_cols, seed=SEED).fit(ds.df)
     n = int(syn.n_rows * factor)
     fake = syn.sample(n, y="50-50", stream=stream)
