@@ -6,26 +6,34 @@ tree's bootstrap draw of a cell of ``n`` rows is a Poisson(n) number, which is w
 ``n`` draws of Poisson(1), one for each row, add up to. Every row takes part in every tree.
 
 ``pyspark.ml`` keeps an integer per row and tree in memory or on disk, and another
-for the tree's node; here a tree is one fit on the cells. Cells are never more than
-rows, and draws are one array per cell.
+for the tree's node; here all trees grow together, one job per level: tasks add up the
+draws of their cells by node, feature, interval and class, and the sums of a stretch of
+nodes meet in a group that picks the splits. Cells are never more than rows, and draws
+are one array per cell. The driver keeps the trees' nodes.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equipoise.functions.concurrent import run_concurrently
 from equipoise.operators.ordered import materialize, sized_broadcast
+from equipoise.session import ensure_checkpoint_dir
 
-#: Trees whose scores are added in one pass over the cells.
-TREES_PER_PASS = 20
+#: Sums that a task keeps as one array; beyond it, it sorts what each batch adds.
+MOST_SUMS = 4_000_000
+#: Nodes whose sums meet in one group.
+NODES_PER_GROUP = 2048
 
 
 def split_points(df: DataFrame, feature_cols: list[str], bins: int) -> list[list[float]]:
@@ -40,7 +48,7 @@ def split_points(df: DataFrame, feature_cols: list[str], bins: int) -> list[list
 def in_cells(df: DataFrame, feature_cols: list[str], points: list[list[float]], keep: list[str]) -> DataFrame:
     """``keep`` and the interval ``__b{i}`` of every feature; a missing value has one of its own."""
     out = df.select(*[F.col(f"`{c}`") for c in keep],
-                    *[F.col(f"`{c}`").cast("double").alias(f"__x{i}") for i, c in enumerate(feature_cols)])
+                    *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))).alias(f"__x{i}") for i, c in enumerate(feature_cols)])
     edges = [[-float("inf"), *(p or [0.0]), float("inf")] for p in points]
     at = range(len(feature_cols))
     cut = Bucketizer(splitsArray=edges, inputCols=[f"__x{i}" for i in at], outputCols=[f"__b{i}" for i in at],
@@ -66,41 +74,193 @@ def with_draws(cells: DataFrame, n_trees: int, seed: int, names: list[str]) -> D
     return cells.mapInArrow(draw, schema)
 
 
+def features_per_node(strategy: str, n_features: int, trees: int) -> int:
+    """``featureSubsetStrategy`` as a number of features (the rules of ``pyspark.ml``)."""
+    if strategy == "auto":
+        strategy = "sqrt" if trees > 1 else "all"
+    known = {"all": n_features, "sqrt": math.ceil(math.sqrt(n_features)), "onethird": math.ceil(n_features / 3),
+             "log2": max(1, math.ceil(math.log2(n_features)))}
+    if strategy in known:
+        return known[strategy]
+    return min(int(strategy), n_features) if strategy.isdigit() else math.ceil(float(strategy) * n_features)
+
+
+@dataclass
+class Trees:
+    """Nodes of all trees, numbered level by level; tree ``t`` begins at node ``t``. A
+    node with a ``feature`` sends intervals up to ``cut`` to node ``left``, others to the
+    next one; ``counts`` has its draws by class."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    counts: np.ndarray
+
+    def reached(self, x: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The nodes that ``x[rows]`` end in, beginning at the nodes ``at``."""
+        moving = np.flatnonzero(self.feature[at] >= 0)
+        while len(moving):
+            node = at[moving]
+            at[moving] = self.left[node] + (x[rows[moving], self.feature[node]] > self.cut[node])
+            moving = moving[self.feature[at[moving]] >= 0]
+        return at
+
+
+def _columns(b: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in names], axis=1).astype("int16")
+
+
+def grown(drawn: DataFrame, names: list[str], n_bins: int, n_classes: int, trees: int, depth: int, per_node: int,
+          least_rows: int, least_share: float, seed: int) -> Trees:
+    """Trees of Gini splits, grown on cells: the intervals ``names``, the class ``__y`` (0, 1, ...)
+    and ``__draws``. A child has ``least_rows`` draws and ``least_share`` of its tree's at least."""
+    total = drawn.groupBy("__y").agg(*[F.sum(F.col("__draws")[t]).alias(f"t{t}") for t in range(trees)]).collect()  # a row per class
+    counts = np.zeros((trees, n_classes))
+    for r in total:
+        counts[:, int(r["__y"])] = [r[f"t{t}"] for t in range(trees)]
+    least = np.maximum(least_rows, least_share * counts.sum(1))
+    of_tree, none = np.arange(trees), np.full(trees, -1, "int32")
+    forest = Trees(none, none.copy(), none.copy(), counts)
+    first = 0
+    for level in range(depth):
+        here = np.arange(first, len(forest.feature))
+        n = forest.counts[here].sum(1)
+        open_ = here[(n >= 2 * least[of_tree[here]]) & (forest.counts[here].max(1) < n)]
+        if not len(open_):
+            break
+        first = len(forest.feature)
+        tried = np.random.default_rng([seed, level]).random((len(open_), len(names))).argsort(1)[:, :per_node].astype("int16")
+        found = _splits(drawn, names, forest, open_, tried, least[of_tree[open_]], n_bins, n_classes).toPandas()
+        found = found.sort_values("place")  # a row per split node, in a fixed order
+        node, left = open_[found["place"].to_numpy()], first + 2 * np.arange(len(found), dtype="int32")
+        forest.feature[node] = tried[found["place"], found["of"]]
+        forest.cut[node], forest.left[node] = found["cut"], left
+        lower = np.array(found["lower"].tolist()).reshape(len(found), n_classes)
+        children = np.stack([lower, forest.counts[node] - lower], axis=1).reshape(-1, n_classes)
+        more = np.full(len(children), -1, "int32")
+        of_tree = np.concatenate([of_tree, np.repeat(of_tree[node], 2)])
+        forest = Trees(*[np.concatenate([old, more]) for old in (forest.feature, forest.cut, forest.left)],
+                       np.concatenate([forest.counts, children]))
+    return forest
+
+
+def _splits(drawn: DataFrame, names: list[str], forest: Trees, nodes: np.ndarray, tried: np.ndarray, least: np.ndarray,
+            n_bins: int, n_classes: int) -> DataFrame:
+    """(place, of, cut, lower): the best split of each of ``nodes`` that has one, by its place
+    there; ``of`` is the feature's place in ``tried``, ``lower`` the draws by class up to the cut."""
+    per_node, stride = tried.shape[1], tried.shape[1] * n_bins * n_classes
+    place = np.full(len(forest.feature), -1, "int64")
+    place[nodes] = np.arange(len(nodes))
+    per_group, dense = NODES_PER_GROUP * stride, len(nodes) * stride <= MOST_SUMS
+
+    def parts(key, n):
+        key, n = key.astype("int64"), n.astype("int64")
+        of = key // per_group
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
+        ends = [*starts[1:], len(of)]
+        if len(starts):
+            yield pa.RecordBatch.from_arrays([
+                pa.array(of[starts], pa.int64()), pa.array([key[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()),
+                pa.array([n[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())], ["part", "key", "n"])
+
+    def add_up(batches):
+        sums = np.zeros(len(nodes) * stride) if dense else None
+        for b in batches:
+            x, y = _columns(b, names), b.column(b.schema.get_field_index("__y")).to_numpy().astype("int64")
+            w = b.column(b.schema.get_field_index("__draws")).flatten().to_numpy().reshape(b.num_rows, -1)
+            rows, tree = np.nonzero(w)
+            w = w[rows, tree]
+            at = place[forest.reached(x, rows, tree.astype("int64"))]
+            on = at >= 0
+            rows, w, at = rows[on], w[on], at[on]
+            keys = [((at * per_node + j) * n_bins + x[rows, tried[at, j]]) * n_classes + y[rows] for j in range(per_node)]
+            if dense:
+                for key in keys:
+                    sums += np.bincount(key, w, len(sums))
+            else:
+                key, back = np.unique(np.concatenate(keys), return_inverse=True)
+                yield from parts(key, np.bincount(back, np.tile(w, per_node)))
+        if dense:
+            key = np.flatnonzero(sums)
+            yield from parts(key, sums[key])
+
+    def pick(table):
+        part = table.column("part")[0].as_py()
+        begin = part * NODES_PER_GROUP
+        size = min(NODES_PER_GROUP, len(nodes) - begin)
+        key, n = (np.concatenate([np.frombuffer(v.as_buffer(), "int64") for v in table.column(c)]) for c in ("key", "n"))
+        lower = np.bincount(key - part * per_group, n, size * stride).reshape(size, per_node, n_bins, n_classes).cumsum(2)
+        whole = lower[:, :, -1:, :]
+        upper = whole - lower
+        nl, nu, nw = lower.sum(3), upper.sum(3), whole.sum(3)
+        # n times the impurity: n - sum of squares / n
+        purity = lambda c, m: (c * c).sum(3) / np.maximum(m, 1)
+        gain = (purity(lower, nl) + purity(upper, nu) - purity(whole, nw)) / np.maximum(nw, 1)
+        need = least[begin:begin + size, None, None]
+        gain = np.where((nl >= need) & (nu >= need), gain, -1.0).reshape(size, -1)
+        best = gain.argmax(1)
+        good = np.flatnonzero(gain[np.arange(size), best] > 1e-12)
+        of, cut = np.divmod(best[good], n_bins)
+        return pa.table({"place": pa.array(begin + good, pa.int64()), "of": pa.array(of, pa.int64()), "cut": pa.array(cut, pa.int64()),
+                         "lower": pa.array(list(lower[good, of, cut]), pa.list_(pa.float64()))})
+
+    sums = drawn.mapInArrow(add_up, "part long, key binary, n binary")
+    return sums.groupBy("part").applyInArrow(pick, "place long, of long, cut long, lower array<double>")
+
+
+def with_probabilities(cells: DataFrame, names: list[str], forest: Trees, trees: int) -> DataFrame:
+    """``names`` and ``__p``, the mean over the trees of the class shares in the leaf that a cell ends in."""
+    share = forest.counts / forest.counts.sum(1, keepdims=True)
+
+    def score(batches):
+        for b in batches:
+            x, rows = _columns(b, names), np.repeat(np.arange(b.num_rows), trees)
+            leaf = forest.reached(x, rows, np.tile(np.arange(trees), b.num_rows))
+            p = share[leaf].reshape(b.num_rows, trees, -1).mean(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(p), pa.list_(pa.float64()))], [*names, "__p"])
+
+    own = cells.select(*names)
+    return own.mapInArrow(score, T.StructType([*own.schema.fields, T.StructField("__p", T.ArrayType(T.DoubleType()))]))
+
+
 def counted_scores(est: RandomForestClassifier, train: DataFrame, test: DataFrame, feature_cols: list[str],
-                   label: str, keep: list[str]) -> DataFrame:
-    """``keep`` and ``p``, the class-1 probability by a forest of ``est``'s settings fitted
-    on the written table ``train``, for every row of ``test``."""
+                   label: str, keep: list[str], n_classes: int = 2) -> DataFrame:
+    """``keep`` and ``probabilities``, one of each class (labels 0, 1, ...) by a forest of
+    ``est``'s settings fitted on the written table ``train``, for every row of ``test``."""
     trees, seed, bins = est.getNumTrees(), est.getSeed(), est.getMaxBins()
     names = [f"__b{i}" for i in range(len(feature_cols))]
     points = split_points(train, feature_cols, bins - 2)  # an interval more than points, and that of missing values
-    cells = in_cells(train.withColumn("__y", F.col(f"`{label}`").cast("double")), feature_cols, points, ["__y"])
-    cells = cells.groupBy("__y", *names).agg(F.count(F.lit(1)).alias("__n"))
-    drawn = materialize(with_draws(materialize(cells), trees, seed, ["__y", *names]))
-    total = drawn.agg(F.sum("__n")).first()[0]
-    vector = VectorAssembler(inputCols=names, outputCol="__v")
-    table = vector.transform(drawn)
-
-    # the least size of a node is one of rows; a cell is many of them
-    least = max(est.getMinInstancesPerNode() / total, est.getMinWeightFractionPerNode())
-    subset = est.getFeatureSubsetStrategy()
-    one = {"numTrees": 1, "bootstrap": False, "featuresCol": "__v", "labelCol": "__y", "weightCol": "__w",
-           "predictionCol": "", "rawPredictionCol": "", "minInstancesPerNode": 1, "minWeightFractionPerNode": least,
-           "featureSubsetStrategy": "sqrt" if subset == "auto" and trees > 1 else subset}
-
-    def grown(t):
-        own = est.copy({est.getParam(k): v for k, v in {**one, "seed": seed + t, "probabilityCol": f"__p{t}"}.items()})
-        return own.fit(table.withColumn("__w", F.col("__draws")[t].cast("double")).where("__w > 0"))
-
-    models = run_concurrently([lambda t=t: grown(t) for t in range(trees)])
-
+    cells = in_cells(train.withColumn("__y", F.col(f"`{label}`").cast("int")), feature_cols, points, ["__y"])
+    cells = materialize(cells.groupBy("__y", *names).agg(F.count(F.lit(1)).alias("__n")))
+    # every level reads them: equal parts for all cores
+    cells = cells.repartition(cells.sparkSession.sparkContext.defaultParallelism)
+    drawn = materialize(with_draws(cells, trees, seed, ["__y", *names]).select("__y", *names, "__draws"))
+    model = grown(drawn, names, bins, n_classes, trees, est.getMaxDepth(),
+                  features_per_node(est.getFeatureSubsetStrategy(), len(names), trees),
+                  est.getMinInstancesPerNode(), est.getMinWeightFractionPerNode(), seed)
     rows = in_cells(test, feature_cols, points, keep)
-    found = materialize(vector.transform(materialize(rows.select(*names).distinct())).withColumn("__sum", F.lit(0.0)))
-    for first in range(0, trees, TREES_PER_PASS):
-        several = range(first, min(first + TREES_PER_PASS, trees))
-        scored = found
-        for t in several:
-            scored = models[t].transform(scored)
-        more = sum((vector_to_array(f"__p{t}").getItem(1) for t in several), F.col("__sum"))
-        found = materialize(scored.select(*names, "__v", more.alias("__sum")))
-    found = sized_broadcast(found.select(*names, (F.col("__sum") / F.lit(float(trees))).alias("p")))
-    return rows.join(found, names).select(*[F.col(f"`{c}`") for c in keep], "p")
+    found = materialize(with_probabilities(materialize(rows.select(*names).distinct()), names, model, trees))
+    return rows.join(sized_broadcast(found), names).select(*[F.col(f"`{c}`") for c in keep], F.col("__p").alias("probabilities"))
+
+
+def cell_scores(model: RandomForestClassificationModel, assemble, test: DataFrame, feature_cols: list[str],
+                keep: list[str]) -> DataFrame:
+    """``keep`` and ``p``, the class-1 probability by a fitted forest, for every row of ``test``.
+    Rows that lie between the same split points of every feature end in the same leaves, so one
+    row of each such cell is scored; ``assemble`` gives rows their feature vector."""
+    path = f"{ensure_checkpoint_dir(test.sparkSession).rstrip('/')}/forest-{uuid.uuid4().hex}"
+    model.write().save(path)
+    nodes = test.sparkSession.read.parquet(f"{path}/data").select("nodeData.split.featureIndex", F.element_at(
+        "nodeData.split.leftCategoriesOrThreshold", 1).alias("x")).where("featureIndex >= 0")
+    points = [[] for _ in feature_cols]
+    for r in nodes.groupBy("featureIndex").agg(F.collect_set("x").alias("x")).collect():  # at most maxBins a feature
+        points[r["featureIndex"]] = sorted(r["x"])
+    # a split sends values up to its point to the left: the place is the number of points below the value
+    names = [f"__b{i}" for i in range(len(feature_cols))]
+    below = lambda x, at: sum((F.when(x <= F.lit(p), 0).otherwise(1) for p in at), F.lit(0))
+    places = [below(F.col(f"`{c}`"), at).alias(n) for c, at, n in zip(feature_cols, points, names)]
+    rows = test.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, *feature_cols])], *places)
+    one = rows.groupBy(*names).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in feature_cols])).alias("__x"))
+    scored = model.transform(assemble(materialize(one.select(*names, "__x.*")), feature_cols))
+    found = materialize(scored.select(*names, vector_to_array("probability").getItem(1).alias("p")))
+    return rows.join(sized_broadcast(found), names).select(*[F.col(f"`{c}`") for c in keep], "p")
