@@ -112,8 +112,9 @@ def e16_scoreboard(spark, sf_dir):
     ds = orders_urgent(spark, sf_dir)
     train, test = random_split(ds.df, "o_orderkey", 0.1, SEED)
     model = Preprocessor(ds.num_cols, ds.cat_cols).fit(train)
-    tr, te = (model.transform(d, keep=["o_orderkey", "urgent"]) for d in (train, test))
-    clfs = [("rfc", forest("oversampling", seed=SEED)), ("logit", logistic(train.count()))]
+    # written once: every classifier reads both
+    tr, te = (materialize(model.transform(d, keep=["o_orderkey", "urgent"])) for d in (train, test))
+    clfs = [("rfc", forest("oversampling", seed=SEED)), ("logit", logistic(tr.count()))]
     return scoreboard(tr, te, model.output_columns(), "urgent", clfs, "o_orderkey", True, 100, SEED)
 
 
@@ -255,8 +256,8 @@ def a23_metric_history_sink(spark, sf_dir):
     ds, real, fk, model = _encoded_pair(spark, sf_dir)
     rep = quality_report(real, fk, model.output_columns(), len(model.kept_num_cols), "urgent", "o_orderkey",
                          with_utility=False)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/runs/metrics-{uuid.uuid4().hex[:8]}"
     rep = materialize(rep)  # computed once for both iterations
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/runs/metrics-{uuid.uuid4().hex[:8]}"
     for it in (1, 2):
         append_metrics(rep.select(F.lit("orders_urgent").alias("run_id"), F.lit(it).alias("iter"),
                                   "metric", "value"), path)
