@@ -255,11 +255,10 @@ def cell_scores(model: RandomForestClassificationModel, assemble, test: DataFram
     points = [[] for _ in feature_cols]
     for r in nodes.groupBy("featureIndex").agg(F.collect_set("x").alias("x")).collect():  # at most maxBins a feature
         points[r["featureIndex"]] = sorted(r["x"])
-    # a split sends values up to its point to the left: the place is the number of points below the value
+    # a split sends values up to its point to the left, an interval begins at its lower end
+    points = [[float(np.nextafter(x, np.inf)) for x in at] for at in points]
     names = [f"__b{i}" for i in range(len(feature_cols))]
-    below = lambda x, at: sum((F.when(x <= F.lit(p), 0).otherwise(1) for p in at), F.lit(0))
-    places = [below(F.col(f"`{c}`"), at).alias(n) for c, at, n in zip(feature_cols, points, names)]
-    rows = test.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, *feature_cols])], *places)
+    rows = in_cells(test, feature_cols, points, list(dict.fromkeys([*keep, *feature_cols])))
     one = rows.groupBy(*names).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in feature_cols])).alias("__x"))
     scored = model.transform(assemble(materialize(one.select(*names, "__x.*")), feature_cols))
     found = materialize(scored.select(*names, vector_to_array("probability").getItem(1).alias("p")))
