@@ -20,6 +20,15 @@ def clip01(col: Column | str) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(x, F.lit(1.0))))
 
 
+def round_9(x: Column) -> Column:
+    """``round(x, 9)``, the same number, without a decimal per row: inside (-1, 1) and clear
+    of a tie the nearest integer of 1e9 x is exact, and so is its quotient. ``x`` should be
+    a column, as it is read several times."""
+    v = x * F.lit(1e9)
+    clear = (F.abs(x) < 1.0) & (F.abs(v - F.floor(v).cast("double") - 0.5) > 1e-6)
+    return F.when(clear, F.floor(v + 0.5).cast("double") / F.lit(1e9)).otherwise(F.round(x, 9))
+
+
 def target_equals(col: Column | str, value) -> Column:
     """1 when the column equals the literal, else 0 (null -> 0)."""
     return F.when(_c(col) == F.lit(value), 1).otherwise(0).cast("int")

@@ -21,7 +21,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,22 +37,64 @@ NODES_PER_GROUP = 2048
 
 def split_points(df: DataFrame, feature_cols: list[str], bins: int) -> list[list[float]]:
     """For each feature the places it may be split at: the approximate ``bins``-quantiles
-    of all rows with the maximum, without the minimum (``bins`` numbers per column)."""
+    of all rows with the maximum, without the minimum (``bins`` numbers per column). An
+    indicator, a column of zeros and ones, needs no quantiles."""
+    x = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) for c in feature_cols]
+    kinds = df.agg(*[F.bit_or(F.when(v == 0.0, 1).when(v == 1.0, 2).when(v.isNotNull(), 4).otherwise(0)).alias(f"q{i}")
+                     for i, v in enumerate(x)]).first()
+    points = {i: [1.0] if k == 3 else [] for i, k in enumerate(kinds) if (k or 0) < 4}
     probs = [i / bins for i in range(bins + 1)]
-    row = df.agg(*[F.percentile_approx(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)), probs, 1000).alias(f"q{i}")
-                   for i, c in enumerate(feature_cols)]).first()
-    return [sorted(set(q or [0.0]))[1:] for q in row]
+    other = [i for i in range(len(x)) if i not in points]
+    if other:
+        row = df.agg(*[F.percentile_approx(x[i], probs, 1000).alias(f"q{i}") for i in other]).first()
+        points.update({i: sorted(set(q))[1:] for i, q in zip(other, row)})
+    return [points[i] for i in range(len(x))]
 
 
 def in_cells(df: DataFrame, feature_cols: list[str], points: list[list[float]], keep: list[str]) -> DataFrame:
-    """``keep`` and the interval ``__b{i}`` of every feature; a missing value has one of its own."""
+    """``keep`` and the interval ``__b{i}`` of every feature (how many of its points are at
+    most the value); a missing value has one of its own, the last. Intervals are never null, so
+    a join by them puts no test of them below a split of the rows."""
     out = df.select(*[F.col(f"`{c}`") for c in keep],
                     *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))).alias(f"__x{i}") for i, c in enumerate(feature_cols)])
-    edges = [[-float("inf"), *(p or [0.0]), float("inf")] for p in points]
-    at = range(len(feature_cols))
-    cut = Bucketizer(splitsArray=edges, inputCols=[f"__x{i}" for i in at], outputCols=[f"__b{i}" for i in at],
-                     handleInvalid="keep")
-    return cut.transform(out).drop(*[f"__x{i}" for i in at])
+    points = [p or [0.0] for p in points]
+
+    def interval(x, p, low, high):  # one of low .. high: a tree of comparisons
+        if low == high:
+            return F.lit(low)
+        at = (low + high) // 2
+        return F.when(x < float(p[at]), interval(x, p, low, at)).otherwise(interval(x, p, at + 1, high))
+
+    x = [F.col(f"__x{i}") for i in range(len(points))]
+    return out.select(*[F.col(f"`{c}`") for c in keep],
+                      *[F.when(F.isnan(x[i]), len(p) + 1).otherwise(interval(x[i], p, 0, len(p))).alias(f"__b{i}")
+                        for i, p in enumerate(points)])
+
+
+def cell_bits(points: list[list[float]]) -> list[tuple[int, int, int]]:
+    """(code, shift, bits) of each feature's interval when a cell is written as a few longs."""
+    out, code, shift = [], 0, 0
+    for p in points:
+        bits = (len(p or [0.0]) + 1).bit_length()  # intervals 0 .. points + 1
+        if shift + bits > 62:
+            code, shift = code + 1, 0
+        out.append((code, shift, bits))
+        shift += bits
+    return out
+
+
+def packed(df: DataFrame, points: list[list[float]], keep: list[str]) -> DataFrame:
+    """``keep`` and the codes ``__c{i}`` of the rows' cells: few keys to group and join by."""
+    codes = {}
+    for i, (code, shift, _) in enumerate(cell_bits(points)):
+        codes[code] = codes.get(code, F.lit(0).cast("long")) + F.shiftleft(F.col(f"__b{i}").cast("long"), shift)
+    return df.select(*[F.col(f"`{c}`") for c in keep], *[v.alias(f"__c{i}") for i, v in codes.items()])
+
+
+def unpacked(df: DataFrame, points: list[list[float]], keep: list[str]) -> DataFrame:
+    """``keep`` and the intervals ``__b{i}`` of the codes of :func:`packed`."""
+    return df.select(*keep, *[F.shiftright(f"__c{code}", shift).bitwiseAND((1 << bits) - 1).cast("double").alias(f"__b{i}")
+                              for i, (code, shift, bits) in enumerate(cell_bits(points))])
 
 
 def with_draws(cells: DataFrame, n_trees: int, seed: int, names: list[str]) -> DataFrame:
@@ -231,16 +272,19 @@ def counted_scores(est: RandomForestClassifier, train: DataFrame, test: DataFram
     names = [f"__b{i}" for i in range(len(feature_cols))]
     points = split_points(train, feature_cols, bins - 2)  # an interval more than points, and that of missing values
     cells = in_cells(train.withColumn("__y", F.col(f"`{label}`").cast("int")), feature_cols, points, ["__y"])
-    cells = materialize(cells.groupBy("__y", *names).agg(F.count(F.lit(1)).alias("__n")))
+    codes = [f"__c{i}" for i in range(cell_bits(points)[-1][0] + 1)]
+    cells = packed(cells, points, ["__y"]).groupBy("__y", *codes).agg(F.count(F.lit(1)).alias("__n"))
+    cells = materialize(unpacked(cells, points, ["__y", "__n"]).select("__y", *names, "__n"))
     # every level reads them: equal parts for all cores
     cells = cells.repartition(cells.sparkSession.sparkContext.defaultParallelism)
     drawn = materialize(with_draws(cells, trees, seed, ["__y", *names]).select("__y", *names, "__draws"))
     model = grown(drawn, names, bins, n_classes, trees, est.getMaxDepth(),
                   features_per_node(est.getFeatureSubsetStrategy(), len(names), trees),
                   est.getMinInstancesPerNode(), est.getMinWeightFractionPerNode(), seed)
-    rows = in_cells(test, feature_cols, points, keep)
-    found = materialize(with_probabilities(materialize(rows.select(*names).distinct()), names, model, trees))
-    return rows.join(sized_broadcast(found), names).select(*[F.col(f"`{c}`") for c in keep], F.col("__p").alias("probabilities"))
+    rows = packed(in_cells(test, feature_cols, points, keep), points, keep)
+    there = unpacked(rows.select(*codes).distinct(), points, [])
+    found = packed(materialize(with_probabilities(materialize(there), names, model, trees)), points, ["__p"])
+    return rows.join(sized_broadcast(found), codes).select(*[F.col(f"`{c}`") for c in keep], F.col("__p").alias("probabilities"))
 
 
 def cell_scores(model: RandomForestClassificationModel, assemble, test: DataFrame, feature_cols: list[str],

@@ -219,6 +219,13 @@ def rank_cuts(df: DataFrame, groups: list[str], u: Column, key: str, places: Cal
     return out, sum((F.when(past(F.col(f"__cut{i}")), 1).otherwise(0) for i in each), F.lit(0))
 
 
+def compiled_apart(df: DataFrame, parts: int) -> DataFrame:
+    """``df``, whose steps Spark compiles apart from those that follow. Joins and long
+    expressions in a row become one Java method, and the JVM only interprets methods of
+    more than 8000 bytes. ``df`` has at most ``parts`` partitions, so no row is moved."""
+    return df.coalesce(parts)
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on keys that may be null; ``right`` may carry a broadcast hint."""
     there = {k: f"{k}_" for k in keys}

@@ -36,8 +36,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from equipoise.functions.random import hash_normal, hash_u
-from equipoise.functions.scalar import clip01
-from equipoise.operators.ordered import group_quantiles, materialize, prefix_sums, sized_broadcast
+from equipoise.functions.scalar import clip01, round_9
+from equipoise.operators.ordered import compiled_apart, group_quantiles, materialize, prefix_sums, sized_broadcast
 
 log = logging.getLogger(__name__)
 
@@ -216,7 +216,9 @@ class Synthesizer:
                     terms = terms + F.lit(factor[i][j]) * F.col(f"__z{j}")
                 mixed[f"__m{i}"] = F.when(F.col("y") == y, terms).otherwise(mixed[f"__m{i}"])
         rows = rows.withColumns(mixed).withColumns({f"__t{i}": cdf_step(F.col(f"__m{i}")) for i, _ in each})
-        return rows.withColumns({f"__u{i}": normal_cdf(F.col(f"__m{i}"), F.col(f"__t{i}")) for i, _ in each})
+        rows = rows.withColumns({f"__p{i}": normal_tail(F.col(f"__m{i}"), F.col(f"__t{i}")) for i, _ in each})
+        rows = rows.withColumns({f"__p{i}": round_9(F.col(f"__p{i}")) for i, _ in each})
+        return rows.withColumns({f"__u{i}": normal_cdf(F.col(f"__m{i}"), F.col(f"__p{i}")) for i, _ in each})
 
     def _pair_information(self, data: DataFrame) -> list[tuple[str, str, float]]:
         """(column, later column, mutual information given the class), a null being a
@@ -286,8 +288,9 @@ class Synthesizer:
         spark = spark or self.prior.sparkSession
         seed = self.seed if seed is None else seed
         n = int(n)
-        # at least one partition per core of the cluster, more for very large draws
-        parts = max(spark.sparkContext.defaultParallelism, math.ceil(n / ROWS_PER_SAMPLE_PARTITION))
+        # one partition per core of the cluster, or equal rounds of them for very large draws
+        cores = spark.sparkContext.defaultParallelism
+        parts = cores * max(1, math.ceil(n / (cores * ROWS_PER_SAMPLE_PARTITION)))
         ids = spark.range(0, n, numPartitions=parts).select(F.col("id").alias("synth_id"))
         if self.condition:
             rows = label_plan(ids, n, y)
@@ -300,7 +303,7 @@ class Synthesizer:
             rows = ids.withColumn("y", F.when(u_y < F.lit(float(p0)), 0).otherwise(1))
         for j in self._draw_order():
             rows = self._draw_cat(rows, j, self.cat_cols[j], seed, stream, soft)
-        rows = self._draw_num(rows, seed, stream)
+        rows = self._draw_num(rows, seed, stream, parts)
         out = [F.col("synth_id"), F.col("y").cast("int").alias(self.target)]
         out += [F.col(c) for c in self.num_cols]
         out += [F.col(c).try_cast(self.cat_types.get(c, "string")).alias(c) for c in self.cat_cols]
@@ -414,10 +417,11 @@ class Synthesizer:
         of = lambda i: F.coalesce(F.col(f"__ck_{i}"), F.col(f"__wk_{i}")) if cell is not None else F.col(f"__wk_{i}")
         return rows.select(*keep, *[of(i).alias(f"__k{i}") for i in range(len(self.num_cols))])
 
-    def _draw_num(self, rows: DataFrame, seed: int, stream: str) -> DataFrame:
+    def _draw_num(self, rows: DataFrame, seed: int, stream: str, parts: int) -> DataFrame:
         if not self.num_cols:
             return rows
-        rows = self._with_uniforms(self._with_knots(rows), seed, stream)
+        # levels and uniforms compile apart from knots and what the caller adds to them
+        rows = self._with_knots(compiled_apart(self._with_uniforms(rows, seed, stream), parts))
         km1 = float(self.n_knots - 1)
         drawn = [interpolate(F.col(f"__k{i}"), F.col(f"__u{i}"), km1).alias(c) for i, c in enumerate(self.num_cols)]
         base = [x for x in rows.columns if not x.startswith("__")]
@@ -564,18 +568,22 @@ def cdf_step(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.lit(CDF_P) * F.abs(z))
 
 
-def normal_cdf(z: Column, t: Column) -> Column:
-    """Normal distribution function at ``z``, with ``t = cdf_step(z)``, rounded to 9
-    digits and below 1."""
+def normal_tail(z: Column, t: Column) -> Column:
+    """Normal distribution function at ``-abs(z)``, with ``t = cdf_step(z)``."""
     poly = F.lit(0.0)
     for b in reversed(CDF_B):
         poly = (poly + F.lit(b)) * t
-    tail = F.round(F.lit(1.0 / math.sqrt(2.0 * math.pi)) * F.exp(F.lit(-0.5) * z * z) * poly, 9)
+    return F.lit(1.0 / math.sqrt(2.0 * math.pi)) * F.exp(F.lit(-0.5) * z * z) * poly
+
+
+def normal_cdf(z: Column, tail: Column) -> Column:
+    """Normal distribution function at ``z``, with its ``normal_tail`` rounded to 9
+    digits, and below 1."""
     return F.least(F.when(z < 0, tail).otherwise(F.lit(1.0) - tail), F.lit(1.0 - 1e-9))
 
 
 def normal_cdf_sql(z: str) -> str:
-    """:func:`normal_cdf` as DuckDB SQL."""
+    """:func:`normal_cdf` of the rounded tail as DuckDB SQL."""
     d = lambda x: f"CAST('{float(x)!r}' AS DOUBLE)"
     t = f"({d(1.0)} / ({d(1.0)} + {d(CDF_P)} * abs(z)))"
     poly = d(0.0)
