@@ -10,6 +10,9 @@ for the tree's node; here all trees grow together, one job per level: tasks add
 draws of their cells by node, feature, interval and class, and the sums of a stretch of
 nodes meet in a group that picks the splits. Cells are never more than rows, and draws
 are one array per cell. The driver keeps the trees' nodes.
+
+Deep trees on few cells, whatever the rows, grow whole: each task has all cells, grows some
+trees and scores the cells asked for, and no tree leaves its task.
 """
 
 from __future__ import annotations
@@ -33,6 +36,12 @@ from equipoise.session import ensure_checkpoint_dir
 MOST_SUMS = 4_000_000
 #: Nodes whose sums meet in one group.
 NODES_PER_GROUP = 2048
+#: Trees that may have more levels than this grow whole, if there are no more cells than CELLS_PER_TASK.
+DEEP = 20
+CELLS_PER_TASK = 500_000
+TREES_PER_TASK = 10
+#: Cells whose scores meet in one group.
+SCORES_PER_GROUP = 100_000
 
 
 def split_points(df: DataFrame, feature_cols: list[str], bins: int) -> list[list[float]]:
@@ -264,6 +273,97 @@ def with_probabilities(cells: DataFrame, names: list[str], forest: Trees, trees:
     return own.mapInArrow(score, T.StructType([*own.schema.fields, T.StructField("__p", T.ArrayType(T.DoubleType()))]))
 
 
+def grown_whole(x: np.ndarray, y: np.ndarray, w: np.ndarray, n_bins: int, n_classes: int, depth: int, per_node: int,
+                least: float, rng: np.random.Generator) -> Trees:
+    """A tree like those of :func:`grown`, of the cells ``x`` with the classes ``y`` and draws ``w``, in memory."""
+    rows = np.flatnonzero(w)
+    at = np.zeros(len(rows), "int64")  # the row's place among the nodes of a level
+    counts = np.bincount(y, w, n_classes)[None]
+    levels, first = [], 0
+    for level in range(depth + 1):
+        feature, cut, left = (np.full(len(counts), -1, "int32") for _ in range(3))
+        levels.append((feature, cut, left, counts))
+        n = counts.sum(1)
+        open_ = np.flatnonzero((n >= 2 * least) & (counts.max(1) < n)) if level < depth else []
+        if not len(open_):
+            break
+        place = np.full(len(counts), -1, "int64")
+        place[open_] = np.arange(len(open_))
+        on = place[at] >= 0
+        rows, at, whole = rows[on], place[at[on]], counts[open_]
+        tried = rng.random((len(open_), x.shape[1])).argsort(1)[:, :per_node]
+        key = ((at[:, None] * per_node + np.arange(per_node)) * n_bins + x[rows[:, None], tried[at]]).ravel()
+        order = key.argsort()
+        key, of = key[order], order // per_node
+        last = np.flatnonzero(np.r_[key[1:] != key[:-1], True])  # a cut comes after an interval that has rows
+        try_, bin_ = np.divmod(key[last], n_bins)
+        node = try_ // per_node
+        before = np.repeat(whole, per_node, axis=0).cumsum(0) - np.repeat(whole, per_node, axis=0)
+        lower = np.stack([np.where(y[rows[of]] == c, w[rows[of]], 0).cumsum()[last] for c in range(n_classes)], axis=1) - before[try_]
+        upper = whole[node] - lower
+        nl, nu, nw = lower.sum(1), upper.sum(1), whole.sum(1)
+        purity = lambda c, m: (c * c).sum(1) / np.maximum(m, 1)
+        gain = (purity(lower, nl) + purity(upper, nu) - purity(whole, nw)[node]) / nw[node]
+        gain = np.where((nl >= least) & (nu >= least) & (nu > 0), gain, -1.0)
+        best = np.maximum.reduceat(gain, np.flatnonzero(np.r_[True, node[1:] != node[:-1]]))
+        at_best = np.flatnonzero(gain == best[node])
+        at_best = at_best[np.r_[True, node[at_best][1:] != node[at_best][:-1]]]  # one of each open node
+        good = np.flatnonzero(best > 1e-12)
+        if not len(good):
+            break
+        found, first = at_best[good], first + len(counts)
+        feature[open_[good]], cut[open_[good]] = tried[good, try_[found] % per_node], bin_[found]
+        left[open_[good]] = first + 2 * np.arange(len(good))
+        child = np.full(len(open_), -1, "int64")
+        child[good] = 2 * np.arange(len(good))
+        on = child[at] >= 0
+        rows, at = rows[on], at[on]
+        at = child[at] + (x[rows, feature[open_[at]]] > cut[open_[at]])
+        counts = np.stack([lower[found], upper[found]], axis=1).reshape(-1, n_classes)
+    return Trees(*[np.concatenate(part) for part in zip(*levels)])
+
+
+def whole_trees_scores(cells: DataFrame, there: DataFrame, names: list[str], n_bins: int, n_classes: int, trees: int, depth: int,
+                       per_node: int, least_rows: int, least_share: float, seed: int) -> DataFrame:
+    """``names`` and ``__p`` as by :func:`with_probabilities` for the cells ``there``, by trees that tasks grow
+    whole on all of ``cells`` (their ``__y`` and ``__n``). The sums hang neither on the tasks' order nor on the cores."""
+    def collected(df):  # at most CELLS_PER_TASK rows, in a fixed order
+        return df.toArrow().sort_by([(c, "ascending") for c in df.columns])
+
+    whole = [F.col(c).cast("short") for c in names]
+    own, asked = collected(cells.select(*whole, F.col("__y").cast("short"), "__n")), collected(there.select(*whole))
+    x, asked = (np.stack([t.column(c).to_numpy() for c in names], axis=1) for t in (own, asked))
+    y, n = own.column("__y").to_numpy(), own.column("__n").to_numpy()
+
+    def grow(batches):
+        sums, first = np.zeros((len(asked), n_classes)), None
+        for t in (t for b in batches for t in b.column(0).to_pylist()):
+            first = t if first is None else first
+            rng = np.random.default_rng([seed, t])
+            w = rng.poisson(n)
+            while not w.any():
+                w = rng.poisson(n)
+            tree = grown_whole(x, y, w, n_bins, n_classes, depth, per_node, max(least_rows, least_share * w.sum()), rng)
+            leaf = tree.reached(asked, np.arange(len(asked)), np.zeros(len(asked), "int64"))
+            sums += (tree.counts / tree.counts.sum(1, keepdims=True))[leaf]
+        if first is not None:
+            begins = range(0, len(asked), SCORES_PER_GROUP)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(begins, pa.int64()), pa.array([first] * len(begins), pa.int64()),
+                pa.array([sums[i:i + SCORES_PER_GROUP].tobytes() for i in begins], pa.binary())], ["begin", "first", "sums"])
+
+    def mean(table):
+        table = table.sort_by("first")
+        total = sum(np.frombuffer(v.as_buffer()) for v in table.column("sums")).reshape(-1, n_classes)
+        begin = table.column("begin")[0].as_py()
+        return pa.table([*[pa.array(c, pa.float64()) for c in asked[begin:begin + len(total)].T.astype("float64")],
+                         pa.array(list(total / trees), pa.list_(pa.float64()))], [*names, "__p"])
+
+    sums = cells.sparkSession.range(0, trees, 1, -(-trees // TREES_PER_TASK)).mapInArrow(grow, "begin long, first long, sums binary")
+    schema = T.StructType([*[T.StructField(c, T.DoubleType()) for c in names], T.StructField("__p", T.ArrayType(T.DoubleType()))])
+    return sums.groupBy("begin").applyInArrow(mean, schema)
+
+
 def counted_scores(est: RandomForestClassifier, train: DataFrame, test: DataFrame, feature_cols: list[str],
                    label: str, keep: list[str], n_classes: int = 2) -> DataFrame:
     """``keep`` and ``probabilities``, one of each class (labels 0, 1, ...) by a forest of
@@ -275,15 +375,18 @@ def counted_scores(est: RandomForestClassifier, train: DataFrame, test: DataFram
     codes = [f"__c{i}" for i in range(cell_bits(points)[-1][0] + 1)]
     cells = packed(cells, points, ["__y"]).groupBy("__y", *codes).agg(F.count(F.lit(1)).alias("__n"))
     cells = materialize(unpacked(cells, points, ["__y", "__n"]).select("__y", *names, "__n"))
-    # every level reads them: equal parts for all cores
-    cells = cells.repartition(cells.sparkSession.sparkContext.defaultParallelism)
-    drawn = materialize(with_draws(cells, trees, seed, ["__y", *names]).select("__y", *names, "__draws"))
-    model = grown(drawn, names, bins, n_classes, trees, est.getMaxDepth(),
-                  features_per_node(est.getFeatureSubsetStrategy(), len(names), trees),
-                  est.getMinInstancesPerNode(), est.getMinWeightFractionPerNode(), seed)
     rows = packed(in_cells(test, feature_cols, points, keep), points, keep)
-    there = unpacked(rows.select(*codes).distinct(), points, [])
-    found = packed(materialize(with_probabilities(materialize(there), names, model, trees)), points, ["__p"])
+    there = materialize(unpacked(rows.select(*codes).distinct(), points, []))
+    rules = (bins, n_classes, trees, est.getMaxDepth(), features_per_node(est.getFeatureSubsetStrategy(), len(names), trees),
+             est.getMinInstancesPerNode(), est.getMinWeightFractionPerNode(), seed)
+    if est.getMaxDepth() > DEEP and max(cells.count(), there.count()) <= CELLS_PER_TASK:
+        found = whole_trees_scores(cells, there, names, *rules)
+    else:
+        # every level reads them: equal parts for all cores
+        cells = cells.repartition(cells.sparkSession.sparkContext.defaultParallelism)
+        drawn = materialize(with_draws(cells, trees, seed, ["__y", *names]).select("__y", *names, "__draws"))
+        found = with_probabilities(there, names, grown(drawn, names, *rules), trees)
+    found = packed(materialize(found), points, ["__p"])
     return rows.join(sized_broadcast(found), codes).select(*[F.col(f"`{c}`") for c in keep], F.col("__p").alias("probabilities"))
 
 
